@@ -1,0 +1,33 @@
+"""CRM exports.
+
+A CRM export is a CSV with one row per day: a date, a transaction count and
+revenue, under varying header names. ``clickflow.operators.reconcile``
+normalises it. For the generated test data, :func:`crm_export_from_events`
+derives such an export from the raw ``events`` table -- the CRM side counts
+the rows whose ``event_type`` is ``purchase`` and sums their ``value`` --
+with the messy headers and string cells a real export has.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def crm_export_from_events(raw_events: DataFrame) -> DataFrame:
+    """All-string daily export: `` Date ``, ``Orders``, ``Revenue``."""
+    daily = (raw_events.where(F.col("event_type") == "purchase")
+             .groupBy(F.col("ts").cast("date").alias("d"))
+             .agg(F.count(F.lit(1)).alias("n"),
+                  F.sum(F.col("value").cast("decimal(18,2)")).alias("rev")))
+    return daily.select(
+        F.col("d").cast("string").alias(" Date "),
+        F.col("n").cast("string").alias("Orders"),
+        F.col("rev").cast("string").alias("Revenue"),
+    )
+
+
+def write_crm_csv(crm: DataFrame, path: str) -> str:
+    """Write an export as CSV (header row); one row per day, so one file."""
+    crm.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    return path
