@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from clickflow.operators import abtest, enrich, funnel, item_params, reconcile
+from clickflow.plans.materialize import materialize
 from clickflow.plans.oracle import END, ORACLE_SQL, START
 from clickflow.sources.crm import crm_export_from_events
 from clickflow.sources.ga4 import ga4_tables, read_source
@@ -96,7 +97,8 @@ def _ab_isolated(spark, d):
 
 def _ab_grain(spark, d):
     ev = _t(spark, d).events
-    return abtest.ab_session_grain(ev, abtest.ab_isolated_cohort(ev, TEST_ID, START, END), START, END)
+    grain = abtest.ab_session_grain(ev, abtest.ab_isolated_cohort(ev, TEST_ID, START, END), START, END)
+    return materialize(grain)
 
 
 def _ab_split(spark, d):

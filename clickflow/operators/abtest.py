@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from clickflow.functions.exprs import literal_regex, money_sum, regex_extract, safe_divide
 from clickflow.operators.distinct import DistinctBranch, distinct_counts
 from clickflow.operators.funnel import in_date_range
+from clickflow.plans.materialize import materialize
 
 # ---------------------------------------------------------------------------
 # Split thresholds, z critical values and the reference labels.
@@ -202,10 +203,14 @@ def ab_kpis(metrics: DataFrame) -> DataFrame:
 
 
 def ab_report(events: DataFrame, test_id: str, start, end, mode: str = "reference",
-              low: float = SPLIT_LOW, high: float = SPLIT_HIGH) -> DataFrame:
-    """KPIs per (group, device) with the group's user share and split status."""
+              low: float = SPLIT_LOW, high: float = SPLIT_HIGH, checkpoint: bool = True) -> DataFrame:
+    """KPIs per (group, device) with the group's user share and split status.
+
+    The session-grain cohort facts feed five distinct-count branches;
+    ``checkpoint`` writes them once so the events are scanned once for them.
+    """
     cohort = ab_isolated_cohort(events, test_id, start, end, mode)
-    grain = ab_session_grain(events, cohort, start, end)
+    grain = materialize(ab_session_grain(events, cohort, start, end), checkpoint)
     results = ab_kpis(ab_metrics(grain))
     split = split_check(grain, low, high).select("test_group", "user_share", "split_status")
     # Both sides hold one row per group (x device): bounded by the label domain.
@@ -247,14 +252,14 @@ def ab_group_totals(grain: DataFrame) -> DataFrame:
 
 
 def ab_ztest(events: DataFrame, test_id: str, start, end, control: str = CONTROL_GROUP,
-             mode: str = "reference") -> DataFrame:
+             mode: str = "reference", checkpoint: bool = True) -> DataFrame:
     """Each variant group against the control group: z-test on purchase conversion.
 
     ``conversions`` are distinct purchasing users and ``sessions`` distinct
     sessions of the group (the reference's ``cr_session_to_purchase``).
     """
     cohort = ab_isolated_cohort(events, test_id, start, end, mode)
-    totals = ab_group_totals(ab_session_grain(events, cohort, start, end))
+    totals = ab_group_totals(materialize(ab_session_grain(events, cohort, start, end), checkpoint))
     whole = Window.partitionBy()  # one row per group: tiny
     is_ctrl = F.col("test_group") == control
     paired = totals.select(

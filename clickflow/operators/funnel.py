@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from clickflow.functions.exprs import MICROS_PER_MINUTE, flag, minutes_between, safe_divide
 from clickflow.operators.distinct import DistinctBranch, distinct_counts, merge_on_keys
+from clickflow.plans.materialize import materialize
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference report's step names, column
@@ -224,10 +225,14 @@ def funnel_rates(counts: DataFrame) -> DataFrame:
 
 
 def funnel_by_segment(events: DataFrame, sessions: DataFrame, start, end,
-                      dims=DEFAULT_DIMS) -> DataFrame:
-    """The whole segmented funnel report, ordered by the segment columns."""
+                      dims=DEFAULT_DIMS, checkpoint: bool = True) -> DataFrame:
+    """The whole segmented funnel report, ordered by the segment columns.
+
+    The session-grain pivot feeds two aggregations (distinct users and
+    medians); ``checkpoint`` writes it once so the events are scanned once.
+    """
     dims = list(dims)
-    pivot = funnel_pivot(events, sessions, start, end, FUNNEL_STEPS, dims)
+    pivot = materialize(funnel_pivot(events, sessions, start, end, FUNNEL_STEPS, dims), checkpoint)
     counts = funnel_counts(pivot, dims)
     medians = funnel_medians(pivot, dims)
     report = funnel_rates(merge_on_keys([counts, medians], dims))
@@ -237,7 +242,7 @@ def funnel_by_segment(events: DataFrame, sessions: DataFrame, start, end,
 
 
 def funnel_steps_long(events: DataFrame, sessions: DataFrame, start, end,
-                      steps=NINE_STEPS, dims=("device_category",)) -> DataFrame:
+                      steps=NINE_STEPS, dims=("device_category",), checkpoint: bool = True) -> DataFrame:
     """Long-format funnel, one row per (segment, step).
 
     Per step: distinct users and sessions, event count, step CR (vs the
@@ -246,7 +251,7 @@ def funnel_steps_long(events: DataFrame, sessions: DataFrame, start, end,
     within the session.
     """
     dims = list(dims)
-    pivot = funnel_pivot(events, sessions, start, end, steps, dims, counts=True)
+    pivot = materialize(funnel_pivot(events, sessions, start, end, steps, dims, counts=True), checkpoint)
     sfx = [s for _, s in steps]
     counts = distinct_counts(pivot, dims, [
         DistinctBranch("user_pseudo_id", {f"users_{s}": F.col(f"step_{s}") == 1 for s in sfx},

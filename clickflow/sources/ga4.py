@@ -45,6 +45,19 @@ def read_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin ``df`` over all task slots when its scan has fewer splits.
+
+    A Parquet file is split by row group; a file written as one row group is
+    read by one task, and every narrow operator after it (the adapter's
+    string building, regex parsing) would run single-threaded. Large inputs
+    already have at least as many splits as slots, so this is a no-op there
+    (the check only plans the scan, it reads no data).
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def _s(c: Column) -> Column:
     return c.cast("string")
 
@@ -199,7 +212,7 @@ def ga4_from_events(raw_events: DataFrame) -> Ga4Tables:
 
 def ga4_tables(spark: SparkSession, sf_dir: str) -> Ga4Tables:
     """GA4-shaped tables derived from ``{sf_dir}/events.parquet``."""
-    return ga4_from_events(read_source(spark, sf_dir, "events"))
+    return ga4_from_events(spread(read_source(spark, sf_dir, "events")))
 
 
 def write_ga4_tables(tables: Ga4Tables, out_dir: str, mode: str = "overwrite") -> None:
