@@ -69,6 +69,11 @@ def _funnel_long(spark, d):
     return funnel.funnel_steps_long(t.events, t.sessions, START, END)
 
 
+def _funnel_by_country(spark, d):
+    t = _t(spark, d)
+    return funnel.funnel_by_segment(t.events, t.sessions, START, END, dims=("device_category", "country"))
+
+
 def _listing_dedup(spark, d):
     return funnel.listing_sessions_dedup(_t(spark, d).events, START, END)
 
@@ -167,6 +172,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "funnel_base_events": _funnel_base_events,
         "funnel_session_pivot": _funnel_session_pivot,
         "funnel_long": _funnel_long,
+        "funnel_by_country": _funnel_by_country,
         "listing_sessions_dedup": _listing_dedup,
         "parse_prices": _parser(1),
         "parse_prices_raw": _parser(1, source="raw"),

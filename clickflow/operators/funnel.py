@@ -311,3 +311,23 @@ def listing_sessions_dedup(events: DataFrame, start, end,
                        sums={"listing_events": flag(is_listing)}, sum_types={"listing_events": "bigint"}),
     ]).withColumn("events_per_session", safe_divide("listing_events", "listing_sessions")) \
         .orderBy(*dims)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Broadcast hint for a lookup table whose row count is checked first.
+
+    Above ``max_rows`` no hint is given and the planner / AQE choose (a
+    shuffle join when it is large). The count runs on the lookup only.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def with_site(events: DataFrame, site_lookup: DataFrame, key: str = "stream_id",
+              site_col: str = "site", max_broadcast_rows: int = 100_000) -> DataFrame:
+    """Attach a site name to events from a (stream or property id -> site) lookup.
+
+    Left join: events of an unmapped stream keep a null site (their own
+    segment). Duplicate lookup keys are collapsed first so events never fan out.
+    """
+    lookup = site_lookup.groupBy(key).agg(F.min(site_col).alias(site_col))
+    return events.join(broadcast_if_small(lookup, max_broadcast_rows), key, "left")

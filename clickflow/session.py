@@ -41,17 +41,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared checkpoint folder, taking it from the session.
 
-    On a cluster this setting names a shared (distributed) folder and is
-    taken as is. Only where it is unset (local tests) do we create one.
+    On a cluster ``spark.checkpoint.dir`` names a shared (distributed) folder
+    and is used as is. Only where it is unset (local tests, scripts) is a
+    local folder created.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        conf_dir = conf_dir.get() if conf_dir.isDefined() else None
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="clickflow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
-    spark.sparkContext.setCheckpointDir(conf_dir)
+    sc.setCheckpointDir(conf_dir)
     return conf_dir

@@ -31,6 +31,9 @@ SOURCE_TABLES = (
 
 # Custom item parameters configured on the items (fixed names).
 ITEM_PARAM_NUMBERS = (1, 5, 9, 19, 20, 25)
+# Markets named in the funnel documentation (fixed values), assigned to test
+# users by user_id % 4 in this order.
+COUNTRIES = ("Poland", "Czech Republic", "Slovakia", "Hungary")
 
 
 @dataclass(frozen=True)
@@ -126,6 +129,8 @@ def _flat_events(raw: DataFrame) -> DataFrame:
         .otherwise("purchase")
     )
     device = F.when(uid % 3 == 0, "desktop").when(uid % 3 == 1, "mobile").otherwise("tablet")
+    country = F.when(uid % 4 == 0, COUNTRIES[0]).when(uid % 4 == 1, COUNTRIES[1]) \
+        .when(uid % 4 == 2, COUNTRIES[2]).otherwise(COUNTRIES[3])
     df = raw.select(
         eid.alias("event_id"), uid.alias("user_id"), F.col("value"),
         F.col("ts").cast("date").alias("event_date"),
@@ -134,6 +139,8 @@ def _flat_events(raw: DataFrame) -> DataFrame:
         (bucket.cast("bigint") + 1).alias("bucket"),
         event_name.alias("event_name"),
         device.alias("device_category"),
+        country.alias("country"),
+        _s(uid % 5).alias("stream_id"),
     )
     b = F.col("bucket")
     chan_no = (uid + b) % 5
@@ -167,9 +174,10 @@ def ga4_events_from_flat(flat: DataFrame) -> DataFrame:
         1, F.col("n_items"),
     )
     return flat.select(
-        "event_date", "event_name", "session_id", "user_pseudo_id", "event_id",
+        "event_date", "event_name", "session_id", "user_pseudo_id", "event_id", "stream_id",
         F.struct(F.col("event_timestamp"), F.col("event_timestamp_utc")).alias("time"),
         F.struct(F.col("device_category").alias("category")).alias("device"),
+        F.struct(F.col("country")).alias("geo"),
         F.struct(F.col("bucket").alias("ga_session_number")).alias("event_params"),
         F.struct(F.col("test_ab")).alias("event_params_custom"),
         F.struct(F.col("transaction_id"), F.col("purchase_revenue")).alias("ecommerce"),
