@@ -15,7 +15,7 @@ from clickflow.operators import abtest, enrich, funnel, item_params, reconcile
 from clickflow.plans.materialize import materialize
 from clickflow.plans.oracle import END, ORACLE_SQL, START
 from clickflow.sources.crm import crm_export_from_events
-from clickflow.sources.ga4 import ga4_tables, read_source
+from clickflow.sources.ga4 import ga4_tables_materialized, read_source
 
 TEST_ID = "TABW131"
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -27,7 +27,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _t(spark, sf_dir):
-    return ga4_tables(spark, sf_dir)
+    """GA4 tables derived from the given ``events`` table, in the partitioned layout."""
+    return ga4_tables_materialized(spark, sf_dir)
 
 
 # --- funnel -----------------------------------------------------------------
