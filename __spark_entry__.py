@@ -103,8 +103,8 @@ def _ab_isolated(spark, d):
 
 def _ab_grain(spark, d):
     ev = _t(spark, d).events
-    grain = abtest.ab_session_grain(ev, abtest.ab_isolated_cohort(ev, TEST_ID, START, END), START, END)
-    return materialize(grain)
+    cohort = materialize(abtest.ab_isolated_cohort(ev, TEST_ID, START, END))
+    return materialize(abtest.ab_session_grain(ev, cohort, START, END, abtest.COHORT_BROADCAST_MAX_ROWS))
 
 
 def _ab_split(spark, d):

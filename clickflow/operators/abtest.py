@@ -119,16 +119,33 @@ def ab_events(events: DataFrame, cohort: DataFrame, start, end) -> DataFrame:
     return ev.join(cohort, "user_pseudo_id", "inner")
 
 
-def ab_session_grain(events: DataFrame, cohort: DataFrame, start, end) -> DataFrame:
-    """Cohort events pre-aggregated to (user, session, device, purchase txn).
+COHORT_BROADCAST_MAX_ROWS = 1_000_000
+
+
+def _session_grain_aggs() -> list[Column]:
+    name = F.col("event_name")
+    return [
+        F.max(F.when(name == "session_start", 1).otherwise(0)).alias("f_session_start"),
+        *[F.max(F.when(name == s, 1).otherwise(0)).alias(f"f_{s}") for s in AB_USER_STEPS],
+        F.sum("rev").alias("rev"),
+    ]
+
+
+def ab_session_grain(events: DataFrame, cohort: DataFrame, start, end,
+                     broadcast_max_rows: int | None = None) -> DataFrame:
+    """Cohort events pre-aggregated to (user, session, device, purchase txn, group).
 
     Everything the split check and the metrics need survives this: step
-    flags are maxima, revenue is a sum and transaction ids stay a key. The
-    aggregation runs before the cohort join, so the join sees roughly one
-    row per session instead of one per event.
+    flags are maxima, revenue is a sum and transaction ids stay a key.
+
+    Plan choice, from the cohort's checked size: a cohort of at most
+    ``broadcast_max_rows`` rows is broadcast and joined to the events first,
+    so only cohort users' events are aggregated and shuffled; a larger
+    cohort is joined after the events are aggregated to session grain (a
+    shuffle join of two session-grain inputs; AQE splits a skewed user).
+    ``None`` skips the check and always aggregates first.
     """
-    name = F.col("event_name")
-    is_purchase = name == "purchase"
+    is_purchase = F.col("event_name") == "purchase"
     ev = in_date_range(events, start, end).where(F.col("user_pseudo_id").isNotNull()).select(
         "user_pseudo_id", "session_id", F.col("device.category").alias("device_category"),
         "event_name",
@@ -136,11 +153,11 @@ def ab_session_grain(events: DataFrame, cohort: DataFrame, start, end) -> DataFr
         F.when(is_purchase, F.col("ecommerce.purchase_revenue").cast("decimal(18,2)"))
         .otherwise(F.lit(0).cast("decimal(18,2)")).alias("rev"),
     )
-    pre = ev.groupBy("user_pseudo_id", "session_id", "device_category", "purchase_txn").agg(
-        F.max(F.when(name == "session_start", 1).otherwise(0)).alias("f_session_start"),
-        *[F.max(F.when(name == s, 1).otherwise(0)).alias(f"f_{s}") for s in AB_USER_STEPS],
-        F.sum("rev").alias("rev"),
-    )
+    keys = ["user_pseudo_id", "session_id", "device_category", "purchase_txn"]
+    if broadcast_max_rows is not None and cohort.limit(broadcast_max_rows + 1).count() <= broadcast_max_rows:
+        return ev.join(F.broadcast(cohort), "user_pseudo_id", "inner") \
+            .groupBy(*keys, "test_group").agg(*_session_grain_aggs())
+    pre = ev.groupBy(*keys).agg(*_session_grain_aggs())
     return pre.join(cohort, "user_pseudo_id", "inner")
 
 
@@ -209,8 +226,8 @@ def ab_report(events: DataFrame, test_id: str, start, end, mode: str = "referenc
     The session-grain cohort facts feed five distinct-count branches;
     ``checkpoint`` writes them once so the events are scanned once for them.
     """
-    cohort = ab_isolated_cohort(events, test_id, start, end, mode)
-    grain = materialize(ab_session_grain(events, cohort, start, end), checkpoint)
+    cohort = materialize(ab_isolated_cohort(events, test_id, start, end, mode), checkpoint)
+    grain = materialize(ab_session_grain(events, cohort, start, end, COHORT_BROADCAST_MAX_ROWS), checkpoint)
     results = ab_kpis(ab_metrics(grain))
     split = split_check(grain, low, high).select("test_group", "user_share", "split_status")
     # Both sides hold one row per group (x device): bounded by the label domain.
@@ -258,8 +275,9 @@ def ab_ztest(events: DataFrame, test_id: str, start, end, control: str = CONTROL
     ``conversions`` are distinct purchasing users and ``sessions`` distinct
     sessions of the group (the reference's ``cr_session_to_purchase``).
     """
-    cohort = ab_isolated_cohort(events, test_id, start, end, mode)
-    totals = ab_group_totals(materialize(ab_session_grain(events, cohort, start, end), checkpoint))
+    cohort = materialize(ab_isolated_cohort(events, test_id, start, end, mode), checkpoint)
+    grain = ab_session_grain(events, cohort, start, end, COHORT_BROADCAST_MAX_ROWS)
+    totals = ab_group_totals(materialize(grain, checkpoint))
     whole = Window.partitionBy()  # one row per group: tiny
     is_ctrl = F.col("test_group") == control
     paired = totals.select(

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickflow.functions.exprs import money_sum
-from clickflow.operators.distinct import DistinctBranch, distinct_counts
 from clickflow.operators.funnel import dim_expr, in_date_range
 
 # ---------------------------------------------------------------------------
@@ -61,30 +60,32 @@ def page_url_params(pages: DataFrame) -> DataFrame:
 def transaction_totals(events: DataFrame, start, end) -> DataFrame:
     """Per transaction: purchase events, items, distinct items, revenue, first date.
 
-    ``groupBy(transaction_id)`` with partial aggregation; the distinct item
-    count is the only distinct aggregate, so no ``Expand``.
+    One pass: item ids are exploded next to their event (``posexplode_outer``
+    keeps events without items) and only an event's first row carries the
+    event-level measures. A single distinct aggregate plans as two
+    partial-aggregation stages keyed (transaction, item) then transaction --
+    no ``Expand``, and a hot transaction is spread over its items. Only
+    fixed-width aggregation buffers are used, so it stays a hash
+    aggregation (a string ``min`` would force a sort-based one); per-user
+    figures are in :func:`running_totals`.
     """
     p = in_date_range(events, start, end).where(
         (F.col("event_name") == "purchase") & F.col("ecommerce.transaction_id").isNotNull())
-    per_event = p.select(
-        F.col("ecommerce.transaction_id").alias("transaction_id"), "event_date", "user_pseudo_id",
+    rows = p.select(
+        F.col("ecommerce.transaction_id").alias("transaction_id"), "event_date",
         F.col("ecommerce.purchase_revenue").alias("purchase_revenue"),
         F.coalesce(F.size("items"), F.lit(0)).alias("n_items"),
-        F.col("items.item_id").alias("item_ids"),
+        F.posexplode_outer(F.col("items.item_id")).alias("pos", "item_id"),
     )
-    items = per_event.select("transaction_id", F.explode("item_ids").alias("item_id"))
-    totals = per_event.groupBy("transaction_id").agg(
+    first = F.col("pos").isNull() | (F.col("pos") == 0)
+    return rows.groupBy("transaction_id").agg(
         F.min("event_date").alias("transaction_date"),
-        F.min("user_pseudo_id").alias("user_pseudo_id"),
-        F.count(F.lit(1)).alias("purchase_events"),
-        F.sum("n_items").cast("bigint").alias("total_items"),
-        money_sum("purchase_revenue").alias("revenue"),
-    )
-    uniq = items.groupBy("transaction_id").agg(F.count_distinct("item_id").alias("unique_items"))
-    return totals.join(uniq, "transaction_id", "left").select(
-        "transaction_id", "transaction_date", "user_pseudo_id", "purchase_events", "total_items",
-        F.coalesce(F.col("unique_items"), F.lit(0)).alias("unique_items"), "revenue",
-    )
+        F.count_if(first).alias("purchase_events"),
+        F.sum(F.when(first, F.col("n_items"))).cast("bigint").alias("total_items"),
+        F.count_distinct("item_id").alias("unique_items"),
+        money_sum(F.when(first, F.col("purchase_revenue"))).alias("revenue"),
+    ).select("transaction_id", "transaction_date", "purchase_events", "total_items",
+             "unique_items", "revenue")
 
 
 def running_totals(events: DataFrame, start, end) -> DataFrame:
@@ -108,12 +109,18 @@ def running_totals(events: DataFrame, start, end) -> DataFrame:
 
 
 def session_metrics(events: DataFrame, start, end, dims=("event_date", "device_category")) -> DataFrame:
-    """The three basic metrics -- distinct users, distinct sessions, events -- per segment."""
+    """The three basic metrics -- distinct users, distinct sessions, events -- per segment.
+
+    Events are first reduced to (segment, user, session) with their count
+    (partial aggregation map-side); the two distinct counts then run on that
+    session grain in one aggregation, so the events are scanned once.
+    """
     dims = list(dims)
     ev = in_date_range(events, start, end).select(
         "user_pseudo_id", "session_id", *[dim_expr(d).alias(d) for d in dims])
-    return distinct_counts(ev, dims, [
-        DistinctBranch("user_pseudo_id", {"users": None},
-                       sums={"events": F.lit(1)}, sum_types={"events": "bigint"}),
-        DistinctBranch("session_id", {"sessions": None}),
-    ]).select(*dims, "users", "sessions", "events").orderBy(*dims)
+    grain = ev.groupBy(*dims, "user_pseudo_id", "session_id").agg(F.count(F.lit(1)).alias("n"))
+    return grain.groupBy(*dims).agg(
+        F.count_distinct("user_pseudo_id").alias("users"),
+        F.count_distinct("session_id").alias("sessions"),
+        F.sum("n").cast("bigint").alias("events"),
+    ).orderBy(*dims)

@@ -19,6 +19,8 @@ test-data conventions, written out once here and once as SQL in
 
 from __future__ import annotations
 
+import hashlib
+import threading
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -253,6 +255,7 @@ def read_ga4_tables(spark: SparkSession, base_dir: str) -> Ga4Tables:
 
 # Derived GA4 tables already written in this application: (app id, source dir) -> folder.
 _WRITTEN: dict[tuple[str, str], str] = {}
+_WRITE_LOCK = threading.Lock()
 
 
 def ga4_tables_materialized(spark: SparkSession, sf_dir: str) -> Ga4Tables:
@@ -268,9 +271,10 @@ def ga4_tables_materialized(spark: SparkSession, sf_dir: str) -> Ga4Tables:
     from clickflow.session import ensure_checkpoint_dir
 
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _WRITTEN:
-        tag = abs(hash(key[1])) % (10 ** 12)
-        out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ga4-tables-{tag}"
-        write_ga4_tables(ga4_tables(spark, sf_dir), out)
-        _WRITTEN[key] = out
+    with _WRITE_LOCK:
+        if key not in _WRITTEN:
+            tag = hashlib.sha1("|".join(key).encode()).hexdigest()[:16]
+            out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ga4-tables-{tag}"
+            write_ga4_tables(ga4_tables(spark, sf_dir), out)
+            _WRITTEN[key] = out
     return read_ga4_tables(spark, _WRITTEN[key])

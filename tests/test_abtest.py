@@ -111,3 +111,14 @@ def test_null_users_never_join(spark):
     iso = abtest.ab_isolated_cohort(ev, "TABW131", S, E)
     assert sorted(iso.collect(), key=str) == sorted(
         abtest.ab_isolate(abtest.ab_cohort(ev, "TABW131", S, E), ev, "TABW131", S, E).collect(), key=str)
+
+
+def test_broadcast_first_and_aggregate_first_agree(tables01):
+    ev = tables01.events
+    cohort = abtest.ab_isolated_cohort(ev, "TABW131", S, E)
+    small = abtest.ab_session_grain(ev, cohort, S, E, broadcast_max_rows=10_000)
+    large = abtest.ab_session_grain(ev, cohort, S, E, broadcast_max_rows=10)
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    cols = sorted(small.columns)
+    assert small.select(*cols).exceptAll(large.select(*cols)).count() == 0
+    assert large.select(*cols).exceptAll(small.select(*cols)).count() == 0
