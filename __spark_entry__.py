@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from clickflow.operators import abtest, enrich, funnel, item_params, reconcile
 from clickflow.plans.materialize import materialize
 from clickflow.plans.oracle import END, ORACLE_SQL, START
-from clickflow.sources.crm import crm_export_from_events
+from clickflow.session import ensure_checkpoint_dir
+from clickflow.sources.crm import crm_export_from_events, write_crm_csv
 from clickflow.sources.ga4 import ga4_tables_materialized, read_source
 
 TEST_ID = "TABW131"
@@ -87,6 +88,12 @@ def _parser(n: int, source: str = "custom", mode: str = "reference"):
     return q
 
 
+def _parse_prices_view_item(spark, d):
+    """P10: parsed prices of product-page views (the filter reaches the scan)."""
+    ev = _t(spark, d).events.where("event_name = 'view_item'")
+    return item_params.parse_param(ev, 1, START, END)
+
+
 def _parse_all(spark, d):
     return item_params.parse_items(_t(spark, d).events, START, END)
 
@@ -133,6 +140,13 @@ def _crm_daily(spark, d):
     return reconcile.normalize_crm(crm_export_from_events(read_source(spark, d, "events")))
 
 
+def _crm_daily_csv(spark, d):
+    """The CRM export as a CSV file in the shared folder, read back with ``load_crm``."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/crm-export-{abs(hash(d)) % 10**9}.csv"
+    write_crm_csv(crm_export_from_events(read_source(spark, d, "events")), path)
+    return reconcile.load_crm(spark, path)
+
+
 def _reconcile(spark, d):
     return reconcile.reconcile(_ga4_daily(spark, d), _crm_daily(spark, d))
 
@@ -183,6 +197,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "parse_ab_item": _parser(20),
         "parse_ab_item_strict": _parser(20, mode="strict"),
         "parse_cross_sell_selected": _parser(25),
+        "parse_prices_view_item": _parse_prices_view_item,
         "parse_items_all": _parse_all,
         "ab_cohort": _ab_cohort,
         "ab_isolated": _ab_isolated,
@@ -192,6 +207,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ab_ztest": _ab_ztest,
         "ga4_daily": _ga4_daily,
         "crm_daily": _crm_daily,
+        "crm_daily_csv": _crm_daily_csv,
         "reconcile": _reconcile,
         "reconcile_summary": _reconcile_summary,
         "reconcile_flagged_days": _reconcile_flagged,

@@ -83,17 +83,25 @@ def param_key(n: int) -> str:
     return f"item_parameter_{n}"
 
 
+def _param_path(n: int, source: str) -> tuple[str, str]:
+    """(zipped field name, path inside one item) holding parameter ``n``."""
+    if source == "custom":
+        return f"p{n}", f"item_params_custom.{param_key(n)}"
+    if source == "raw":
+        return "item_params", "item_params"
+    raise ValueError(f"unknown source {source!r}: use 'custom' or 'raw'")
+
+
 def param_source(n: int, source: str = "custom") -> Column:
     """The raw string of parameter ``n`` on an exploded item ``i``.
 
-    ``custom``: the configured struct field ``i.item_params_custom.item_parameter_N``.
-    ``raw``: lookup in the key/value array ``i.item_params`` (no subquery).
+    ``custom``: the configured struct field ``item_params_custom.item_parameter_N``.
+    ``raw``: lookup in the item's key/value array ``item_params`` (no subquery).
     """
+    name, _ = _param_path(n, source)
     if source == "custom":
-        return F.col(f"i.item_params_custom.{param_key(n)}")
-    if source == "raw":
-        return array_lookup(F.col("i.item_params"), param_key(n))
-    raise ValueError(f"unknown source {source!r}: use 'custom' or 'raw'")
+        return F.col(f"i.{name}")
+    return array_lookup(F.col(f"i.{name}"), param_key(n))
 
 
 def parsed_columns(raw: Column, n: int, mode: str = "reference") -> list[Column]:
@@ -106,9 +114,29 @@ def parsed_columns(raw: Column, n: int, mode: str = "reference") -> list[Column]
     return out
 
 
-def exploded_items(events: DataFrame, start, end) -> DataFrame:
-    """One row per (event, item); events without items disappear."""
-    return in_date_range(events, start, end).select(*EVENT_FIELDS, F.explode("items").alias("i"))
+def exploded_items(events: DataFrame, start, end, fields: dict[str, str] | None = None) -> DataFrame:
+    """One row per (event, item) with the item fields in struct ``i``.
+
+    ``fields`` maps an output name to a path inside an item (default: just
+    ``item_id``). The items are zipped from per-field array extractions
+    before the explode, so Parquet reads only those nested fields -- a plain
+    ``explode(items)`` followed by several field accesses reads every item
+    field. Events with null or empty ``items`` produce no row, as with
+    ``UNNEST`` in a comma join.
+    """
+    fields = fields or {"item_id": "item_id"}
+    zipped = F.arrays_zip(*[F.col(f"items.{path}").alias(name) for name, path in fields.items()])
+    return in_date_range(events, start, end).select(*EVENT_FIELDS, F.explode(zipped).alias("i"))
+
+
+def _item_fields(params, source: str, with_names: bool) -> dict[str, str]:
+    fields = {"item_id": "item_id"}
+    if with_names:
+        fields.update({f: f for f in PRICE_ITEM_FIELDS})
+    for n in params:
+        name, path = _param_path(n, source)
+        fields[name] = path
+    return fields
 
 
 def parse_param(events: DataFrame, n: int, start, end, source: str = "custom",
@@ -116,7 +144,7 @@ def parse_param(events: DataFrame, n: int, start, end, source: str = "custom",
     """U6..U12: parse one parameter, with the event keys, ``item_id`` and ``raw_param_N``."""
     if n not in PARAM_SPECS:
         raise ValueError(f"no parser for item_parameter_{n}; known: {sorted(PARAM_SPECS)}")
-    items = exploded_items(events, start, end)
+    items = exploded_items(events, start, end, _item_fields([n], source, with_names=(n == 1)))
     raw = F.col(f"raw_param_{n}")
     extra = [F.col(f"i.{f}").alias(f) for f in PRICE_ITEM_FIELDS] if n == 1 else []
     base = items.select(*EVENT_FIELDS, F.col("i.item_id").alias("item_id"), *extra,
@@ -127,7 +155,7 @@ def parse_param(events: DataFrame, n: int, start, end, source: str = "custom",
 def parse_items(events: DataFrame, start, end, params=tuple(PARAM_SPECS), source: str = "custom",
                 mode: str = "reference") -> DataFrame:
     """All requested parameters from a single explode (one pass over the items)."""
-    items = exploded_items(events, start, end)
+    items = exploded_items(events, start, end, _item_fields(params, source, with_names=True))
     base = items.select(
         *EVENT_FIELDS, F.col("i.item_id").alias("item_id"),
         *[F.col(f"i.{f}").alias(f) for f in PRICE_ITEM_FIELDS],

@@ -57,7 +57,7 @@ def test_explode_not_outer(tables001):
     parsed = item_params.parse_param(tables001.events, 1, S, E)
     gen = [ln for ln in physical_plan(parsed).splitlines() if "Generate explode(" in ln]
     assert len(gen) == 1
-    assert re.search(r"Generate explode\([^)]*\), \[[^\]]*\], false,", gen[0])
+    assert re.search(r"\], false, \[i#\d+\]\s*$", gen[0])  # Generate(..., outer=false, [i])
 
 
 def test_item_parsing_is_narrow(tables001):
@@ -74,3 +74,13 @@ def test_nested_pruning_through_explode(spark, tables001):
     parsed = ev.select(F.explode("items").alias("i")).select("i.item_id")
     plan = physical_plan(parsed)
     assert "ReadSchema: struct<items:array<struct<item_id:string>>>" in plan
+
+
+def test_parsers_read_only_used_item_fields(spark, tables001):
+    out = tempfile.mkdtemp(prefix="clickflow-ga4-")
+    write_ga4_tables(tables001, out)
+    ev = read_ga4_tables(spark, out).events
+    plan = physical_plan(item_params.parse_param(ev, 5, S, E))
+    schema = re.search(r"ReadSchema: (struct<.*)", plan).group(1)
+    assert "items:array<struct<item_id:string,item_params_custom:struct<item_parameter_5:string>>>" in schema
+    assert "item_params:" not in schema and "item_parameter_1" not in schema
