@@ -13,11 +13,11 @@ Plan shape (``funnel_by_segment``):
    ``IN`` list pushed to Parquet; prune to 6 columns;
 2. pivot to session grain *before* joining sessions (partial aggregation
    map-side, so a hot session shrinks to one row per task);
-3. left-join the much smaller pivot to ``(session_id, channel)``; AQE picks
-   broadcast or sort-merge from runtime sizes;
-4. re-apply the idempotent pivot (max / min) so duplicate session rows cannot
-   double count -- it reuses the join's partitioning, no extra shuffle;
-5. per-segment distinct user counts via two-level aggregation (no
+3. collapse ``ga4_sessions`` to one row per session id (set of channels)
+   with partial aggregation, then left-join the much smaller pivot to it;
+   AQE picks broadcast or sort-merge from runtime sizes; duplicate or hot
+   session ids cannot fan out or skew the join;
+4. per-segment distinct user counts via two-level aggregation (no
    ``Expand``) and mergeable ``percentile_approx`` medians.
 """
 
@@ -157,14 +157,6 @@ def _pivot_aggs(steps, counts: bool = False) -> list[Column]:
     return aggs
 
 
-def _repivot_aggs(steps, counts: bool = False) -> list[Column]:
-    aggs = [F.max(f"step_{sfx}").alias(f"step_{sfx}") for _, sfx in steps]
-    aggs += [F.min(f"ts_{sfx}").alias(f"ts_{sfx}") for _, sfx in steps]
-    if counts:
-        aggs += [F.sum(f"events_{sfx}").alias(f"events_{sfx}") for _, sfx in steps]
-    return aggs
-
-
 def session_step_pivot(base: DataFrame, dims=DEFAULT_DIMS, steps=FUNNEL_STEPS,
                        counts: bool = False) -> DataFrame:
     """One row per (user, session, dims): step flags and first timestamps."""
@@ -175,9 +167,12 @@ def funnel_pivot(events: DataFrame, sessions: DataFrame, start, end,
                  steps=FUNNEL_STEPS, dims=DEFAULT_DIMS, counts: bool = False) -> DataFrame:
     """Session-grain pivot with the channel joined on *after* aggregation.
 
-    Equal to ``session_step_pivot(base_events(...))``: flags are maxima and
-    timestamps minima, both idempotent, so aggregating before the join and
-    again after it gives the same rows while shuffling far less.
+    Equal to ``session_step_pivot(base_events(...))``: the channel depends
+    on the session only, so aggregating events per (user, session, event
+    dims) first and then attaching each distinct channel of the session
+    gives the same rows (flags are maxima, timestamps minima) while shuffling
+    far less. Per-step event counts (``counts=True``) count each event once,
+    even where the sessions table holds duplicate rows for a session.
     """
     dims = list(dims)
     ev = _event_columns(events, start, end, steps, dims)
@@ -185,8 +180,23 @@ def funnel_pivot(events: DataFrame, sessions: DataFrame, start, end,
     if "channel" not in dims:
         return ev.groupBy(*keys, *dims).agg(*_pivot_aggs(steps, counts))
     pre = ev.groupBy(*keys, *[d for d in dims if d != "channel"]).agg(*_pivot_aggs(steps, counts))
-    joined = pre.join(_session_channels(sessions), "session_id", "left")
-    return joined.groupBy(*keys, *dims).agg(*_repivot_aggs(steps, counts))
+    joined = pre.join(session_channel_sets(sessions), "session_id", "left")
+    out = joined.select(*pre.columns, F.explode_outer("channels").alias("c")).withColumn("channel", F.col("c.channel"))
+    return out.select(*keys, *dims, *[c for c in pre.columns if c not in keys and c not in dims])
+
+
+def session_channel_sets(sessions: DataFrame) -> DataFrame:
+    """One row per session id with the set of its distinct channels.
+
+    Duplicate session rows (even one id holding a large share of the table)
+    collapse map-side before the shuffle, so the join neither fans out nor
+    gets a hot key on its non-splittable (right) side. Channels are kept as
+    structs so a null channel stays a member (it forms its own segment, as
+    a left-joined null does). The set is bounded by the channel domain.
+    """
+    return (_session_channels(sessions)
+            .groupBy("session_id")
+            .agg(F.collect_set(F.struct("channel")).alias("channels")))
 
 
 def funnel_counts(pivot: DataFrame, dims=DEFAULT_DIMS, steps=FUNNEL_STEPS) -> DataFrame:

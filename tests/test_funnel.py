@@ -91,3 +91,15 @@ def test_custom_dims(tables001):
     rep = funnel.funnel_by_segment(t.events, t.sessions, S, E, dims=("device_category",))
     assert rep.count() == 3
     assert rep.columns[0] == "device_category"
+
+
+def test_session_with_null_and_named_channel_forms_two_segments(spark, tables001):
+    t = tables001
+    one = t.sessions.select("session_id").first()[0]
+    extra = spark.createDataFrame([(one, None)], "session_id string, channel string").select(
+        "session_id", F.struct(F.col("channel").alias("default_channel_grouping")).alias("last_non_direct_traffic_source"))
+    sessions = t.sessions.select("session_id", "last_non_direct_traffic_source").unionByName(extra)
+    textbook = funnel.session_step_pivot(funnel.base_events(t.events, sessions, S, E))
+    optimised = funnel.funnel_pivot(t.events, sessions, S, E)
+    assert textbook.where(F.col("session_id") == one).count() == 2
+    assert textbook.exceptAll(optimised).count() == 0 and optimised.exceptAll(textbook).count() == 0
