@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickflow.functions.exprs import literal_regex, money_sum, regex_extract, safe_divide
+from clickflow.functions.exprs import literal_regex, regex_extract, safe_divide
 from clickflow.operators.distinct import DistinctBranch, distinct_counts
 from clickflow.operators.funnel import in_date_range
 from clickflow.plans.materialize import materialize
@@ -45,10 +45,6 @@ AB_USER_STEPS = ["view_item", "add_to_cart", "begin_checkout", "purchase"]
 # ---------------------------------------------------------------------------
 
 
-def _label(events: DataFrame) -> Column:
-    return F.col("event_params_custom.test_ab")
-
-
 def _group_expr(test_id: str, mode: str) -> Column:
     if mode == "strict":
         pattern = literal_regex(test_id) + r"_(\w+?)$"

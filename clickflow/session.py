@@ -24,6 +24,31 @@ BASE_CONF = {
 }
 
 
+# What the plans assume on a large cluster (100 TB of events). Apply with
+# ``apply_missing(spark.conf, CLUSTER_CONF)`` or put them in the cluster's
+# Spark config; ``spark.checkpoint.dir`` must name shared storage there.
+CLUSTER_CONF = {
+    **BASE_CONF,
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
+
+def apply_missing(conf, settings: dict) -> None:
+    """Set each runtime-settable entry of ``settings`` that ``conf`` does not have yet."""
+    for k, v in settings.items():
+        if conf.get(k, None) is None:
+            try:
+                conf.set(k, v)
+            except Exception:  # noqa: BLE001 - static / core settings belong in the cluster config
+                pass
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app_name: str = "clickflow", extra: dict | None = None) -> SparkSession:
     """A local session for tests and benchmarks (single JVM)."""
