@@ -7,6 +7,7 @@ date range below covers every event in the generated data.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from clickflow.plans.oracle import END, ORACLE_SQL, START
 from clickflow.session import ensure_checkpoint_dir
 from clickflow.sources.crm import crm_export_from_events, write_crm_csv
 from clickflow.sources.ga4 import ga4_tables_materialized, read_source
+from clickflow.streaming.daily import start_daily_refresh
 
 TEST_ID = "TABW131"
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -108,6 +110,16 @@ def _ab_isolated(spark, d):
     return abtest.ab_isolated_cohort(_t(spark, d).events, TEST_ID, START, END)
 
 
+def _ab_isolated_antijoin(spark, d):
+    ev = _t(spark, d).events
+    return abtest.ab_isolate(abtest.ab_cohort(ev, TEST_ID, START, END), ev, TEST_ID, START, END)
+
+
+def _ab_events(spark, d):
+    ev = _t(spark, d).events
+    return abtest.ab_events(ev, abtest.ab_isolated_cohort(ev, TEST_ID, START, END), START, END)
+
+
 def _ab_grain(spark, d):
     ev = _t(spark, d).events
     cohort = materialize(abtest.ab_isolated_cohort(ev, TEST_ID, START, END))
@@ -136,6 +148,19 @@ def _ga4_daily(spark, d):
     return reconcile.ga4_daily(_t(spark, d).transactions, START, END)
 
 
+def _ga4_daily_incremental(spark, d):
+    """U21 kept up to date by the incremental refresh stream, read back as a table.
+
+    The transactions derived from ``events`` are written as the incremental
+    source (partitioned by day) in the shared folder; one ``availableNow``
+    run of the stream refreshes every day it finds.
+    """
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/daily-refresh-{uuid.uuid4().hex[:12]}"
+    _t(spark, d).transactions.write.partitionBy("transaction_date").parquet(f"{base}/transactions")
+    start_daily_refresh(spark, f"{base}/transactions", f"{base}/daily", f"{base}/stream-checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/daily").select("date", "ga4_transactions", "ga4_revenue")
+
+
 def _crm_daily(spark, d):
     return reconcile.normalize_crm(crm_export_from_events(read_source(spark, d, "events")))
 
@@ -201,11 +226,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "parse_items_all": _parse_all,
         "ab_cohort": _ab_cohort,
         "ab_isolated": _ab_isolated,
+        "ab_isolated_antijoin": _ab_isolated_antijoin,
+        "ab_events": _ab_events,
         "ab_split_check": _ab_split,
         "ab_metrics": _ab_metrics,
         "ab_report": _ab_report,
         "ab_ztest": _ab_ztest,
         "ga4_daily": _ga4_daily,
+        "ga4_daily_incremental": _ga4_daily_incremental,
         "crm_daily": _crm_daily,
         "crm_daily_csv": _crm_daily_csv,
         "reconcile": _reconcile,
