@@ -150,7 +150,9 @@ def ab_session_grain(events: DataFrame, cohort: DataFrame, start, end,
         .otherwise(F.lit(0).cast("decimal(18,2)")).alias("rev"),
     )
     keys = ["user_pseudo_id", "session_id", "device_category", "purchase_txn"]
-    if broadcast_max_rows is not None and cohort.limit(broadcast_max_rows + 1).count() <= broadcast_max_rows:
+    # A plain count is a distributed partial count (a ``limit`` would funnel
+    # rows through one task); the cohort is checkpointed by the reports.
+    if broadcast_max_rows is not None and cohort.count() <= broadcast_max_rows:
         return ev.join(F.broadcast(cohort), "user_pseudo_id", "inner") \
             .groupBy(*keys, "test_group").agg(*_session_grain_aggs())
     pre = ev.groupBy(*keys).agg(*_session_grain_aggs())

@@ -327,9 +327,10 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast hint for a lookup table whose row count is checked first.
 
     Above ``max_rows`` no hint is given and the planner / AQE choose (a
-    shuffle join when it is large). The count runs on the lookup only.
+    shuffle join when it is large). The count is a distributed partial count
+    on the lookup only (a ``limit`` would funnel rows through one task).
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def with_site(events: DataFrame, site_lookup: DataFrame, key: str = "stream_id",

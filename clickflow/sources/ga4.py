@@ -230,17 +230,20 @@ def write_ga4_tables(tables: Ga4Tables, out_dir: str, mode: str = "overwrite") -
 
     Events are partitioned by ``event_date`` (partition pruning for every
     date-range query) and clustered by ``event_name, session_id`` within each
-    file. ``repartition(event_date)`` before the write keeps the number of
-    files per day bounded; for very large days AQE splits the write tasks.
+    file (row-group statistics skip data). The ``rebalance`` hint groups rows
+    of a day into the same tasks -- few files per day -- while AQE splits any
+    day larger than the advisory partition size over several tasks, so a
+    big or hot day is never written by a single task (a plain
+    ``repartition(event_date)`` would send each whole day to one task).
     """
     out = out_dir.rstrip("/")
     (tables.events
-     .repartition("event_date")
+     .hint("rebalance", "event_date")
      .sortWithinPartitions("event_date", "event_name", "session_id")
      .write.mode(mode).partitionBy("event_date").parquet(f"{out}/ga4_events"))
     tables.sessions.write.mode(mode).parquet(f"{out}/ga4_sessions")
     (tables.transactions
-     .repartition("transaction_date")
+     .hint("rebalance", "transaction_date")
      .write.mode(mode).partitionBy("transaction_date").parquet(f"{out}/ga4_transactions"))
 
 
