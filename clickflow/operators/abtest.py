@@ -10,11 +10,9 @@ Cohort rules (reference mode):
   another test of ``TABW131``); such users are dropped (isolation).
 
 At scale the two scans + anti-join of the textbook form are replaced by one
-scan of ``(user, test_ab)``: one ``groupBy(user)`` yields both the set of
-groups and the "in another test" flag, and the partial aggregation collapses
-a hot user map-side. The collected set holds distinct group labels of one
-test only (a/b/...), so its size is bounded by the label domain, not by the
-user's row count.
+scan of ``(user, test_ab)``: a hash aggregation to (user, group) with an
+"in another test" flag (partial, so a hot user collapses map-side), then a
+window per user over at most (number of group labels + 1) rows.
 """
 
 from __future__ import annotations
@@ -84,21 +82,27 @@ def ab_isolate(cohort: DataFrame, events: DataFrame, test_id: str, start, end,
 def ab_isolated_cohort(events: DataFrame, test_id: str, start, end, mode: str = "reference") -> DataFrame:
     """U13 + U14 in one scan: isolated (user_pseudo_id, test_group) pairs.
 
-    Same rows as ``ab_isolate(ab_cohort(...))``. A null user is never
-    matched by the anti-join, so it is kept whatever its other labels.
+    Same rows as ``ab_isolate(ab_cohort(...))``. Labelled events reduce to
+    one row per (user, group-or-none) with "saw another test" -- a hash
+    aggregation, partial map-side, so a hot user shrinks to a row per task
+    -- then a window per user spreads the flag over the user's rows (at
+    most the number of group labels plus one). A null user is never matched
+    by the anti-join, so it is kept whatever its other labels.
     """
     label = F.col("event_params_custom.test_ab")
     grp = _group_expr(test_id, mode)
     in_test = _in_test(test_id, mode)
-    per_user = (in_date_range(events, start, end)
-                .where(label.isNotNull())
-                .select("user_pseudo_id",
-                        F.when(in_test, grp).alias("g"),
-                        (~in_test).alias("other"))
-                .groupBy("user_pseudo_id")
-                .agg(F.collect_set("g").alias("groups"), F.max("other").alias("in_other")))
-    return (per_user.where(~F.col("in_other") | F.col("user_pseudo_id").isNull())
-            .select("user_pseudo_id", F.explode("groups").alias("test_group")))
+    per_label = (in_date_range(events, start, end)
+                 .where(label.isNotNull())
+                 .select("user_pseudo_id",
+                         F.when(in_test, grp).alias("test_group"),
+                         (~in_test).alias("other"))
+                 .groupBy("user_pseudo_id", "test_group")
+                 .agg(F.max("other").alias("other")))
+    in_other = F.max("other").over(Window.partitionBy("user_pseudo_id"))
+    return (per_label.withColumn("in_other", in_other)
+            .where(F.col("test_group").isNotNull() & (~F.col("in_other") | F.col("user_pseudo_id").isNull()))
+            .select("user_pseudo_id", "test_group"))
 
 
 def ab_events(events: DataFrame, cohort: DataFrame, start, end) -> DataFrame:

@@ -13,8 +13,8 @@ Plan shape (``funnel_by_segment``):
    ``IN`` list pushed to Parquet; prune to 6 columns;
 2. pivot to session grain *before* joining sessions (partial aggregation
    map-side, so a hot session shrinks to one row per task);
-3. collapse ``ga4_sessions`` to one row per session id (set of channels)
-   with partial aggregation, then left-join the much smaller pivot to it;
+3. reduce ``ga4_sessions`` to distinct (session id, channel) pairs with
+   map-side partial aggregation, then left-join the much smaller pivot to it;
    AQE picks broadcast or sort-merge from runtime sizes; duplicate or hot
    session ids cannot fan out or skew the join;
 4. per-segment distinct user counts via two-level aggregation (no
@@ -180,23 +180,20 @@ def funnel_pivot(events: DataFrame, sessions: DataFrame, start, end,
     if "channel" not in dims:
         return ev.groupBy(*keys, *dims).agg(*_pivot_aggs(steps, counts))
     pre = ev.groupBy(*keys, *[d for d in dims if d != "channel"]).agg(*_pivot_aggs(steps, counts))
-    joined = pre.join(session_channel_sets(sessions), "session_id", "left")
-    out = joined.select(*pre.columns, F.explode_outer("channels").alias("c")).withColumn("channel", F.col("c.channel"))
-    return out.select(*keys, *dims, *[c for c in pre.columns if c not in keys and c not in dims])
+    joined = pre.join(distinct_session_channels(sessions), "session_id", "left")
+    return joined.select(*keys, *dims, *[c for c in pre.columns if c not in keys and c not in dims])
 
 
-def session_channel_sets(sessions: DataFrame) -> DataFrame:
-    """One row per session id with the set of its distinct channels.
+def distinct_session_channels(sessions: DataFrame) -> DataFrame:
+    """Distinct ``(session_id, channel)`` pairs of the sessions table.
 
     Duplicate session rows (even one id holding a large share of the table)
-    collapse map-side before the shuffle, so the join neither fans out nor
-    gets a hot key on its non-splittable (right) side. Channels are kept as
-    structs so a null channel stays a member (it forms its own segment, as
-    a left-joined null does). The set is bounded by the channel domain.
+    collapse map-side in a hash aggregation before any shuffle, so the join
+    neither fans out nor meets a hot key on its non-splittable (right)
+    side. A null channel stays its own pair, forming its own segment as a
+    left-joined null does.
     """
-    return (_session_channels(sessions)
-            .groupBy("session_id")
-            .agg(F.collect_set(F.struct("channel")).alias("channels")))
+    return _session_channels(sessions).distinct()
 
 
 def funnel_counts(pivot: DataFrame, dims=DEFAULT_DIMS, steps=FUNNEL_STEPS) -> DataFrame:
