@@ -119,7 +119,10 @@ def _flat_events(raw: DataFrame) -> DataFrame:
     """Flat analytics columns from the raw test ``events`` table (one row per event)."""
     eid = F.col("event_id")
     uid = F.col("user_id")
-    ts = F.col("ts").cast("timestamp")  # timestamp_ntz in the files; session TZ is UTC
+    # ``ts`` is timestamp_ntz (a UTC wall clock). Microseconds since the epoch
+    # are taken on the NTZ value itself, so the session time zone cannot
+    # shift them; the UTC instant is rebuilt from those microseconds.
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     day_no = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
     bucket = (day_no - day_no % 3) / 3
     step = eid % 100
@@ -136,8 +139,8 @@ def _flat_events(raw: DataFrame) -> DataFrame:
     df = raw.select(
         eid.alias("event_id"), uid.alias("user_id"), F.col("value"),
         F.col("ts").cast("date").alias("event_date"),
-        F.unix_micros(ts).alias("event_timestamp"),
-        ts.alias("event_timestamp_utc"),
+        micros.alias("event_timestamp"),
+        F.timestamp_micros(micros).alias("event_timestamp_utc"),
         (bucket.cast("bigint") + 1).alias("bucket"),
         event_name.alias("event_name"),
         device.alias("device_category"),

@@ -56,3 +56,19 @@ def test_spread_only_small_split_counts(spark):
     assert spread(ev).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     wide = spark.range(0, 100, numPartitions=spark.sparkContext.defaultParallelism)
     assert spread(wide) is wide
+
+
+def test_adapter_micros_ignore_session_time_zone(spark):
+    from clickflow.sources.ga4 import ga4_tables
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        ny = ga4_tables(spark, "/root/testdata/sf0.001").events.select("event_id", "time.event_timestamp").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    utc = ga4_tables(spark, "/root/testdata/sf0.001").events.select("event_id", "time.event_timestamp").collect()
+    assert sorted(ny) == sorted(utc)
+    import duckdb
+    first = duckdb.sql("select event_id, epoch_us(ts) from '/root/testdata/sf0.001/events.parquet' "
+                       "order by event_id limit 1").fetchall()[0]
+    assert dict((r[0], r[1]) for r in utc)[first[0]] == first[1]
