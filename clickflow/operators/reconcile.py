@@ -172,3 +172,30 @@ def write_report_csv(rec: DataFrame, path: str) -> str:
     """
     rec.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
     return path
+
+
+def reconcile_job(spark, transactions: DataFrame, crm_path: str, start=None, end=None,
+                  out_dir: str | None = None, output: str | None = None,
+                  threshold: float = DEVIATION_THRESHOLD_PCT, today: date | None = None) -> dict:
+    """The whole analytics-vs-CRM run in one call.
+
+    Dates default to the last 31 full days (each side on its own); the CRM
+    CSV is loaded and normalised; the daily analytics roll-up is compared;
+    the comparison is written as CSV to ``output`` or to
+    ``{out_dir}/ga4_vs_crm_{start}_{end}.csv`` when ``out_dir`` is given.
+    Returns the comparison, the one-row summary and the flagged days as
+    DataFrames (the caller decides what to show or collect).
+    """
+    d_start, d_end = default_date_range(today)
+    start = start or d_start
+    end = end or d_end
+    rec = reconcile(ga4_daily(transactions, start, end), load_crm(spark, crm_path), threshold)
+    path = output or (report_path(out_dir, start, end) if out_dir else None)
+    if path:
+        write_report_csv(rec, path)
+    out = {"comparison": rec, "summary": reconcile_summary(rec), "path": path}
+    if "trans_flag" in rec.columns:
+        out["flagged_transactions"] = flagged_days(rec, "trans")
+    if "rev_flag" in rec.columns:
+        out["flagged_revenue"] = flagged_days(rec, "rev")
+    return out

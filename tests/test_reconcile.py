@@ -107,3 +107,22 @@ def test_ga4_daily_counts_distinct_transactions(tables01):
     tx = tables01.transactions
     assert daily.agg(F.sum("ga4_transactions")).first()[0] <= tx.count()
     assert daily.count() == 30
+
+
+def test_reconcile_job_end_to_end(spark):
+    tx = spark.createDataFrame(
+        [("T1", "2024-01-01", "purchase", 100.0), ("T1", "2024-01-01", "purchase", 50.0),
+         ("T2", "2024-01-02", "purchase", 10.0), ("T3", "2024-01-02", "refund", 99.0)],
+        "transaction_id string, d string, event_name string, r double",
+    ).select("transaction_id", F.col("d").cast("date").alias("transaction_date"), "event_name",
+             F.struct(F.col("r").alias("purchase_revenue")).alias("ecommerce"))
+    crm = _csv("date,transactions,revenue\n2024-01-01,1,150\n2024-01-02,2,10\n")
+    out_dir = tempfile.mkdtemp(prefix="clickflow-job-")
+    res = rc.reconcile_job(spark, tx, crm, out_dir=out_dir, today=dt.date(2024, 1, 3))
+    assert res["path"] == f"{out_dir}/ga4_vs_crm_2023-12-03_2024-01-02.csv"
+    rows = {r["date"].isoformat(): r for r in res["comparison"].collect()}
+    assert rows["2024-01-01"]["ga4_transactions"] == 1 and rows["2024-01-01"]["ga4_revenue"] == 150.0
+    assert rows["2024-01-02"]["ga4_transactions"] == 1 and rows["2024-01-02"]["trans_diff_pct"] == -50.0
+    assert [r["date"].isoformat() for r in res["flagged_transactions"].collect()] == ["2024-01-02"]
+    assert res["summary"].first()["days"] == 2
+    assert spark.read.option("header", True).csv(res["path"]).count() == 2
