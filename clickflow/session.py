@@ -39,6 +39,28 @@ CLUSTER_CONF = {
 }
 
 
+def cluster_conf(input_bytes: int, shuffle_fraction: float = 0.25,
+                 partition_bytes: int = 256 * 1024 ** 2) -> dict:
+    """``CLUSTER_CONF`` with shuffle partitions sized for ``input_bytes`` of events.
+
+    The first shuffle of every report carries projected, map-side
+    pre-aggregated rows -- ``shuffle_fraction`` of the scanned bytes is a
+    conservative estimate. The initial partition count puts about
+    ``partition_bytes`` in each reduce task (fits executor memory with room
+    to spare); AQE coalesces partitions that turn out smaller and splits
+    skewed ones.
+    """
+    n = max(200, min(200_000, -(-int(input_bytes * shuffle_fraction) // partition_bytes)))
+    size = f"{partition_bytes // 1024 ** 2}m"
+    return {
+        **CLUSTER_CONF,
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.files.maxPartitionBytes": size,
+    }
+
+
 def apply_missing(conf, settings: dict) -> None:
     """Set each runtime-settable entry of ``settings`` that ``conf`` does not have yet."""
     for k, v in settings.items():
@@ -78,6 +100,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            # a machine-local folder is not visible to the other executors
+            raise ValueError("set spark.checkpoint.dir to a shared folder (HDFS, object store) "
+                             "in the cluster's Spark configuration")
         conf_dir = tempfile.mkdtemp(prefix="clickflow-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return conf_dir

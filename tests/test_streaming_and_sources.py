@@ -72,3 +72,12 @@ def test_adapter_micros_ignore_session_time_zone(spark):
     first = duckdb.sql("select event_id, epoch_us(ts) from '/root/testdata/sf0.001/events.parquet' "
                        "order by event_id limit 1").fetchall()[0]
     assert dict((r[0], r[1]) for r in utc)[first[0]] == first[1]
+
+
+def test_cluster_conf_scales_with_input():
+    from clickflow.session import cluster_conf
+    small = cluster_conf(10 * 1024 ** 3)
+    big = cluster_conf(100 * 1024 ** 4)
+    assert small["spark.sql.shuffle.partitions"] == "200"
+    assert big["spark.sql.shuffle.partitions"] == str(100 * 1024 ** 4 // 4 // (256 * 1024 ** 2))
+    assert big["spark.sql.adaptive.enabled"] == "true"
