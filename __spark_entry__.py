@@ -115,6 +115,10 @@ def _ab_isolated_antijoin(spark, d):
     return abtest.ab_isolate(abtest.ab_cohort(ev, TEST_ID, START, END), ev, TEST_ID, START, END)
 
 
+def _ab_contamination(spark, d):
+    return abtest.ab_contamination(abtest.ab_isolated_cohort(_t(spark, d).events, TEST_ID, START, END))
+
+
 def _ab_events(spark, d):
     ev = _t(spark, d).events
     return abtest.ab_events(ev, abtest.ab_isolated_cohort(ev, TEST_ID, START, END), START, END)
@@ -228,6 +232,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ab_isolated": _ab_isolated,
         "ab_isolated_antijoin": _ab_isolated_antijoin,
         "ab_events": _ab_events,
+        "ab_contamination": _ab_contamination,
         "ab_split_check": _ab_split,
         "ab_metrics": _ab_metrics,
         "ab_report": _ab_report,

@@ -105,6 +105,19 @@ def ab_isolated_cohort(events: DataFrame, test_id: str, start, end, mode: str =
             .select("user_pseudo_id", "test_group"))
 
 
+def ab_contamination(cohort: DataFrame) -> DataFrame:
+    """Users of the cohort seen in more than one group (they count in each).
+
+    One row: ``cohort_users`` (distinct users) and ``contaminated_users``.
+    Two hash aggregations: per user the number of groups, then the totals.
+    """
+    per_user = cohort.groupBy("user_pseudo_id").agg(F.count_distinct("test_group").alias("groups"))
+    return per_user.agg(
+        F.count("user_pseudo_id").alias("cohort_users"),
+        F.count_if(F.col("groups") > 1).alias("contaminated_users"),
+    )
+
+
 def ab_events(events: DataFrame, cohort: DataFrame, start, end) -> DataFrame:
     """Events of cohort users, tagged with the group (event grain).
 

@@ -122,3 +122,10 @@ def test_broadcast_first_and_aggregate_first_agree(tables01):
     cols = sorted(small.columns)
     assert small.select(*cols).exceptAll(large.select(*cols)).count() == 0
     assert large.select(*cols).exceptAll(small.select(*cols)).count() == 0
+
+
+def test_contamination_counts_users_in_both_groups(spark):
+    cohort = spark.createDataFrame([("u1", "a"), ("u1", "b"), ("u2", "a"), ("u3", "b")],
+                                   "user_pseudo_id string, test_group string")
+    r = abtest.ab_contamination(cohort).first()
+    assert (r["cohort_users"], r["contaminated_users"]) == (3, 1)
