@@ -264,6 +264,19 @@ _WRITTEN: dict[tuple[str, str], str] = {}
 _WRITE_LOCK = threading.Lock()
 
 
+def _complete(spark: SparkSession, base: str) -> bool:
+    """Whether all three tables under ``base`` finished writing (``_SUCCESS``
+    markers), checked through the Hadoop FileSystem API so it works on any
+    shared storage."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for t in ("ga4_events", "ga4_sessions", "ga4_transactions"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{base}/{t}/_SUCCESS")
+        if not path.getFileSystem(conf).exists(path):
+            return False
+    return True
+
+
 def ga4_tables_materialized(spark: SparkSession, sf_dir: str) -> Ga4Tables:
     """GA4 tables derived from ``{sf_dir}/events.parquet``, written once per
     application in the production layout under the shared checkpoint folder,
@@ -278,6 +291,8 @@ def ga4_tables_materialized(spark: SparkSession, sf_dir: str) -> Ga4Tables:
 
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     with _WRITE_LOCK:
+        if key in _WRITTEN and not _complete(spark, _WRITTEN[key]):
+            del _WRITTEN[key]  # the folder was cleaned up meanwhile
         if key not in _WRITTEN:
             tag = hashlib.sha1("|".join(key).encode()).hexdigest()[:16]
             out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ga4-tables-{tag}"

@@ -81,3 +81,16 @@ def test_cluster_conf_scales_with_input():
     assert small["spark.sql.shuffle.partitions"] == "200"
     assert big["spark.sql.shuffle.partitions"] == str(100 * 1024 ** 4 // 4 // (256 * 1024 ** 2))
     assert big["spark.sql.adaptive.enabled"] == "true"
+
+
+def test_materialized_tables_rewritten_when_folder_is_gone(spark):
+    import shutil
+    from clickflow.sources import ga4
+    n1 = ga4.ga4_tables_materialized(spark, "/root/testdata/sf0.001").events.count()
+    key = (spark.sparkContext.applicationId, "/root/testdata/sf0.001")
+    base = ga4._WRITTEN[key]
+    assert ga4._complete(spark, base)
+    shutil.rmtree(base.replace("file:", ""))
+    assert not ga4._complete(spark, base)
+    t2 = ga4.ga4_tables_materialized(spark, "/root/testdata/sf0.001")
+    assert t2.events.count() == n1 == 1000
