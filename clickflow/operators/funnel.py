@@ -163,8 +163,22 @@ def session_step_pivot(base: DataFrame, dims=DEFAULT_DIMS, steps=FUNNEL_STEPS,
     return base.groupBy("user_pseudo_id", "session_id", *dims).agg(*_pivot_aggs(steps, counts))
 
 
+def sessions_in(sessions: DataFrame, session_dates: tuple | None) -> DataFrame:
+    """Opt-in ``session_date BETWEEN a AND b`` on the sessions table.
+
+    The reference reads every session; restricting them prunes the sessions
+    scan to the given ``session_date`` partitions but drops the channel of
+    any session that started outside the range, so it is never applied by
+    default.
+    """
+    if session_dates is None:
+        return sessions
+    return in_date_range(sessions, session_dates[0], session_dates[1], "session_date")
+
+
 def funnel_pivot(events: DataFrame, sessions: DataFrame, start, end,
-                 steps=FUNNEL_STEPS, dims=DEFAULT_DIMS, counts: bool = False) -> DataFrame:
+                 steps=FUNNEL_STEPS, dims=DEFAULT_DIMS, counts: bool = False,
+                 session_dates: tuple | None = None) -> DataFrame:
     """Session-grain pivot with the channel joined on *after* aggregation.
 
     Equal to ``session_step_pivot(base_events(...))``: the channel depends
@@ -180,7 +194,7 @@ def funnel_pivot(events: DataFrame, sessions: DataFrame, start, end,
     if "channel" not in dims:
         return ev.groupBy(*keys, *dims).agg(*_pivot_aggs(steps, counts))
     pre = ev.groupBy(*keys, *[d for d in dims if d != "channel"]).agg(*_pivot_aggs(steps, counts))
-    joined = pre.join(distinct_session_channels(sessions), "session_id", "left")
+    joined = pre.join(distinct_session_channels(sessions_in(sessions, session_dates)), "session_id", "left")
     return joined.select(*keys, *dims, *[c for c in pre.columns if c not in keys and c not in dims])
 
 
@@ -232,14 +246,16 @@ def funnel_rates(counts: DataFrame) -> DataFrame:
 
 
 def funnel_by_segment(events: DataFrame, sessions: DataFrame, start, end,
-                      dims=DEFAULT_DIMS, checkpoint: bool = True) -> DataFrame:
+                      dims=DEFAULT_DIMS, checkpoint: bool = True,
+                      session_dates: tuple | None = None) -> DataFrame:
     """The whole segmented funnel report, ordered by the segment columns.
 
     The session-grain pivot feeds two aggregations (distinct users and
     medians); ``checkpoint`` writes it once so the events are scanned once.
     """
     dims = list(dims)
-    pivot = materialize(funnel_pivot(events, sessions, start, end, FUNNEL_STEPS, dims), checkpoint)
+    pivot = materialize(funnel_pivot(events, sessions, start, end, FUNNEL_STEPS, dims,
+                                     session_dates=session_dates), checkpoint)
     counts = funnel_counts(pivot, dims)
     medians = funnel_medians(pivot, dims)
     report = funnel_rates(merge_on_keys([counts, medians], dims))

@@ -244,7 +244,9 @@ def write_ga4_tables(tables: Ga4Tables, out_dir: str, mode: str = "overwrite") -
      .hint("rebalance", "event_date")
      .sortWithinPartitions("event_date", "event_name", "session_id")
      .write.mode(mode).partitionBy("event_date").parquet(f"{out}/ga4_events"))
-    tables.sessions.write.mode(mode).parquet(f"{out}/ga4_sessions")
+    (tables.sessions
+     .hint("rebalance", "session_date")
+     .write.mode(mode).partitionBy("session_date").parquet(f"{out}/ga4_sessions"))
     (tables.transactions
      .hint("rebalance", "transaction_date")
      .write.mode(mode).partitionBy("transaction_date").parquet(f"{out}/ga4_transactions"))

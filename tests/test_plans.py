@@ -84,3 +84,17 @@ def test_parsers_read_only_used_item_fields(spark, tables001):
     schema = re.search(r"ReadSchema: (struct<.*)", plan).group(1)
     assert "items:array<struct<item_id:string,item_params_custom:struct<item_parameter_5:string>>>" in schema
     assert "item_params:" not in schema and "item_parameter_1" not in schema
+
+
+def test_opt_in_session_dates_prune_sessions_scan(spark, tables001):
+    out = tempfile.mkdtemp(prefix="clickflow-ga4-")
+    write_ga4_tables(tables001, out)
+    t = read_ga4_tables(spark, out)
+    pivot = funnel.funnel_pivot(t.events, t.sessions, "2024-01-10", "2024-01-12",
+                                session_dates=("2024-01-01", "2024-01-12"))
+    plan = physical_plan(pivot)
+    assert "PartitionFilters: [isnotnull(session_date" in plan
+    default = funnel.funnel_pivot(t.events, t.sessions, "2024-01-10", "2024-01-12")
+    assert "PartitionFilters: [isnotnull(session_date" not in physical_plan(default)
+    # with a range covering every session the result is unchanged
+    assert pivot.exceptAll(default).count() == 0 and default.exceptAll(pivot).count() == 0
