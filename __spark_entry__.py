@@ -7,11 +7,19 @@ date range below covers every event in the generated data.
 
 from __future__ import annotations
 
+import os
+import sys
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Importable from any working directory (the package sits next to this file).
+# Nothing here runs Python on executors, so nothing needs shipping to them.
+_HERE = os.path.dirname(os.path.abspath(__file__))
+if _HERE not in sys.path:
+    sys.path.insert(0, _HERE)
+
 from clickflow.operators import abtest, enrich, funnel, item_params, reconcile
 from clickflow.plans.materialize import materialize
 from clickflow.plans.oracle import END, ORACLE_SQL, START
