@@ -168,7 +168,7 @@ def ab_session_grain(events: DataFrame, cohort: DataFrame, start, end,
     )
     keys = ["user_pseudo_id", "session_id", "device_category", "purchase_txn"]
     # A plain count is a distributed partial count (a ``limit`` would funnel
-    # rows through one task); the cohort is checkpointed by the reports.
+    # rows through one task); the reports materialise the cohort first.
     if broadcast_max_rows is not None and cohort.count() <= broadcast_max_rows:
         return ev.join(F.broadcast(cohort), "user_pseudo_id", "inner") \
             .groupBy(*keys, "test_group").agg(*_session_grain_aggs())
@@ -239,9 +239,10 @@ def ab_report(events: DataFrame, test_id: str, start, end, mode: str = "referenc
     """KPIs per (group, device) with the group's user share and split status.
 
     The session-grain cohort facts feed five distinct-count branches;
-    ``checkpoint`` writes them once so the events are scanned once for them.
+    ``checkpoint`` writes them once to the shared folder so the events are
+    scanned once for them.
     """
-    cohort = materialize(ab_isolated_cohort(events, test_id, start, end, mode), checkpoint)
+    cohort = materialize(ab_isolated_cohort(events, test_id, start, end, mode), checkpoint, how="checkpoint")
     grain = materialize(ab_session_grain(events, cohort, start, end, COHORT_BROADCAST_MAX_ROWS), checkpoint)
     results = ab_kpis(ab_metrics(grain))
     split = split_check(grain, low, high).select("test_group", "user_share", "split_status")
@@ -290,7 +291,7 @@ def ab_ztest(events: DataFrame, test_id: str, start, end, control: str = CONTROL
     ``conversions`` are distinct purchasing users and ``sessions`` distinct
     sessions of the group (the reference's ``cr_session_to_purchase``).
     """
-    cohort = materialize(ab_isolated_cohort(events, test_id, start, end, mode), checkpoint)
+    cohort = materialize(ab_isolated_cohort(events, test_id, start, end, mode), checkpoint, how="checkpoint")
     grain = ab_session_grain(events, cohort, start, end, COHORT_BROADCAST_MAX_ROWS)
     totals = ab_group_totals(materialize(grain, checkpoint))
     whole = Window.partitionBy()  # one row per group: tiny

@@ -251,7 +251,8 @@ def funnel_by_segment(events: DataFrame, sessions: DataFrame, start, end,
     """The whole segmented funnel report, ordered by the segment columns.
 
     The session-grain pivot feeds two aggregations (distinct users and
-    medians); ``checkpoint`` writes it once so the events are scanned once.
+    medians); ``checkpoint`` writes it once to the shared folder (see
+    ``plans.materialize``) so the events are scanned once.
     """
     dims = list(dims)
     pivot = materialize(funnel_pivot(events, sessions, start, end, FUNNEL_STEPS, dims,

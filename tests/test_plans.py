@@ -98,3 +98,18 @@ def test_opt_in_session_dates_prune_sessions_scan(spark, tables001):
     assert "PartitionFilters: [isnotnull(session_date" not in physical_plan(default)
     # with a range covering every session the result is unchanged
     assert pivot.exceptAll(default).count() == 0 and default.exceptAll(pivot).count() == 0
+
+
+def test_materialized_table_is_read_per_branch_columns(spark, tables001):
+    from clickflow.plans.materialize import drop_materialized
+    t = tables001
+    rep = funnel.funnel_by_segment(t.events, t.sessions, S, E)
+    plan = physical_plan(rep)
+    schemas = re.findall(r"ReadSchema: (struct<[^\n]*?>)(?:,|\n|$)", plan)
+    assert len(schemas) == 2  # one read per branch of the materialised pivot
+    counts_side = [x for x in schemas if "step_session_start" in x]
+    median_side = [x for x in schemas if "ts_session_start" in x]
+    assert counts_side and "ts_" not in counts_side[0]
+    assert median_side and "step_" not in median_side[0] and "user_pseudo_id" not in median_side[0]
+    assert rep.count() == 30
+    assert drop_materialized(spark)
