@@ -246,8 +246,9 @@ def ab_report(events: DataFrame, test_id: str, start, end, mode: str = "referenc
     grain = materialize(ab_session_grain(events, cohort, start, end, COHORT_BROADCAST_MAX_ROWS), checkpoint)
     results = ab_kpis(ab_metrics(grain))
     split = split_check(grain, low, high).select("test_group", "user_share", "split_status")
-    # Both sides hold one row per group (x device): bounded by the label domain.
-    return results.join(F.broadcast(split), "test_group", "left").orderBy("test_group", "device_category")
+    # Both sides hold one row per group (x device); AQE picks the join from
+    # their measured sizes (a broadcast of a few rows here).
+    return results.join(split, "test_group", "left").orderBy("test_group", "device_category")
 
 
 def two_proportion_z(df: DataFrame, levels=Z_LEVELS, not_significant: str = NOT_SIGNIFICANT) -> DataFrame:
