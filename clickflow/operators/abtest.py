@@ -132,7 +132,9 @@ def ab_events(events: DataFrame, cohort: DataFrame, start, end) -> DataFrame:
     return ev.join(cohort, "user_pseudo_id", "inner")
 
 
-COHORT_BROADCAST_MAX_ROWS = 1_000_000
+# A (user_pseudo_id, test_group) row is ~40 bytes in Spark's row format, so
+# 250k rows is about Spark's own 10 MB default broadcast budget.
+COHORT_BROADCAST_MAX_ROWS = 250_000
 
 
 def _session_grain_aggs() -> list[Column]:
