@@ -45,7 +45,7 @@ def _first_present(columns: list[str], aliases: list[str]) -> str | None:
     return next((a for a in aliases if a in columns), None)
 
 
-def normalize_crm(raw: DataFrame) -> DataFrame:
+def normalize_crm(raw: DataFrame, date_format: str | None = None) -> DataFrame:
     """S5..S7 on an all-string CRM frame.
 
     Headers are lower-cased and stripped; the date column is the first of
@@ -61,7 +61,12 @@ def normalize_crm(raw: DataFrame) -> DataFrame:
     date_col = _first_present(names, DATE_ALIASES)
     if date_col is None:
         raise ValueError(f"no date column in CRM export; available: {names}")
-    cols = [F.to_date(F.trim(F.col(date_col))).alias("date")]
+    raw_date = F.trim(F.col(date_col))
+    # ISO dates (with an optional time of day) by default; ``date_format`` (a
+    # Spark datetime pattern such as "dd.MM.yyyy") for other exports. Strict
+    # either way: an unparseable date fails the job.
+    parsed = F.to_date(raw_date, date_format) if date_format else F.to_date(raw_date)
+    cols = [parsed.alias("date")]
     trans_col = _first_present(names, TRANSACTION_ALIASES)
     rev_col = _first_present(names, REVENUE_ALIASES)
     if trans_col:
@@ -71,10 +76,10 @@ def normalize_crm(raw: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def load_crm(spark, path: str) -> DataFrame:
+def load_crm(spark, path: str, date_format: str | None = None) -> DataFrame:
     """Read a CRM CSV export (header row, every column as string)."""
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return normalize_crm(raw)
+    return normalize_crm(raw, date_format)
 
 
 def _pct(a, b):
@@ -176,7 +181,8 @@ def write_report_csv(rec: DataFrame, path: str) -> str:
 
 def reconcile_job(spark, transactions: DataFrame, crm_path: str, start=None, end=None,
                   out_dir: str | None = None, output: str | None = None,
-                  threshold: float = DEVIATION_THRESHOLD_PCT, today: date | None = None) -> dict:
+                  threshold: float = DEVIATION_THRESHOLD_PCT, today: date | None = None,
+                  date_format: str | None = None) -> dict:
     """The whole analytics-vs-CRM run in one call.
 
     Dates default to the last 31 full days (each side on its own); the CRM
@@ -189,7 +195,7 @@ def reconcile_job(spark, transactions: DataFrame, crm_path: str, start=None, end
     d_start, d_end = default_date_range(today)
     start = start or d_start
     end = end or d_end
-    rec = reconcile(ga4_daily(transactions, start, end), load_crm(spark, crm_path), threshold)
+    rec = reconcile(ga4_daily(transactions, start, end), load_crm(spark, crm_path, date_format), threshold)
     path = output or (report_path(out_dir, start, end) if out_dir else None)
     if path:
         write_report_csv(rec, path)

@@ -228,6 +228,13 @@ def ga4_tables(spark: SparkSession, sf_dir: str) -> Ga4Tables:
     return ga4_from_events(spread(read_source(spark, sf_dir, "events")))
 
 
+def events_write_layout(events: DataFrame) -> DataFrame:
+    """Rows of a day together (few files per day, AQE splits big days), each file
+    clustered by ``event_name, session_id``."""
+    return (events.hint("rebalance", "event_date")
+            .sortWithinPartitions("event_date", "event_name", "session_id"))
+
+
 def write_ga4_tables(tables: Ga4Tables, out_dir: str, mode: str = "overwrite") -> None:
     """Materialise the tables in the production layout.
 
@@ -240,9 +247,7 @@ def write_ga4_tables(tables: Ga4Tables, out_dir: str, mode: str = "overwrite") -
     ``repartition(event_date)`` would send each whole day to one task).
     """
     out = out_dir.rstrip("/")
-    (tables.events
-     .hint("rebalance", "event_date")
-     .sortWithinPartitions("event_date", "event_name", "session_id")
+    (events_write_layout(tables.events)
      .write.mode(mode).partitionBy("event_date").parquet(f"{out}/ga4_events"))
     (tables.sessions
      .hint("rebalance", "session_date")

@@ -113,3 +113,10 @@ def test_materialized_table_is_read_per_branch_columns(spark, tables001):
     assert median_side and "step_" not in median_side[0] and "user_pseudo_id" not in median_side[0]
     assert rep.count() == 30
     assert drop_materialized(spark)
+
+
+def test_partitioned_writes_rebalance_by_day(tables001):
+    from clickflow.sources.ga4 import events_write_layout
+    plan = physical_plan(events_write_layout(tables001.events))
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan and "hashpartitioning(event_date" in plan
+    assert "Sort [event_date" in plan

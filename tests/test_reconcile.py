@@ -126,3 +126,13 @@ def test_reconcile_job_end_to_end(spark):
     assert [r["date"].isoformat() for r in res["flagged_transactions"].collect()] == ["2024-01-02"]
     assert res["summary"].first()["days"] == 2
     assert spark.read.option("header", True).csv(res["path"]).count() == 2
+
+
+def test_local_date_format(spark):
+    crm = rc.load_crm(spark, _csv("Data,Orders\n05.01.2024,3\n"), date_format="dd.MM.yyyy")
+    assert crm.first()["date"] == dt.date(2024, 1, 5)
+
+
+def test_bad_date_fails(spark):
+    with pytest.raises(Exception):
+        rc.load_crm(spark, _csv("date,orders\nnot-a-date,3\n")).collect()
