@@ -103,3 +103,17 @@ def test_session_with_null_and_named_channel_forms_two_segments(spark, tables001
     optimised = funnel.funnel_pivot(t.events, sessions, S, E)
     assert textbook.where(F.col("session_id") == one).count() == 2
     assert textbook.exceptAll(optimised).count() == 0 and optimised.exceptAll(textbook).count() == 0
+
+
+def test_reports_on_an_empty_range(tables001):
+    from clickflow.operators import abtest, enrich, item_params, reconcile
+    t = tables001
+    s, e = "2023-01-01", "2023-01-31"
+    assert funnel.funnel_by_segment(t.events, t.sessions, s, e).count() == 0
+    assert funnel.funnel_steps_long(t.events, t.sessions, s, e).count() == 0
+    assert abtest.ab_report(t.events, "TABW131", s, e).count() == 0
+    assert abtest.ab_ztest(t.events, "TABW131", s, e).count() == 0
+    assert abtest.ab_report(t.events, "NO_SUCH_TEST", S, E).count() == 0
+    assert item_params.parse_items(t.events, s, e).count() == 0
+    assert enrich.transaction_totals(t.events, s, e).count() == 0
+    assert reconcile.ga4_daily(t.transactions, s, e).count() == 0
