@@ -179,7 +179,7 @@ def _crm_daily(spark, d):
 
 def _crm_daily_csv(spark, d):
     """The CRM export as a CSV file in the shared folder, read back with ``load_crm``."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/crm-export-{abs(hash(d)) % 10**9}.csv"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/crm-export-{uuid.uuid4().hex[:12]}.csv"
     write_crm_csv(crm_export_from_events(read_source(spark, d, "events")), path)
     return reconcile.load_crm(spark, path)
 
