@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickflow.functions.exprs import money_sum
-from clickflow.operators.funnel import dim_expr, in_date_range
+from clickflow.operators.funnel import dim_expr, in_date_range, order_by
 
 # ---------------------------------------------------------------------------
 # Query-string keys promoted to ``url_params`` and the custom
@@ -119,8 +119,9 @@ def session_metrics(events: DataFrame, start, end, dims=("event_date", "device_c
     ev = in_date_range(events, start, end).select(
         "user_pseudo_id", "session_id", *[dim_expr(d).alias(d) for d in dims])
     grain = ev.groupBy(*dims, "user_pseudo_id", "session_id").agg(F.count(F.lit(1)).alias("n"))
-    return grain.groupBy(*dims).agg(
+    out = grain.groupBy(*dims).agg(
         F.count_distinct("user_pseudo_id").alias("users"),
         F.count_distinct("session_id").alias("sessions"),
         F.sum("n").cast("bigint").alias("events"),
-    ).orderBy(*dims)
+    )
+    return order_by(out, dims)

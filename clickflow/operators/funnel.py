@@ -107,6 +107,12 @@ def in_date_range(events: DataFrame, start: date | str, end: date | str,
     return events.where(F.col(date_col).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
+def order_by(df: DataFrame, cols) -> DataFrame:
+    """``ORDER BY cols``; a report without segment columns is left as is."""
+    cols = list(cols)
+    return df.orderBy(*cols) if cols else df
+
+
 def user_type_col() -> Column:
     """'New' for the first session, otherwise (including null) 'Returning'."""
     return F.when(F.col("event_params.ga_session_number") == 1, F.lit("New")).otherwise(F.lit("Returning"))
@@ -262,7 +268,7 @@ def funnel_by_segment(events: DataFrame, sessions: DataFrame, start, end,
     report = funnel_rates(merge_on_keys([counts, medians], dims))
     ordered = dims + [f"users_{s}" for _, s in FUNNEL_STEPS] + [f"median_min_{g}" for g, _, _ in MEDIAN_GAPS] \
         + [n for n, _, _ in STEP_RATES] + [n for n, _ in OVERALL_RATES] + [n for n, _, _ in DROPOFFS]
-    return report.select(*ordered).orderBy(*dims)
+    return order_by(report.select(*ordered), dims)
 
 
 def funnel_steps_long(events: DataFrame, sessions: DataFrame, start, end,
@@ -330,11 +336,11 @@ def listing_sessions_dedup(events: DataFrame, start, end,
     ev = in_date_range(events, start, end).select(
         "session_id", "event_name", *[dim_expr(d).alias(d) for d in dims])
     is_listing = F.col("event_name") == "view_item_list"
-    return distinct_counts(ev, dims, [
+    out = distinct_counts(ev, dims, [
         DistinctBranch("session_id", {"listing_sessions": is_listing},
                        sums={"listing_events": flag(is_listing)}, sum_types={"listing_events": "bigint"}),
-    ]).withColumn("events_per_session", safe_divide("listing_events", "listing_sessions")) \
-        .orderBy(*dims)
+    ])
+    return order_by(out.withColumn("events_per_session", safe_divide("listing_events", "listing_sessions")), dims)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:

@@ -117,3 +117,16 @@ def test_reports_on_an_empty_range(tables001):
     assert item_params.parse_items(t.events, s, e).count() == 0
     assert enrich.transaction_totals(t.events, s, e).count() == 0
     assert reconcile.ga4_daily(t.transactions, s, e).count() == 0
+
+
+def test_reports_without_segment_columns(tables001):
+    from clickflow.operators import enrich
+    t = tables001
+    overall = funnel.funnel_by_segment(t.events, t.sessions, S, E, dims=()).collect()
+    by_device = funnel.funnel_by_segment(t.events, t.sessions, S, E, dims=("device_category",)).collect()
+    assert len(overall) == 1
+    # devices partition users (device is a function of the user here)
+    assert overall[0]["users_session_start"] == sum(r["users_session_start"] for r in by_device)
+    assert funnel.funnel_steps_long(t.events, t.sessions, S, E, dims=()).count() == 9
+    assert funnel.listing_sessions_dedup(t.events, S, E, dims=()).count() == 1
+    assert enrich.session_metrics(t.events, S, E, dims=()).count() == 1
