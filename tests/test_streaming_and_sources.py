@@ -94,3 +94,21 @@ def test_materialized_tables_rewritten_when_folder_is_gone(spark):
     assert not ga4._complete(spark, base)
     t2 = ga4.ga4_tables_materialized(spark, "/root/testdata/sf0.001")
     assert t2.events.count() == n1 == 1000
+
+
+def test_url_enrichment_equals_per_key_parse_url(spark):
+    from clickflow.operators.enrich import CUSTOM_URL_PARAMS, URL_PARAM_KEYS, url_enrichment
+    urls = [r[0] for r in read_source(spark, "/root/testdata/sf0.01", "pages").select("url").collect()] + [
+        "https://a.example.com/p?utm_source=&utm_medium=cpc", "https://a.example.com/p?xutm_source=1&utm_source=2",
+        "https://a.example.com/p?utm_source=a&utm_source=b#utm_campaign=frag", "https://a.example.com/",
+        "http://[bad", None, "https://a.example.com/s?search_query=Beach%20Trip&utm_term=x",
+    ]
+    df = spark.createDataFrame([(u,) for u in urls], "page_location string")
+    got = url_enrichment(df)
+    u = F.col("page_location")
+    keys = URL_PARAM_KEYS + [n for n, _ in CUSTOM_URL_PARAMS]
+    want = df.select(u, *[F.try_parse_url(u, F.lit("QUERY"), F.lit(k)).alias(k) for k in keys])
+    got = got.select(u, *[F.col(f"url_params.{k}").alias(k) for k in URL_PARAM_KEYS],
+                     F.upper(F.col("url_params_custom.search_query")).alias("search_query"))
+    want = want.withColumn("search_query", F.upper("search_query"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
