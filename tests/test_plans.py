@@ -15,7 +15,13 @@ S, E = "2024-01-01", "2024-01-31"
 
 def test_no_python_in_any_registered_query(spark):
     for name, fn in se.queries().items():
-        assert_no_python(fn(spark, "/root/testdata/sf0.001"))
+        df = fn(spark, "/root/testdata/sf0.001")
+        assert_no_python(df)
+        plan = physical_plan(df)
+        for bad in ("SortAggregate", "CartesianProduct", "BroadcastNestedLoopJoin"):
+            assert bad not in plan, (name, bad)
+        # two distinct counts on session grain are the one intended Expand
+        assert "Expand" not in plan or name == "session_metrics", name
 
 
 def test_anti_join_is_left_anti(tables001):
