@@ -272,7 +272,8 @@ def funnel_by_segment(events: DataFrame, sessions: DataFrame, start, end,
 
 
 def funnel_steps_long(events: DataFrame, sessions: DataFrame, start, end,
-                      steps=NINE_STEPS, dims=("device_category",), checkpoint: bool = True) -> DataFrame:
+                      steps=NINE_STEPS, dims=("device_category",), checkpoint: bool = True,
+                      session_dates: tuple | None = None) -> DataFrame:
     """Long-format funnel, one row per (segment, step).
 
     Per step: distinct users and sessions, event count, step CR (vs the
@@ -281,7 +282,8 @@ def funnel_steps_long(events: DataFrame, sessions: DataFrame, start, end,
     within the session.
     """
     dims = list(dims)
-    pivot = materialize(funnel_pivot(events, sessions, start, end, steps, dims, counts=True), checkpoint)
+    pivot = materialize(funnel_pivot(events, sessions, start, end, steps, dims, counts=True,
+                                     session_dates=session_dates), checkpoint)
     sfx = [s for _, s in steps]
     counts = distinct_counts(pivot, dims, [
         DistinctBranch("user_pseudo_id", {f"users_{s}": F.col(f"step_{s}") == 1 for s in sfx},
