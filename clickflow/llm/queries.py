@@ -68,3 +68,6 @@ QUERIES = {
     for f in (op1_token_counts, op2_html_text, op3_secret_scan, op4_token_files, op5_near_dedup, op6_line_dedup, op7_license_scan, op8_quality_rules,
               op9_mixing, op10_decontamination)
 }
+
+#: DuckDB SQL of the queries that SQL can express.
+ORACLE_SQL: dict[str, str] = {}
