@@ -3,7 +3,10 @@
 The library's pre-tokenizer never joins a character that is not white space
 with white space that follows it, so a text may be cut at every such place
 and each segment encoded on its own: the concatenation equals the library's
-encoding of the whole text. Words repeat, so segments are worth remembering.
+encoding of the whole text. Most texts are lines of words with one space
+between them, so their segments are the line breaks, the first words of lines
+and the other words with the space before them. Words repeat and are worth
+remembering; white space of any other form takes a general path.
 """
 
 from __future__ import annotations
@@ -48,11 +51,58 @@ class ByteBpe:
     def pretokens(self, segment: str) -> list[str]:
         return [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(segment)]
 
+    def word_pretokens(self, word: str, space: str = "") -> list[str]:
+        """Pre-tokens of a segment made of ``space`` (one or none) and a word that does not end in white space."""
+        letters, point = (word[:-1], word[-1]) if word[-1] in POINTS else (word, "")
+        if not letters.isalpha():
+            return self.pretokens(space + word)
+        if letters.isascii():
+            letters = SPACE + letters if space else letters
+        elif max(letters) < LATIN_END:  # letters on which all Unicode versions agree
+            letters = _byte_chars(space + letters)
+        else:
+            return self.pretokens(space + word)
+        return [letters, point] if point else [letters]
+
+    def pretoken_ids(self, pretoken: str) -> list[int]:
+        return [t.id for t in self.tok.model.tokenize(pretoken)]
+
     def count_pieces(self, pretoken: str) -> int:
         return len(self.tok.model.tokenize(pretoken))
 
-    def ids(self, segment: str) -> list[int]:
-        return self.tok.encode(segment, add_special_tokens=False).ids
+
+#: Characters from here on go to the library's own pre-tokenizer.
+LATIN_END = "\u0250"
+#: Single marks that end a word as a pre-token of their own.
+POINTS = frozenset(".,;:!?")
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """Byte-level BPE's character for each byte: itself if printable, else the next one from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+_ALPHABET = _byte_alphabet()
+
+
+def _byte_chars(text: str) -> str:
+    return text.encode("utf-8").decode("latin-1").translate(_ALPHABET)
+
+
+SPACE = _byte_chars(" ")
+#: The pre-token of a line break between two lines that are not empty.
+NEWLINE = _byte_chars("\n")
+
+
+def plain_lines(text: str) -> list[list[str]] | None:
+    """The words of each line, or None if a line is empty or has white space at its ends."""
+    lines = [line.split(" ") for line in text.split("\n")]
+    for words in lines:
+        if not words[0] or words[0][0] in WHITE or splits_badly(words[-1]):
+            return None
+    return lines
 
 
 def splits_badly(word: str) -> bool:

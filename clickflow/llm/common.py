@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -38,3 +40,17 @@ def utf8(column) -> list:
     import pyarrow as pa
 
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+def per_process(key, make):
+    """``make()`` once per Python worker process and key.
+
+    Functions are pickled by value, so module globals start afresh in every
+    task; workers are reused, and what is slow to build may stay in them.
+    """
+    import types
+
+    store = sys.modules.setdefault("_corpus_worker_store", types.ModuleType("_corpus_worker_store")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]

@@ -2,9 +2,9 @@
 
 Each task cuts its documents into pre-tokens and keeps, per chunk of
 documents, the chunk's distinct pre-tokens and the documents' frequencies of
-them. Only the chunks' dictionaries are shuffled: pieces are counted once for
-every distinct pre-token of the corpus, joined back to the dictionaries, and
-each chunk's frequencies are then multiplied by its piece counts. A frequent
+them. The chunks' dictionaries are shuffled by pre-token, pieces are counted
+once for every distinct one of the corpus, and the counts go back to the
+chunks, where they are joined with the frequencies and summed. A frequent
 pre-token costs one row per chunk, however often it occurs.
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); a null or
@@ -14,6 +14,7 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,85 +22,100 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickflow.llm.bpe import ByteBpe, segments, splits_badly
+from clickflow.llm.bpe import NEWLINE, ByteBpe, plain_lines, segments, splits_badly
 from clickflow.llm.common import id_type, keep
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 32 << 20
 
 
 class _Chunk:
-    """Documents of a chunk: frequencies by segment, and each segment's pre-tokens."""
+    """Frequencies of pre-tokens (numbered within the chunk) for each of its documents."""
 
     def __init__(self, bpe: ByteBpe):
         self.bpe = bpe
         self.ids, self.n_bytes, self.specials = [], [], []
-        self.doc_end, self.seg, self.freq = [0], [], []
-        self.spaced: dict[str, int | None] = {}  # a word after one space: its segment; None: cut differently
-        self.whole: dict[str, int] = {}
-        self.seg_end, self.seg_pre, self.pre = [0], [], {}
-
-    def _add(self, segment: str) -> int:
-        for p in self.bpe.pretokens(segment):
-            self.seg_pre.append(self.pre.setdefault(p, len(self.pre)))
-        self.seg_end.append(len(self.seg_pre))
-        return len(self.seg_end) - 2
-
-    def _whole(self, segment: str) -> int:
-        k = self.whole.get(segment)
-        if k is None:
-            k = self.whole[segment] = self._add(segment)
-        return k
-
-    def _count(self, text: str, counts: Counter) -> None:
-        first, *rest = text.split(" ")
-        own = Counter(rest)
-        found: list[tuple[int | None, int]] = []
-        spaced = self.spaced
-        for word, n in own.items():
-            k = spaced.get(word, -1)
-            if k == -1:
-                k = spaced[word] = None if splits_badly(word) else self._add(" " + word)
-            found.append((k, n))
-        if rest and (splits_badly(first) and first or any(k is None for k, _ in found)):
-            counts.update(map(self._whole, segments(text)))
-            return
-        if first:
-            counts[self._whole(first)] += 1
-        for k, n in found:
-            counts[k] += n
+        self.sizes, self.gaps, self.freq = array("I"), [], []
+        self.number: dict[str, int] = {}
+        chunk = self
+
+        class Words(dict):
+            """Numbers of a word's pre-tokens; None if the text must be cut differently."""
+
+            def __init__(self, space):
+                self.space = space
+
+            def __missing__(self, word):
+                self[word] = out = None if splits_badly(word) else chunk._numbers(bpe.word_pretokens(word, self.space))
+                return out
+
+        self.first, self.spaced = Words(""), Words(" ")
+
+    def _numbers(self, pretokens: list[str]) -> tuple[int, ...]:
+        number = self.number
+        return tuple(number.setdefault(p, len(number)) for p in pretokens)
+
+    def _plain(self, part: str) -> dict[int, int] | None:
+        lines = plain_lines(part)
+        if lines is None:
+            return None
+        firsts = Counter(words[0] for words in lines)
+        others = Counter(w for words in lines for w in words[1:])
+        counts: dict[int, int] = {}
+        for memory, own in ((self.first, firsts), (self.spaced, others)):
+            for word, n in own.items():
+                numbers = memory[word]
+                if numbers is None:
+                    return None
+                for k in numbers:
+                    counts[k] = counts.get(k, 0) + n
+        if len(lines) > 1:
+            k, = self._numbers([NEWLINE])
+            counts[k] = counts.get(k, 0) + len(lines) - 1
+        return counts
 
     def add(self, doc_id, text: str, n_bytes: int) -> None:
+        import numpy as np
+
         counts: Counter = Counter()
         parts = self.bpe.split_special(text)
         for part in parts[::2]:
             if part:
-                self._count(part, counts)
+                own = self._plain(part)
+                counts.update(own if own is not None else
+                              self._numbers([p for s in segments(part) for p in self.bpe.pretokens(s)]))
         self.ids.append(doc_id)
         self.n_bytes.append(n_bytes)
         self.specials.append(len(parts) // 2)
-        self.seg.extend(counts.keys())
-        self.freq.extend(counts.values())
-        self.doc_end.append(len(self.seg))
+        self.sizes.append(len(counts))
+        pre = np.fromiter(counts.keys(), dtype=np.uint32, count=len(counts))
+        order = np.argsort(pre)
+        self.gaps.append(np.diff(pre[order], prepend=np.uint32(0)))
+        self.freq.append(np.fromiter(counts.values(), dtype=np.uint32, count=len(counts))[order])
 
-    def row(self, chunk: str) -> dict:
+    def row(self, chunk: int) -> dict:
         import numpy as np
-        import pyarrow as pa
-
-        def packed(values) -> bytes:
-            a = np.asarray(values, dtype=np.uint32)
-            return len(a).to_bytes(8, "little") + pa.compress(a.tobytes(), codec="zstd", asbytes=True)
 
         return {"chunk": chunk, "ids": self.ids, "n_bytes": self.n_bytes, "specials": self.specials,
-                "doc_end": packed(self.doc_end), "seg": packed(self.seg), "freq": packed(self.freq),
-                "seg_end": packed(self.seg_end), "seg_pre": packed(self.seg_pre), "pretokens": list(self.pre)}
+                "sizes": _packed(np.asarray(self.sizes)), "gaps": _packed(np.concatenate(self.gaps)),
+                "freq": _packed(np.concatenate(self.freq)), "pretokens": list(self.number)}
 
 
-def _unpack(b: bytes):
+def _packed(values) -> bytes:
+    """Whole numbers, byte plane by byte plane, compressed."""
+    import numpy as np
+    import pyarrow as pa
+
+    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(b: bytes):
     import numpy as np
     import pyarrow as pa
 
     n = int.from_bytes(b[:8], "little")
-    return np.frombuffer(pa.decompress(b[8:], decompressed_size=4 * n, codec="zstd", asbytes=True), dtype=np.uint32)
+    planes = np.frombuffer(pa.decompress(b[8:], decompressed_size=4 * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
 
 
 def _chunker(path: str, schema, chunk_bytes: int):
@@ -107,8 +123,8 @@ def _chunker(path: str, schema, chunk_bytes: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        bpe, n, size = None, 0, 0
-        task = TaskContext.get().partitionId()
+        bpe, size = None, 0
+        n = TaskContext.get().partitionId() << 33
         chunk = None
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -119,25 +135,28 @@ def _chunker(path: str, schema, chunk_bytes: int):
                 chunk.add(doc_id, text, n_bytes)
                 size += n_bytes + 64
                 if size >= chunk_bytes:
-                    yield pa.RecordBatch.from_pylist([chunk.row(f"{task}-{n}")], schema=schema)
+                    yield pa.RecordBatch.from_pylist([chunk.row(n)], schema=schema)
                     chunk, n, size = None, n + 1, 0
         if chunk:
-            yield pa.RecordBatch.from_pylist([chunk.row(f"{task}-{n}")], schema=schema)
+            yield pa.RecordBatch.from_pylist([chunk.row(n)], schema=schema)
     return run
 
 
 def _piece_counter(path: str):
+    """Rows sorted by pre-token: pieces are counted once for each run of equal ones."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        bpe = None
+        bpe, last, n = None, None, 0
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            if words:
-                bpe = bpe or ByteBpe(path)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.string()), pa.array([bpe.count_pieces(w) for w in words], pa.int32())],
-                names=["pretoken", "n_pieces"])
+            pieces = []
+            for pretoken in batch.column(0).to_pylist():
+                if pretoken != last:
+                    bpe = bpe or ByteBpe(path)
+                    last, n = pretoken, bpe.count_pieces(pretoken)
+                pieces.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(pieces, pa.int32())],
+                                             names=["of_chunk", "pos", "n_pieces"])
     return run
 
 
@@ -146,23 +165,22 @@ def _sum_chunk(chunk, counts):
     import numpy as np
     import pyarrow as pa
 
-    pieces = np.zeros(int(max(counts.column("pos").to_numpy(), default=-1)) + 1, dtype=np.int64)
-    pieces[counts.column("pos").to_numpy()] = counts.column("n_pieces").to_numpy()
+    pos = counts.column("pos").to_numpy()
+    pieces = np.zeros(int(pos.max(initial=-1)) + 1, dtype=np.int64)
+    pieces[pos] = counts.column("n_pieces").to_numpy()
     out = []
     for row in chunk.to_pylist():
-        def totals(values, ends):
-            run = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-            return run[ends[1:]] - run[ends[:-1]]
-
-        per_segment = totals(pieces[_unpack(row["seg_pre"])], _unpack(row["seg_end"]))
-        per_doc = totals(per_segment[_unpack(row["seg"])] * _unpack(row["freq"]), _unpack(row["doc_end"]))
+        sizes = _unpacked(row["sizes"]).astype(np.int64)
+        ends = np.cumsum(sizes)
+        gaps = np.cumsum(_unpacked(row["gaps"]), dtype=np.int64)
+        # numbers run on from one document to the next: take off what the ones before have reached
+        base = np.where(ends - sizes > 0, np.append(gaps, 0)[ends - sizes - 1], 0)
+        tokens = np.cumsum(np.append(0, pieces[gaps - np.repeat(base, sizes)] * _unpacked(row["freq"])))
         out.append(pa.table({
             "id": pa.array(row["ids"], chunk.schema.field("ids").type.value_type),
             "n_bytes": pa.array(row["n_bytes"], pa.int64()),
-            "n_tokens": pa.array(per_doc + np.asarray(row["specials"], dtype=np.int64), pa.int64())}))
-    return pa.concat_tables(out) if out else pa.table({
-        "id": pa.array([], chunk.schema.field("ids").type.value_type),
-        "n_bytes": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64())})
+            "n_tokens": pa.array(tokens[ends] - tokens[ends - sizes] + np.asarray(row["specials"], dtype=np.int64), pa.int64())}))
+    return pa.concat_tables(out)
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, max_tokens: int = 1024, id_col: str = "doc_id",
@@ -177,16 +195,15 @@ def token_counts(docs: DataFrame, tokenizer_path: str, max_tokens: int = 1024, i
 
     kind = id_type(docs, id_col)
     schema = T.StructType([
-        T.StructField("chunk", T.StringType()), T.StructField("ids", T.ArrayType(kind)),
+        T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(kind)),
         T.StructField("n_bytes", T.ArrayType(T.LongType())), T.StructField("specials", T.ArrayType(T.LongType())),
-        *(T.StructField(c, T.BinaryType()) for c in ("doc_end", "seg", "freq", "seg_end", "seg_pre")),
+        *(T.StructField(c, T.BinaryType()) for c in ("sizes", "gaps", "freq")),
         T.StructField("pretokens", T.ArrayType(T.StringType()))])
     chunks = keep(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
                   .mapInArrow(_chunker(tokenizer_path, to_arrow_schema(schema), chunk_bytes), schema))
-    entries = chunks.select("chunk", F.posexplode("pretokens").alias("pos", "pretoken"))
-    pieces = entries.select("pretoken").distinct().mapInArrow(
-        _piece_counter(tokenizer_path), "pretoken string, n_pieces int")
-    counts = entries.join(pieces, "pretoken").select(F.col("chunk").alias("of_chunk"), "pos", "n_pieces")
+    entries = chunks.select(F.posexplode("pretokens").alias("pos", "pretoken"), "chunk").select("pretoken", "chunk", "pos")
+    counts = entries.repartition("pretoken").sortWithinPartitions("pretoken").mapInArrow(
+        _piece_counter(tokenizer_path), "of_chunk long, pos int, n_pieces int")
     sums = chunks.drop("pretokens").groupBy("chunk").cogroup(counts.groupBy("of_chunk")).applyInArrow(
         _sum_chunk, T.StructType([T.StructField("id", kind), T.StructField("n_bytes", T.LongType()),
                                   T.StructField("n_tokens", T.LongType())]))

@@ -26,19 +26,20 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickflow.llm.bpe import ByteBpe, segments, splits_badly
-from clickflow.llm.common import id_type
+from clickflow.llm.bpe import NEWLINE, POINTS, ByteBpe, plain_lines, segments, splits_badly
+from clickflow.llm.common import id_type, per_process
 from clickflow.session import ensure_checkpoint_dir
 
 BLOCK_IDS = 1 << 18
-#: Words a task remembers; beyond that it starts afresh (same result, more work).
-MEMORY_WORDS = 400_000
+#: Words a worker process remembers (some 200 bytes each); beyond that it starts afresh.
+MEMORY_WORDS = 1_000_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -78,46 +79,71 @@ def unpack(payload: bytes, bits: int, n_ids: int, start: int = 0):
     return out
 
 
+class _CutDifferently(Exception):
+    """A space continues white space before it."""
+
+
 class _Encoder:
-    """Whole texts to little-endian 32-bit ids, remembering segments."""
+    """Whole texts to little-endian 32-bit ids, remembering words."""
 
     def __init__(self, path: str):
-        self.bpe = ByteBpe(path)
-        self.vocabulary = self.bpe.tok.get_vocab_size(with_added_tokens=True)
-        bpe = self.bpe
-
-        def encode(segment: str) -> bytes:
-            return b"".join(i.to_bytes(4, "little") for i in bpe.ids(segment))
+        bpe = self.bpe = ByteBpe(path)
+        self.vocabulary = bpe.tok.get_vocab_size(with_added_tokens=True)
 
-        class Spaced(dict):
-            def __missing__(self, word):
-                self[word] = out = None if splits_badly(word) else encode(" " + word)
+        class Pretokens(dict):
+            def __missing__(self, pretoken):
+                self[pretoken] = out = array("I", bpe.pretoken_ids(pretoken)).tobytes()
                 return out
 
-        class Whole(dict):
-            def __missing__(self, segment):
-                self[segment] = out = encode(segment)
+        pre = self.pre = Pretokens()
+
+        class Words(dict):
+            """Ids of a word after ``space``."""
+
+            def __init__(self, space):
+                super().__init__()
+                self.space = space
+
+            def __missing__(self, word):
+                if splits_badly(word):
+                    raise _CutDifferently
+                if word[-1] in POINTS and word[:-1].isalpha():  # the word itself may be known
+                    out = self[word[:-1]] + pre[word[-1]]
+                else:
+                    out = array("I", [i for p in bpe.word_pretokens(word, self.space) for i in bpe.pretoken_ids(p)]).tobytes()
+                self[word] = out
                 return out
 
-        self.spaced, self.whole = Spaced(), Whole()
+        self.first, self.spaced = Words(""), Words(" ")
+
+    def _general(self, part: str) -> list[bytes]:
+        return [array("I", self.bpe.pretoken_ids(p)).tobytes() for segment in segments(part) for p in self.bpe.pretokens(segment)]
+
+    def _plain(self, part: str) -> list[bytes]:
+        lines = plain_lines(part)
+        if lines is None:
+            return self._general(part)
+        out, newline, spaced = [], self.pre[NEWLINE], self.spaced.__getitem__
+        try:
+            for k, words in enumerate(lines):
+                if k:
+                    out.append(newline)
+                out.append(self.first[words[0]])
+                out += map(spaced, words[1:])
+        except _CutDifferently:
+            return self._general(part)
+        return out
 
     def __call__(self, text: str) -> bytes:
-        if len(self.spaced) + len(self.whole) > MEMORY_WORDS:
+        if len(self.first) + len(self.spaced) > MEMORY_WORDS:
+            self.first.clear()
             self.spaced.clear()
-            self.whole.clear()
         out = []
         for k, part in enumerate(self.bpe.split_special(text)):
             if k % 2:
                 out.append(self.bpe.added[part].to_bytes(4, "little"))
             elif part:
-                first, *rest = part.split(" ")
-                pieces = list(map(self.spaced.__getitem__, rest))
-                if rest and (first and splits_badly(first) or None in pieces):
-                    out += map(self.whole.__getitem__, segments(part))
-                else:
-                    if first:
-                        out.append(self.whole[first])
-                    out += pieces
+                out += self._plain(part)
         return b"".join(out)
 
 
@@ -141,7 +167,7 @@ def _packer(path: str, end_id: int, block_ids: int, schema):
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                encoder = encoder or _Encoder(path)
+                encoder = encoder or per_process(("encoder", path), lambda: _Encoder(path))
                 got = encoder(text or "") + end
                 n += len(got) // 4
                 docs.append(doc_id)
