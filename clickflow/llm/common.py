@@ -42,6 +42,13 @@ def utf8(column) -> list:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches cut into smaller ones, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def per_process(key, make):
     """``make()`` once per Python worker process and key.
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickflow.llm.bpe import NEWLINE, ByteBpe, plain_lines, segments, splits_badly
-from clickflow.llm.common import id_type, keep
+from clickflow.llm.common import id_type, keep, slices
 
 CHUNK_BYTES = 32 << 20
 
@@ -126,7 +126,7 @@ def _chunker(path: str, schema, chunk_bytes: int):
         bpe, size = None, 0
         n = TaskContext.get().partitionId() << 33
         chunk = None
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 bpe = bpe or ByteBpe(path)
                 chunk = chunk or _Chunk(bpe)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickflow.llm.bpe import NEWLINE, POINTS, ByteBpe, plain_lines, segments, splits_badly
-from clickflow.llm.common import id_type, per_process
+from clickflow.llm.common import id_type, per_process, slices
 from clickflow.session import ensure_checkpoint_dir
 
 BLOCK_IDS = 1 << 18
@@ -165,7 +165,7 @@ def _packer(path: str, end_id: int, block_ids: int, schema):
                 "shard": shard, "block": block, "first": first, "n_ids": n, "bits": bits, "doc_ids": docs,
                 "doc_ends": ends, "payload": pack(ids, bits)}], schema=schema)
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 encoder = encoder or per_process(("encoder", path), lambda: _Encoder(path))
                 got = encoder(text or "") + end
