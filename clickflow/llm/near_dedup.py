@@ -15,9 +15,10 @@ band are candidates, and links are found without listing all pairs of a band:
    copies; then, where that gave no link, with a second hub chosen by hash.
 2. Components so far divide each band's classes. Pairs inside a component need
    no check; each other pair has a class outside the band's largest component.
-   Such a class is done if too many of its shingles occur in no other
-   candidate: it cannot reach the threshold with anyone. The rest are
-   compared with the band's classes in other components.
+   Shingles that occur in no other candidate are in no intersection, which
+   bounds the similarity of every pair from counts alone: most such classes
+   are done by that, and only pairs that can still reach the threshold are
+   formed and compared.
 
 Each comparison first estimates the similarity from the registers, corrected
 for chance collisions; pairs that stay below the threshold by six standard
@@ -324,17 +325,29 @@ def _open_pairs(search: _Search, shared: DataFrame, percent: int) -> DataFrame:
     mixed = (parts.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max("n").alias("most")).where("parts > 1"))
     main = parts.join(mixed, "band").where("n = most").groupBy("band").agg(F.min("label").alias("main"))
     rows = keep(rows.join(keep(main), "band"))
-    involved = search.sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", "hashes")
-    # shingles that one candidate alone has
-    own = (involved.mapInArrow(_hash_rows, "shingle long, node long").groupBy("shingle")
-           .agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
-           .groupBy("node").agg(F.count(F.lit(1)).alias("alone")))
-    hopeful = (rows.where("label != main").select("node").distinct()
-               .join(search.sets.select("node", "n"), "node").join(own, "node", "left")
-               .where((F.col("n") - F.coalesce("alone", F.lit(0))) * 100 >= F.col("n") * percent).select(F.col("node").alias("a")))
-    open_rows = keep(rows.where("label != main").select("band", F.col("node").alias("a"), F.col("label").alias("label_a"))
-                     .join(keep(hopeful), "a", "left_semi"))
-    return open_rows.join(rows.select("band", F.col("node").alias("b"), "label"), "band").where("label_a != label").select("a", "b")
+    involved = search.sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", "n", "hashes")
+    # shingles that one candidate alone has can be in no intersection
+    alone = (involved.select("node", "hashes").mapInArrow(_hash_rows, "shingle long, node long").groupBy("shingle")
+             .agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+             .groupBy("node").agg(F.count(F.lit(1)).alias("alone")))
+    sizes = keep(involved.select("node", "n").join(alone, "node", "left")
+                 .select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common")))
+    rows = keep(rows.join(sizes, "node"))
+
+    def reaches(both, n_a, n_b) -> F.Column:
+        """Whether an intersection of ``both`` is enough for sets of these sizes."""
+        return 100 * both >= percent * (n_a + n_b - both)
+
+    # with the partner's size that suits it best, of those in the band
+    ranges = rows.groupBy("band").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    best = F.greatest("low", F.least("high", "common"))
+    a = keep(rows.where("label != main").join(ranges, "band").where(reaches(F.least("common", best), F.col("n"), best))
+             .select("band", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"),
+                     F.col("common").alias("common_a")))
+    b = rows.select("band", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"),
+                    F.col("common").alias("common_b"))
+    possible = (a["label_a"] != b["label_b"]) & reaches(F.least("common_a", "common_b"), F.col("n_a"), F.col("n_b"))
+    return a.join(b, (a["band"] == b["band"]) & possible).select("a", "b")
 
 
 def without_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = LEAST_PERCENT,
