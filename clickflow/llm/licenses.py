@@ -24,9 +24,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clickflow.llm.common import PLAIN_WORD, keep
+from clickflow.llm.common import keep
 
 K = 3
+#: What stands between words: ASCII but digits and letters.
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fixed base phrases and their labels.
 BASE_PHRASES = (
     ("under the mit license", "mit"),
@@ -55,7 +57,7 @@ MOST_LENGTH = 1.5
 def words(text) -> F.Column:
     """Lower-cased (A-Z) words."""
     lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(lower, F.lit(PLAIN_WORD), F.lit(0))
+    return F.array_remove(F.split(lower, SEPARATORS), "")
 
 
 def _content(text) -> F.Column:
