@@ -12,13 +12,13 @@ Documents with equal sets are one class from the start. Classes that share a
 band are candidates, and links are found without listing all pairs of a band:
 
 1. In each band, every class is compared with one hub, the class with most
-   copies; then, where that gave no link, with a second hub chosen by hash.
+   copies.
 2. Components so far divide each band's classes. Pairs inside a component need
    no check; each other pair has a class outside the band's largest component.
-   Shingles that occur in no other candidate are in no intersection, which
-   bounds the similarity of every pair from counts alone: most such classes
-   are done by that, and only pairs that can still reach the threshold are
-   formed and compared.
+   Pairs that share a shingle which at most ``SELDOM`` candidates have are
+   listed by that shingle. In all other pairs such shingles are in no
+   intersection, which bounds the similarity from counts alone, and only pairs
+   that can still reach the threshold are formed and compared.
 
 Each comparison first estimates the similarity from the registers, corrected
 for chance collisions; pairs that stay below the threshold by six standard
@@ -51,6 +51,8 @@ MANTISSA_BITS = 10
 EMPTY = 0xFFFF
 #: Chance that a pair at the threshold shares no band.
 MISS = 1e-6
+#: Candidates that have a shingle for it to list pairs; others are covered by the bound (a matter of work, not results).
+SELDOM = 8
 SHINGLE_WORDS = 5
 LEAST_PERCENT = 80
 
@@ -291,13 +293,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     weighed = classes.select((F.shiftleft(F.floor(F.log2("copies")).cast("long"), 57) + F.col("node")).alias("member"), "registers")
     members = weighed.mapInArrow(_bander(band_rows(percent)), "band long, member long")
     mask = F.lit((1 << 57) - 1)
-    scrambled = F.col("band").bitwiseAND(mask)
-    bands = members.groupBy("band").agg(
-        F.max("member").alias("hub"), F.max(F.col("member").bitwiseAND(mask).bitwiseXOR(scrambled)).alias("other"),
-        F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hub", "other")
+    bands = members.groupBy("band").agg(F.max("member").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hub")
     shared = keep(members.join(bands, "band").select(
-        "band", F.col("member").bitwiseAND(mask).alias("node"), F.col("hub").bitwiseAND(mask).alias("hub"),
-        F.col("other").bitwiseXOR(scrambled).alias("other")))
+        "band", F.col("member").bitwiseAND(mask).alias("node"), F.col("hub").bitwiseAND(mask).alias("hub")))
 
     wanted = shared.select("node").distinct().join(classes.select("node", "least_id", "set_key"), "node")
     sets = keep(texts.join(wanted, texts["id"] == wanted["least_id"]).select("text", "node", "set_key")
@@ -306,7 +304,6 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
                                      F.any_value("registers").alias("registers")))
     search = _Search(sets, percent)
     search.compare(shared.select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    search.compare(shared.select(F.col("node").alias("a"), F.col("other").alias("b")))
     search.compare(_open_pairs(search, shared, percent))
 
     groups = search.labelled(classes.select("node", "set_key", "least_id"), "node", "label")
@@ -319,25 +316,39 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
 
 def _open_pairs(search: _Search, shared: DataFrame, percent: int) -> DataFrame:
     """Pairs of a band in different components that may still be links."""
-    rows = search.labelled(shared.select("band", "node"), "node", "label")
+    # bands with the same hub are one group: their classes meet once, not once for every band they share
+    rows = search.labelled(shared.select(F.col("hub").alias("band"), "node").distinct(), "node", "label")
     parts = keep(rows.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")))
     # the largest component of a band (by number of classes, then label), packed to aggregate as one number
     mixed = (parts.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max("n").alias("most")).where("parts > 1"))
     main = parts.join(mixed, "band").where("n = most").groupBy("band").agg(F.min("label").alias("main"))
     rows = keep(rows.join(keep(main), "band"))
     involved = search.sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", "n", "hashes")
-    # shingles that one candidate alone has can be in no intersection
-    alone = (involved.select("node", "hashes").mapInArrow(_hash_rows, "shingle long, node long").groupBy("shingle")
-             .agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
-             .groupBy("node").agg(F.count(F.lit(1)).alias("alone")))
-    sizes = keep(involved.select("node", "n").join(alone, "node", "left")
-                 .select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common")))
-    rows = keep(rows.join(sizes, "node"))
+    found = involved.select("node", "hashes").mapInArrow(_hash_rows, "shingle long, node long")
+    seldom = keep(found.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("holder"))
+                  .where(F.col("holders") <= SELDOM))
+    alone = seldom.where("holders = 1").select(F.col("holder").alias("node"), F.lit(1).alias("alone"))
+    held = keep(found.join(seldom.where("holders > 1").select("shingle"), "shingle"))
+    counted = alone.union(held.select("node", F.lit(0))).groupBy("node").agg(
+        F.count(F.lit(1)).alias("seldom"), F.sum("alone").alias("alone"))
+    less = lambda c: (F.col("n") - F.coalesce(c, F.lit(0))).alias
+    sizes = keep(involved.select("node", "n").join(counted, "node", "left")
+                 .select("node", "n", less("seldom")("common"), less("alone")("whole")))
 
     def reaches(both, n_a, n_b) -> F.Column:
-        """Whether an intersection of ``both`` is enough for sets of these sizes."""
+        """Whether an intersection of at most ``both`` can be enough for sets of these sizes."""
         return 100 * both >= percent * (n_a + n_b - both)
 
+    # pairs with a seldom shingle in common: at most SELDOM for each place of one
+    labels = rows.groupBy("node").agg(F.min("label").alias("label"), F.max((F.col("label") != F.col("main")).cast("int")).alias("open"))
+    able = keep(labels.join(sizes, "node").where(F.col("whole") * 100 >= F.col("n") * percent))
+    one = held.join(able.where("open = 1"), "node").select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "whole")))
+    two = held.join(able, "node").select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "whole")))
+    explicit = one.join(two, (one["shingle"] == two["shingle"]) & (F.col("label_a") != F.col("label_b"))
+                        & reaches(F.least("whole_a", "whole_b"), F.col("n_a"), F.col("n_b"))) \
+        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    rows = keep(rows.join(sizes, "node"))
+
     # with the partner's size that suits it best, of those in the band
     ranges = rows.groupBy("band").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     best = F.greatest("low", F.least("high", "common"))
@@ -347,7 +358,7 @@ def _open_pairs(search: _Search, shared: DataFrame, percent: int) -> DataFrame:
     b = rows.select("band", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"),
                     F.col("common").alias("common_b"))
     possible = (a["label_a"] != b["label_b"]) & reaches(F.least("common_a", "common_b"), F.col("n_a"), F.col("n_b"))
-    return a.join(b, (a["band"] == b["band"]) & possible).select("a", "b")
+    return a.join(b, (a["band"] == b["band"]) & possible).select("a", "b").union(explicit)
 
 
 def without_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = LEAST_PERCENT,
