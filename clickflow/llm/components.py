@@ -16,18 +16,15 @@ def component_labels(links: DataFrame) -> DataFrame:
     round is written, which cuts the lineage; a node with very many links is
     pre-aggregated before it is shuffled.
     """
-    both = keep(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct())
-    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    both = links.select("a", "b").union(links.select("b", "a")).where("a != b")
+    # every node is its own neighbour too, so one grouping gives the new label and the old one
+    both = keep(both.union(both.select("a", F.col("a").alias("b"))).distinct())
+    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")))
+    own = F.max(F.when(F.col("a") == F.col("b"), F.col("label")))
     while True:
-        around = (both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("at"))
-                  .agg(F.min("label").alias("near")))
-        lower = labels.join(around, labels["node"] == around["at"]).select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        lower = keep(lower)
-        jump = lower.select(F.col("node").alias("via"), F.col("label").alias("further"))
-        new = keep(lower.join(jump, lower["label"] == jump["via"]).select(
-            "node", "old", F.least("label", "further").alias("label")))
-        changed = new.where("old != label").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
+        lower = keep(both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("lower"), own.alias("old"))
+                     .withColumnRenamed("a", "node"))
+        if not lower.where("lower != old").limit(1).count():
             return labels
+        further = lower.select(F.col("node").alias("via"), F.col("lower").alias("label"))
+        labels = keep(lower.join(further, lower["lower"] == further["via"]).select("node", "label"))

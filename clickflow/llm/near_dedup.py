@@ -287,8 +287,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
                     .mapInArrow(_profiler(shingle_words, to_arrow_schema(schema)), schema))
     # classes of equal sets, numbered as they are written
     classes = keep(profiles.where("n > 0").groupBy("set_key").agg(
-        F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.any_value("registers").alias("registers"))
-        .withColumn("node", F.monotonically_increasing_id()))
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag")).alias("first"), F.count(F.lit(1)).alias("copies"),
+        F.any_value("registers").alias("registers"))
+        .withColumn("node", F.monotonically_increasing_id()).withColumn("least_id", F.col("first.id")))
     # a member's number and, above it, how often it is doubled by copies: the largest is the hub
     weighed = classes.select((F.shiftleft(F.floor(F.log2("copies")).cast("long"), 57) + F.col("node")).alias("member"), "registers")
     members = weighed.mapInArrow(_bander(band_rows(percent)), "band long, member long")
@@ -297,8 +298,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     shared = keep(members.join(bands, "band").select(
         "band", F.col("member").bitwiseAND(mask).alias("node"), F.col("hub").bitwiseAND(mask).alias("hub")))
 
-    wanted = shared.select("node").distinct().join(classes.select("node", "least_id", "set_key"), "node")
-    sets = keep(texts.join(wanted, texts["id"] == wanted["least_id"]).select("text", "node", "set_key")
+    wanted = shared.select("node").distinct().join(classes.select("node", "first", "set_key"), "node")
+    first_text = texts["id"].eqNullSafe(F.col("first.id")) & (F.xxhash64(texts["text"]) == F.col("first.tag"))
+    sets = keep(texts.join(wanted, first_text).select("text", "node", "set_key")
                 .mapInArrow(_fetcher(shingle_words), "node long, n long, hashes binary, registers binary")
                 .groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("hashes").alias("hashes"),
                                      F.any_value("registers").alias("registers")))
