@@ -144,7 +144,7 @@ def _ab_events(spark, d):
 def _ab_grain(spark, d):
     ev = _t(spark, d).events
     cohort = materialize(abtest.ab_isolated_cohort(ev, TEST_ID, START, END), how="checkpoint")
-    return materialize(abtest.ab_session_grain(ev, cohort, START, END, abtest.COHORT_BROADCAST_MAX_ROWS))
+    return materialize(abtest.ab_session_grain(ev, cohort, START, END))
 
 
 def _ab_split(spark, d):

@@ -72,15 +72,15 @@ def array_lookup(arr: Column | str, key: str, key_field: str = "key",
 
 
 def money_sum(c: Column | str) -> Column:
-    """Exact sum of 2-decimal money amounts, returned as double.
+    """Exact sum of money amounts (nine decimals kept), returned as double.
 
     Summing as decimal makes the result independent of the order in which
     partitions are combined (double addition is not associative).
     """
-    return F.sum(col_(c).cast("decimal(18,2)")).cast("double")
+    return F.sum(col_(c).cast("decimal(28,9)")).cast("double")
 
 
 def money_mean(c: Column | str) -> Column:
     """Mean of 2-decimal amounts (e.g. rounded percentages) from an exact sum."""
     c = col_(c)
-    return F.try_divide(F.sum(c.cast("decimal(18,2)")).cast("double"), F.count(c).cast("double"))
+    return F.try_divide(F.sum(c.cast("decimal(28,9)")).cast("double"), F.count(c).cast("double"))

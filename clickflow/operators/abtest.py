@@ -111,7 +111,7 @@ def ab_contamination(cohort: DataFrame) -> DataFrame:
     One row: ``cohort_users`` (distinct users) and ``contaminated_users``.
     Two hash aggregations: per user the number of groups, then the totals.
     """
-    per_user = cohort.groupBy("user_pseudo_id").agg(F.count_distinct("test_group").alias("groups"))
+    per_user = cohort.groupBy("user_pseudo_id").agg(F.count("test_group").alias("groups"))
     return per_user.agg(
         F.count("user_pseudo_id").alias("cohort_users"),
         F.count_if(F.col("groups") > 1).alias("contaminated_users"),
@@ -132,11 +132,6 @@ def ab_events(events: DataFrame, cohort: DataFrame, start, end) -> DataFrame:
     return ev.join(cohort, "user_pseudo_id", "inner")
 
 
-# A (user_pseudo_id, test_group) row is ~40 bytes in Spark's row format, so
-# 250k rows is about Spark's own 10 MB default broadcast budget.
-COHORT_BROADCAST_MAX_ROWS = 250_000
-
-
 def _session_grain_aggs() -> list[Column]:
     name = F.col("event_name")
     return [
@@ -146,36 +141,26 @@ def _session_grain_aggs() -> list[Column]:
     ]
 
 
-def ab_session_grain(events: DataFrame, cohort: DataFrame, start, end,
-                     broadcast_max_rows: int | None = None) -> DataFrame:
+def ab_session_grain(events: DataFrame, cohort: DataFrame, start, end) -> DataFrame:
     """Cohort events pre-aggregated to (user, session, device, purchase txn, group).
 
     Everything the split check and the metrics need survives this: step
     flags are maxima, revenue is a sum and transaction ids stay a key.
 
-    Plan choice, from the cohort's checked size: a cohort of at most
-    ``broadcast_max_rows`` rows is broadcast and joined to the events first,
-    so only cohort users' events are aggregated and shuffled; a larger
-    cohort is joined after the events are aggregated to session grain (a
-    shuffle join of two session-grain inputs; AQE splits a skewed user).
-    ``None`` skips the check and always aggregates first.
+    The narrow events meet the cohort first, so other users never reach the
+    aggregation. Whether the cohort is broadcast is Spark's choice, by its
+    measured bytes; otherwise AQE splits a user with very many events.
     """
     is_purchase = F.col("event_name") == "purchase"
     ev = in_date_range(events, start, end).where(F.col("user_pseudo_id").isNotNull()).select(
         "user_pseudo_id", "session_id", F.col("device.category").alias("device_category"),
         "event_name",
         F.when(is_purchase, F.col("ecommerce.transaction_id")).alias("purchase_txn"),
-        F.when(is_purchase, F.col("ecommerce.purchase_revenue").cast("decimal(18,2)"))
-        .otherwise(F.lit(0).cast("decimal(18,2)")).alias("rev"),
+        F.when(is_purchase, F.col("ecommerce.purchase_revenue").cast("decimal(28,9)"))
+        .otherwise(F.lit(0).cast("decimal(28,9)")).alias("rev"),
     )
     keys = ["user_pseudo_id", "session_id", "device_category", "purchase_txn"]
-    # A plain count is a distributed partial count (a ``limit`` would funnel
-    # rows through one task); the reports materialise the cohort first.
-    if broadcast_max_rows is not None and cohort.count() <= broadcast_max_rows:
-        return ev.join(F.broadcast(cohort), "user_pseudo_id", "inner") \
-            .groupBy(*keys, "test_group").agg(*_session_grain_aggs())
-    pre = ev.groupBy(*keys).agg(*_session_grain_aggs())
-    return pre.join(cohort, "user_pseudo_id", "inner")
+    return ev.join(cohort, "user_pseudo_id", "inner").groupBy(*keys, "test_group").agg(*_session_grain_aggs())
 
 
 def split_check(grain: DataFrame, low: float = SPLIT_LOW, high: float = SPLIT_HIGH,
@@ -208,7 +193,7 @@ def ab_metrics(grain: DataFrame) -> DataFrame:
         f = lambda s: F.col("event_name") == s
         is_p = F.col("event_name") == "purchase"
         txn = F.when(is_p, F.col("transaction_id"))
-        rev = F.when(is_p, F.col("purchase_revenue").cast("decimal(18,2)")).otherwise(F.lit(0).cast("decimal(18,2)"))
+        rev = F.when(is_p, F.col("purchase_revenue").cast("decimal(28,9)")).otherwise(F.lit(0).cast("decimal(28,9)"))
         grain = grain.withColumns({"purchase_txn": txn, "rev": rev})
     out = distinct_counts(grain, keys, [
         DistinctBranch("user_pseudo_id",
@@ -245,7 +230,7 @@ def ab_report(events: DataFrame, test_id: str, start, end, mode: str = "referenc
     scanned once for them.
     """
     cohort = materialize(ab_isolated_cohort(events, test_id, start, end, mode), checkpoint, how="checkpoint")
-    grain = materialize(ab_session_grain(events, cohort, start, end, COHORT_BROADCAST_MAX_ROWS), checkpoint)
+    grain = materialize(ab_session_grain(events, cohort, start, end), checkpoint)
     results = ab_kpis(ab_metrics(grain))
     split = split_check(grain, low, high).select("test_group", "user_share", "split_status")
     # Both sides hold one row per group (x device); AQE picks the join from
@@ -295,7 +280,7 @@ def ab_ztest(events: DataFrame, test_id: str, start, end, control: str = CONTROL
     sessions of the group (the reference's ``cr_session_to_purchase``).
     """
     cohort = materialize(ab_isolated_cohort(events, test_id, start, end, mode), checkpoint, how="checkpoint")
-    grain = ab_session_grain(events, cohort, start, end, COHORT_BROADCAST_MAX_ROWS)
+    grain = ab_session_grain(events, cohort, start, end)
     totals = ab_group_totals(materialize(grain, checkpoint))
     whole = Window.partitionBy()  # one row per group: tiny
     is_ctrl = F.col("test_group") == control
@@ -305,5 +290,5 @@ def ab_ztest(events: DataFrame, test_id: str, start, end, control: str = CONTROL
         F.max(F.when(is_ctrl, F.col("conversions"))).over(whole).alias("conversions_a"),
         F.col("sessions").alias("sessions_b"),
         F.col("conversions").alias("conversions_b"),
-    ).where(~is_ctrl)
+    ).where(~is_ctrl & F.col("sessions_a").isNotNull())  # no control, no test
     return two_proportion_z(paired).orderBy("test_group")

@@ -28,26 +28,32 @@ def _query_value(query: Column, key: str) -> Column:
     returns it: the first ``key=`` at the start or after ``&``, up to the next
     ``&``; null when the key is absent."""
     k = re.escape(key)
-    return F.when(query.rlike(f"(&|^){k}="), F.regexp_extract(query, f"(&|^){k}=([^&]*)", 2))
+    raw = F.when(query.rlike(f"(&|^){k}="), F.regexp_extract(query, f"(&|^){k}=([^&]*)", 2))
+    return F.coalesce(F.try_url_decode(raw), raw)
+
+
+def _part(url: Column, pattern: str) -> Column:
+    """The first group of ``pattern``, null where it doesn't match."""
+    return F.when(url.rlike(pattern), F.regexp_extract(url, pattern, 1))
 
 
 def url_enrichment(df: DataFrame, url_col: str = "page_location") -> DataFrame:
     """``page`` (location, hostname, path), ``url_params`` and ``url_params_custom``.
 
     Narrow projection on the URL column; runs in the scan stage. The query
-    string is parsed out of the URL once and each parameter is read from it
-    (one URI parse instead of one per parameter: about 2x faster per event).
-    ``try_parse_url``: a malformed URL gives nulls instead of failing the job.
+    string is taken out of the URL once and each parameter is read from it and
+    decoded. Parts are taken by pattern, so characters that a strict URI parser
+    rejects (``|``, spaces) cost nothing; what is no URL gives nulls.
     """
     url = F.col(url_col)
     cleaners = {"lower": F.lower, "none": lambda c: c}
-    out = df.withColumn("__query", F.try_parse_url(url, F.lit("QUERY")))
+    out = df.withColumn("__query", _part(url, r"^[^?#]*\?([^#]*)"))
     query = F.col("__query")
     return out.withColumns({
         "page": F.struct(
             url.alias("location"),
-            F.try_parse_url(url, F.lit("HOST")).alias("hostname"),
-            F.try_parse_url(url, F.lit("PATH")).alias("path"),
+            _part(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)").alias("hostname"),
+            _part(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)").alias("path"),
         ),
         "url_params": F.struct(*[_query_value(query, k).alias(k) for k in URL_PARAM_KEYS]),
         "url_params_custom": F.struct(*[
@@ -113,7 +119,7 @@ def running_totals(events: DataFrame, start, end) -> DataFrame:
     w = Window.partitionBy("user_pseudo_id").orderBy("event_date").rowsBetween(Window.unboundedPreceding, 0)
     return daily.withColumns({
         "cumulative_purchases": F.sum("purchases").over(w),
-        "cumulative_revenue": F.sum(F.col("revenue").cast("decimal(18,2)")).over(w).cast("double"),
+        "cumulative_revenue": F.sum(F.col("revenue").cast("decimal(28,9)")).over(w).cast("double"),
     }).select("user_pseudo_id", "event_date", "purchases", "revenue",
               "cumulative_purchases", "cumulative_revenue")
 

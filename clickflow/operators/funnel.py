@@ -360,7 +360,11 @@ def with_site(events: DataFrame, site_lookup: DataFrame, key: str = "stream_id",
     """Attach a site name to events from a (stream or property id -> site) lookup.
 
     Left join: events of an unmapped stream keep a null site (their own
-    segment). Duplicate lookup keys are collapsed first so events never fan out.
+    segment). Repeated lookup rows are collapsed first so events never fan out;
+    a key with two sites is an error.
     """
-    lookup = site_lookup.groupBy(key).agg(F.min(site_col).alias(site_col))
+    lookup = site_lookup.select(key, site_col).distinct()
+    twice = lookup.groupBy(key).count().where("count > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"site lookup has several sites for {key} " + ", ".join(str(r[0]) for r in twice))
     return events.join(broadcast_if_small(lookup, max_broadcast_rows), key, "left")

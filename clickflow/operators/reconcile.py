@@ -70,15 +70,22 @@ def normalize_crm(raw: DataFrame, date_format: str | None = None) -> DataFrame:
     trans_col = _first_present(names, TRANSACTION_ALIASES)
     rev_col = _first_present(names, REVENUE_ALIASES)
     if trans_col:
-        cols.append(F.trim(F.col(trans_col)).try_cast("double").alias("crm_transactions"))
+        cols.append(_number(trans_col).alias("crm_transactions"))
     if rev_col:
-        cols.append(F.trim(F.col(rev_col)).try_cast("double").alias("crm_revenue"))
+        cols.append(_number(rev_col).alias("crm_revenue"))
     return df.select(*cols)
 
 
+def _number(name: str):
+    """A CRM cell as a number, or null: plain decimal notation only (no ``NaN``, no ``1d``)."""
+    cell = F.trim(F.col(name).cast("string"))
+    return F.when(cell.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), cell.try_cast("double"))
+
+
 def load_crm(spark, path: str, date_format: str | None = None) -> DataFrame:
     """Read a CRM CSV export (header row, every column as string)."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    raw = (spark.read.option("header", True).option("inferSchema", False)
+           .option("escape", '"').option("multiLine", True).csv(path))
     return normalize_crm(raw, date_format)
 
 

@@ -19,7 +19,7 @@ def crm_export_from_events(raw_events: DataFrame) -> DataFrame:
     daily = (raw_events.where(F.col("event_type") == "purchase")
              .groupBy(F.col("ts").cast("date").alias("d"))
              .agg(F.count(F.lit(1)).alias("n"),
-                  F.sum(F.col("value").cast("decimal(18,2)")).alias("rev")))
+                  F.sum(F.col("value").cast("decimal(28,9)")).alias("rev")))
     return daily.select(
         F.col("d").cast("string").alias(" Date "),
         F.col("n").cast("string").alias("Orders"),

@@ -113,15 +113,25 @@ def test_null_users_never_join(spark):
         abtest.ab_isolate(abtest.ab_cohort(ev, "TABW131", S, E), ev, "TABW131", S, E).collect(), key=str)
 
 
-def test_broadcast_first_and_aggregate_first_agree(tables01):
+def test_session_grain_joins_the_cohort_first(spark, tables01):
+    """Other users are gone before events are aggregated, whichever join Spark chooses."""
     ev = tables01.events
     cohort = abtest.ab_isolated_cohort(ev, "TABW131", S, E)
-    small = abtest.ab_session_grain(ev, cohort, S, E, broadcast_max_rows=10_000)
-    large = abtest.ab_session_grain(ev, cohort, S, E, broadcast_max_rows=10)
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-    cols = sorted(small.columns)
-    assert small.select(*cols).exceptAll(large.select(*cols)).count() == 0
-    assert large.select(*cols).exceptAll(small.select(*cols)).count() == 0
+    cols = ["user_pseudo_id", "session_id", "device_category", "purchase_txn", "test_group", "rev"]
+    chosen = sorted(abtest.ab_session_grain(ev, cohort, S, E).select(*cols).collect(), key=str)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        grain = abtest.ab_session_grain(ev, cohort, S, E)
+        optimized = grain._jdf.queryExecution().optimizedPlan().toString()
+        assert optimized.lstrip().startswith("Aggregate") and optimized.count("f_session_start") == 1
+        assert sorted(grain.select(*cols).collect(), key=str) == chosen
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_no_control_group_no_test(spark, tables01):
+    assert abtest.ab_ztest(tables01.events, "TABW131", S, E, control="nobody").count() == 0
 
 
 def test_contamination_counts_users_in_both_groups(spark):

@@ -36,7 +36,7 @@ def _rows(records, cols):
     return sorted((tuple(_norm(r[c]) for c in cols) for r in records), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(se.queries()))
+@pytest.mark.parametrize("name", sorted(se.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     df = se.queries()[name](spark, SF)
     sp = [r.asDict() for r in df.collect()]
