@@ -11,8 +11,10 @@ import os
 import sys
 import uuid
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Importable from any working directory (the package sits next to this file).
 # Nothing here runs Python on executors, so nothing needs shipping to them.
@@ -25,7 +27,7 @@ from clickflow.plans.materialize import materialize
 from clickflow.plans.oracle import END, ORACLE_SQL, START
 from clickflow.session import ensure_checkpoint_dir
 from clickflow.sources.crm import crm_export_from_events, write_crm_csv
-from clickflow.sources.ga4 import ga4_tables_materialized, read_source
+from clickflow.sources.ga4 import ga4_tables_folder, ga4_tables_materialized, read_source
 from clickflow.streaming.daily import start_daily_refresh
 
 try:  # the corpus operators and their pipeline are an optional part
@@ -82,7 +84,7 @@ def _funnel_base_events(spark, d):
 
 
 def _funnel_session_pivot(spark, d):
-    return funnel.session_step_pivot(_funnel_base_events(spark, d))
+    return _funnel_pivot(spark, d)
 
 
 def _funnel_long(spark, d):
@@ -95,6 +97,20 @@ def _funnel_by_country(spark, d):
     return funnel.funnel_by_segment(t.events, t.sessions, START, END, dims=("device_category", "country"))
 
 
+def _site_events(spark, d):
+    """Events with the site of their stream (the region table serves as the lookup)."""
+    lookup = read_source(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("stream_id"), F.col("r_name").alias("site"))
+    return funnel.with_site(_t(spark, d).events, lookup)
+
+
+def _funnel_by_site(spark, d):
+    return funnel.funnel_by_segment(_site_events(spark, d), _t(spark, d).sessions, START, END, dims=("site",))
+
+
+def _listing_dedup_by_site(spark, d):
+    return funnel.listing_sessions_dedup(_site_events(spark, d), START, END, dims=("site",))
+
+
 def _listing_dedup(spark, d):
     return funnel.listing_sessions_dedup(_t(spark, d).events, START, END)
 
@@ -117,6 +133,11 @@ def _parse_all(spark, d):
     return item_params.parse_items(_t(spark, d).events, START, END)
 
 
+def _parse_all_raw(spark, d):
+    """Every parameter from the raw key/value arrays."""
+    return item_params.parse_items(_t(spark, d).events, START, END, source="raw")
+
+
 # --- A/B ----------------------------------------------------------------------
 
 def _ab_cohort(spark, d):
@@ -172,13 +193,12 @@ def _ga4_daily(spark, d):
 def _ga4_daily_incremental(spark, d):
     """U21 kept up to date by the incremental refresh stream, read back as a table.
 
-    The transactions derived from ``events`` are written as the incremental
-    source (partitioned by day) in the shared folder; one ``availableNow``
-    run of the stream refreshes every day it finds.
+    The transactions derived from ``events`` are the incremental source; one
+    ``availableNow`` run of the stream refreshes every day it finds.
     """
+    transactions = f"{ga4_tables_folder(spark, d)}/ga4_transactions"
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/daily-refresh-{uuid.uuid4().hex[:12]}"
-    _t(spark, d).transactions.write.partitionBy("transaction_date").parquet(f"{base}/transactions")
-    start_daily_refresh(spark, f"{base}/transactions", f"{base}/daily", f"{base}/stream-checkpoint").awaitTermination()
+    start_daily_refresh(spark, transactions, f"{base}/daily", f"{base}/stream-checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/daily").select("date", "ga4_transactions", "ga4_revenue")
 
 
@@ -205,6 +225,23 @@ def _reconcile_flagged(spark, d):
     return reconcile.flagged_days(_reconcile(spark, d), "trans")
 
 
+def _reconcile_flagged_revenue(spark, d):
+    return reconcile.flagged_days(_reconcile(spark, d), "rev")
+
+
+def _reconcile_csv_roundtrip(spark, d):
+    """The daily comparison written as CSV and read back."""
+    rec = _reconcile(spark, d)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/reconcile-{uuid.uuid4().hex[:12]}.csv"
+    reconcile.write_report_csv(rec, path)
+    return spark.read.schema(rec.schema).option("header", True).csv(path)
+
+
+def _ga4_daily_default_range(spark, d):
+    """The default range, seen from the day after the data's last full month."""
+    return reconcile.ga4_daily(_t(spark, d).transactions, *reconcile.default_date_range(date(2024, 2, 1)))
+
+
 # --- extensions -----------------------------------------------------------------
 
 def _url_params(spark, d):
@@ -235,7 +272,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "funnel_session_pivot": _funnel_session_pivot,
         "funnel_long": _funnel_long,
         "funnel_by_country": _funnel_by_country,
+        "funnel_by_site": _funnel_by_site,
         "listing_sessions_dedup": _listing_dedup,
+        "listing_sessions_dedup_by_site": _listing_dedup_by_site,
         "parse_prices": _parser(1),
         "parse_prices_raw": _parser(1, source="raw"),
         "parse_trip": _parser(5),
@@ -246,6 +285,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "parse_cross_sell_selected": _parser(25),
         "parse_prices_view_item": _parse_prices_view_item,
         "parse_items_all": _parse_all,
+        "parse_items_raw": _parse_all_raw,
         "ab_cohort": _ab_cohort,
         "ab_isolated": _ab_isolated,
         "ab_isolated_antijoin": _ab_isolated_antijoin,
@@ -262,6 +302,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "reconcile": _reconcile,
         "reconcile_summary": _reconcile_summary,
         "reconcile_flagged_days": _reconcile_flagged,
+        "reconcile_flagged_revenue": _reconcile_flagged_revenue,
+        "reconcile_csv_roundtrip": _reconcile_csv_roundtrip,
+        "ga4_daily_default_range": _ga4_daily_default_range,
         "url_params": _url_params,
         "transaction_totals": _transaction_totals,
         "running_totals": _running_totals,

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickflow.functions.exprs import money_sum
+from clickflow.operators.distinct import DistinctBranch, distinct_counts
 from clickflow.operators.funnel import dim_expr, in_date_range, order_by
+from clickflow.plans.materialize import materialize
 
 # ---------------------------------------------------------------------------
 # Query-string keys promoted to ``url_params`` and the custom
@@ -68,7 +70,7 @@ def page_url_params(pages: DataFrame) -> DataFrame:
     return enriched.select(
         "page_id", "page_location",
         F.col("page.hostname").alias("hostname"), F.col("page.path").alias("path"),
-        *[F.col(f"url_params.{k}").alias(k) for k in ("utm_source", "utm_medium", "utm_campaign")],
+        *[F.col(f"url_params.{k}").alias(k) for k in URL_PARAM_KEYS],
         F.col("url_params_custom.search_query").alias("search_query"),
     )
 
@@ -124,20 +126,20 @@ def running_totals(events: DataFrame, start, end) -> DataFrame:
               "cumulative_purchases", "cumulative_revenue")
 
 
-def session_metrics(events: DataFrame, start, end, dims=("event_date", "device_category")) -> DataFrame:
+def session_metrics(events: DataFrame, start, end, dims=("event_date", "device_category"),
+                    checkpoint: bool = True) -> DataFrame:
     """The three basic metrics -- distinct users, distinct sessions, events -- per segment.
 
     Events are first reduced to (segment, user, session) with their count
-    (partial aggregation map-side); the two distinct counts then run on that
-    session grain in one aggregation, so the events are scanned once.
+    (partial aggregation map-side); ``checkpoint`` writes that session grain
+    once, and each distinct count reads only its own columns of it.
     """
     dims = list(dims)
     ev = in_date_range(events, start, end).select(
         "user_pseudo_id", "session_id", *[dim_expr(d).alias(d) for d in dims])
     grain = ev.groupBy(*dims, "user_pseudo_id", "session_id").agg(F.count(F.lit(1)).alias("n"))
-    out = grain.groupBy(*dims).agg(
-        F.count_distinct("user_pseudo_id").alias("users"),
-        F.count_distinct("session_id").alias("sessions"),
-        F.sum("n").cast("bigint").alias("events"),
-    )
-    return order_by(out, dims)
+    out = distinct_counts(materialize(grain, checkpoint), dims, [
+        DistinctBranch("user_pseudo_id", {"users": None}, sums={"events": F.col("n")}, sum_types={"events": "bigint"}),
+        DistinctBranch("session_id", {"sessions": None}),
+    ])
+    return order_by(out.select(*dims, "users", "sessions", "events"), dims)

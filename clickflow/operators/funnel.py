@@ -150,8 +150,18 @@ def _session_channels(sessions: DataFrame) -> DataFrame:
 def base_events(events: DataFrame, sessions: DataFrame, start, end,
                 steps=FUNNEL_STEPS) -> DataFrame:
     """Event grain with device, user type and channel (left join on session)."""
-    return _event_columns(events, start, end, steps, DEFAULT_DIMS).join(
-        _session_channels(sessions), "session_id", "left")
+    return _with_channel(_event_columns(events, start, end, steps, DEFAULT_DIMS), _session_channels(sessions),
+                         "user_pseudo_id", "event_timestamp")
+
+
+def _with_channel(rows: DataFrame, channels: DataFrame, *deal_by: str) -> DataFrame:
+    """Left join on ``session_id``. Rows without one match nothing, so a hash of
+    ``deal_by`` stands in for the key and spreads them over all partitions."""
+    stand_in = F.concat(F.lit("\x00"), F.xxhash64(*deal_by).cast("string"))
+    right = channels.select(F.col("session_id").cast("string").alias("__session"), "channel") \
+        .where(F.col("__session").isNotNull())
+    key = F.coalesce(F.col("session_id").cast("string"), stand_in)
+    return rows.join(right, key == F.col("__session"), "left").drop("__session")
 
 
 def _pivot_aggs(steps, counts: bool = False) -> list[Column]:
@@ -200,7 +210,7 @@ def funnel_pivot(events: DataFrame, sessions: DataFrame, start, end,
     if "channel" not in dims:
         return ev.groupBy(*keys, *dims).agg(*_pivot_aggs(steps, counts))
     pre = ev.groupBy(*keys, *[d for d in dims if d != "channel"]).agg(*_pivot_aggs(steps, counts))
-    joined = pre.join(distinct_session_channels(sessions_in(sessions, session_dates)), "session_id", "left")
+    joined = _with_channel(pre, distinct_session_channels(sessions_in(sessions, session_dates)), "user_pseudo_id")
     return joined.select(*keys, *dims, *[c for c in pre.columns if c not in keys and c not in dims])
 
 
@@ -332,15 +342,17 @@ def listing_sessions_dedup(events: DataFrame, start, end,
 
     Sites that fire ``view_item_list`` on every scroll inflate the event
     count; ``COUNT(DISTINCT IF(event = 'view_item_list', session_id, NULL))``
-    is the comparable figure.
+    is the comparable figure. All other events share one null session, so
+    only listing sessions are shuffled; segments without listings stay, with 0.
     """
     dims = list(dims)
-    ev = in_date_range(events, start, end).select(
-        "session_id", "event_name", *[dim_expr(d).alias(d) for d in dims])
     is_listing = F.col("event_name") == "view_item_list"
+    ev = in_date_range(events, start, end).select(
+        F.when(is_listing, F.col("session_id")).alias("listing_session"), flag(is_listing).alias("listing"),
+        *[dim_expr(d).alias(d) for d in dims])
     out = distinct_counts(ev, dims, [
-        DistinctBranch("session_id", {"listing_sessions": is_listing},
-                       sums={"listing_events": flag(is_listing)}, sum_types={"listing_events": "bigint"}),
+        DistinctBranch("listing_session", {"listing_sessions": None},
+                       sums={"listing_events": F.col("listing")}, sum_types={"listing_events": "bigint"}),
     ])
     return order_by(out.withColumn("events_per_session", safe_divide("listing_events", "listing_sessions")), dims)
 

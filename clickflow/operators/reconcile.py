@@ -33,12 +33,16 @@ def default_date_range(today: date | None = None) -> tuple[date, date]:
 
 
 def ga4_daily(transactions: DataFrame, start, end) -> DataFrame:
-    """Per day distinct purchase transactions and summed revenue."""
+    """Per day distinct purchase transactions and summed revenue, in date order."""
+    return daily_totals(transactions, start, end).orderBy("date")
+
+
+def daily_totals(transactions: DataFrame, start, end) -> DataFrame:
+    """``ga4_daily`` in no order."""
     tx = in_date_range(transactions, start, end, "transaction_date").where(F.col("event_name") == "purchase")
     return (tx.groupBy(F.col("transaction_date").alias("date"))
             .agg(F.count_distinct("transaction_id").alias("ga4_transactions"),
-                 money_sum("ecommerce.purchase_revenue").alias("ga4_revenue"))
-            .orderBy("date"))
+                 money_sum("ecommerce.purchase_revenue").alias("ga4_revenue")))
 
 
 def _first_present(columns: list[str], aliases: list[str]) -> str | None:

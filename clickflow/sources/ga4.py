@@ -285,15 +285,20 @@ def _complete(spark: SparkSession, base: str) -> bool:
 
 
 def ga4_tables_materialized(spark: SparkSession, sf_dir: str) -> Ga4Tables:
-    """GA4 tables derived from ``{sf_dir}/events.parquet``, written once per
-    application in the production layout under the shared checkpoint folder,
-    then read back.
+    """GA4 tables derived from ``{sf_dir}/events.parquet``, read from
+    :func:`ga4_tables_folder`.
 
     Queries then run on what production has: ``event_date`` partitions
     (partition pruning), files clustered by ``event_name, session_id``, and
     nested Parquet columns (nested column pruning) -- and the adapter's
     string building runs once instead of inside every query.
     """
+    return read_ga4_tables(spark, ga4_tables_folder(spark, sf_dir))
+
+
+def ga4_tables_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the derived tables, written once per application in the
+    production layout under the shared checkpoint folder."""
     from clickflow.session import ensure_checkpoint_dir
 
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
@@ -305,4 +310,4 @@ def ga4_tables_materialized(spark: SparkSession, sf_dir: str) -> Ga4Tables:
             out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ga4-tables-{tag}"
             write_ga4_tables(ga4_tables(spark, sf_dir), out)
             _WRITTEN[key] = out
-    return read_ga4_tables(spark, _WRITTEN[key])
+        return _WRITTEN[key]

@@ -20,16 +20,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from clickflow.operators.reconcile import ga4_daily
+from clickflow.operators.reconcile import daily_totals
 
 
 def refresh_days(transactions: DataFrame, days: list, out_path: str) -> None:
-    """Recompute the roll-up for ``days`` and overwrite just those day partitions."""
+    """Recompute the roll-up for ``days`` and overwrite just those day partitions.
+
+    A dynamic overwrite leaves partitions alone that get no row, so the
+    partition of a day without purchases is deleted.
+    """
     if not days:
         return
-    daily = ga4_daily(transactions.where(F.col("transaction_date").isin(days)), min(days), max(days))
+    touched = transactions.where(F.col("transaction_date").isin(days))
+    daily = daily_totals(touched, min(days), max(days))
     (daily.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("date").parquet(out_path))
+    bought = {r[0] for r in touched.where("event_name = 'purchase'").select("transaction_date").distinct().collect()}
+    spark = transactions.sparkSession
+    for day in set(days) - bought:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out_path.rstrip('/')}/date={day}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def start_daily_refresh(spark: SparkSession, transactions_path: str, out_path: str,

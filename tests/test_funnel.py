@@ -130,3 +130,28 @@ def test_reports_without_segment_columns(tables001):
     assert funnel.funnel_steps_long(t.events, t.sessions, S, E, dims=()).count() == 9
     assert funnel.listing_sessions_dedup(t.events, S, E, dims=()).count() == 1
     assert enrich.session_metrics(t.events, S, E, dims=()).count() == 1
+
+
+def test_events_without_session_keep_a_null_channel_and_are_spread(spark, tables001):
+    from clickflow.plans.inspect import physical_plan
+
+    t = tables001
+    ev = t.events.withColumn("session_id", F.when(F.col("event_id") % 3 != 0, F.col("session_id")))
+    null_session = t.sessions.limit(1).withColumn("session_id", F.lit(None).cast("string"))
+    base = funnel.base_events(ev, t.sessions.unionByName(null_session), "2024-01-01", "2024-01-31")
+    lost = base.where("session_id is null")
+    assert lost.count() > 0 and lost.where("channel is not null").count() == 0
+    assert base.where("session_id is not null").exceptAll(
+        funnel.base_events(t.events.where("event_id % 3 != 0"), t.sessions, "2024-01-01", "2024-01-31")).count() == 0
+    assert "xxhash64" in physical_plan(base)
+
+
+def test_listing_dedup_without_listings(spark, tables001):
+    ev = tables001.events.withColumn("session_id", F.when(F.col("event_id") % 2 == 0, F.col("session_id")))
+    got = {r[0]: r[1:] for r in funnel.listing_sessions_dedup(ev, "2024-01-01", "2024-01-31").collect()}
+    want = ev.groupBy("device.category").agg(
+        F.count_distinct(F.when(F.col("event_name") == "view_item_list", F.col("session_id"))),
+        F.count_if(F.col("event_name") == "view_item_list")).collect()
+    assert {r[0]: r[1:] for r in want} == {k: v[:2] for k, v in got.items()}
+    none = funnel.listing_sessions_dedup(ev.where("event_name = 'purchase'"), "2024-01-01", "2024-01-31").collect()
+    assert none and all(r["listing_sessions"] == 0 and r["listing_events"] == 0 for r in none)

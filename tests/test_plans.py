@@ -22,8 +22,7 @@ def test_no_python_in_any_registered_query(spark):
         plan = physical_plan(df)
         for bad in ("SortAggregate", "CartesianProduct", "BroadcastNestedLoopJoin"):
             assert bad not in plan, (name, bad)
-        # two distinct counts on session grain are the one intended Expand
-        assert "Expand" not in plan or name == "session_metrics", name
+        assert "Expand" not in plan, name
 
 
 def test_anti_join_is_left_anti(tables001):

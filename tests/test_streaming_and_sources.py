@@ -33,6 +33,26 @@ def test_incremental_daily_refresh_equals_batch(spark, tables01):
     assert got.count() == 30
 
 
+def test_day_rewritten_without_purchases_leaves_the_roll_up(spark):
+    base = tempfile.mkdtemp(prefix="clickflow-stream-")
+    src, out, ckpt = (os.path.join(base, x) for x in ("tx", "daily", "ckpt"))
+
+    def rows(*given):
+        return spark.createDataFrame(given, "transaction_id string, event_name string, day string, revenue double").select(
+            "transaction_id", "event_name", F.to_date("day").alias("transaction_date"),
+            F.struct(F.col("revenue").alias("purchase_revenue")).alias("ecommerce"))
+
+    _write_tx(rows(("T1", "purchase", "2024-01-01", 5.0), ("T2", "purchase", "2024-01-02", 1.0)), src)
+    start_daily_refresh(spark, src, out, ckpt).awaitTermination()
+    assert spark.read.parquet(out).count() == 2
+    rewritten = rows(("T1", "refund", "2024-01-01", 5.0))
+    rewritten.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("transaction_date").parquet(src)
+    start_daily_refresh(spark, src, out, ckpt).awaitTermination()
+    got = spark.read.parquet(out).select("date", "ga4_transactions", "ga4_revenue").collect()
+    assert got == ga4_daily(spark.read.parquet(src), "2024-01-01", "2024-01-31").collect()
+    assert len(got) == 1
+
+
 def test_with_site_lookup(spark, tables001):
     lookup = spark.createDataFrame([("0", "Site A"), ("1", "Site B"), ("1", "Site B")], "stream_id string, site string")
     ev = funnel.with_site(tables001.events, lookup)
