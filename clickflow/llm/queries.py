@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from clickflow.llm import (decontaminate, html_text, licenses, line_dedup, mixing, near_dedup, quality, secrets,
                            token_counts, token_files)
 from clickflow.llm.common import table
+from clickflow.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -68,6 +69,3 @@ QUERIES = {
     for f in (op1_token_counts, op2_html_text, op3_secret_scan, op4_token_files, op5_near_dedup, op6_line_dedup, op7_license_scan, op8_quality_rules,
               op9_mixing, op10_decontamination)
 }
-
-#: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
