@@ -2,7 +2,7 @@
 
 Each string runs on DuckDB with the raw test tables registered as views
 (``events``, ``pages``, ...). ``ADAPTER`` is the SQL form of
-``clickflow.sources.ga4`` (written independently of the Spark code, so the
+``clickflow_fixtures.adapter`` (written independently of the Spark code, so the
 cross-check covers the adapter too); the report SQL follows the warehouse
 definitions with DuckDB spellings: ``quantile_disc`` for the approximate
 median, ``a / nullif(b, 0)`` for ``SAFE_DIVIDE``, ``round_even`` for

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from clickflow.operators import abtest, enrich, funnel  # noqa: E402
 from clickflow.session import BASE_CONF  # noqa: E402
-from clickflow.sources.ga4 import ga4_from_events, read_ga4_tables, read_source, spread, write_ga4_tables  # noqa: E402
+from clickflow.sources.ga4 import read_ga4_tables, read_source, spread, write_ga4_tables  # noqa: E402
+from clickflow_fixtures.adapter import ga4_from_events  # noqa: E402
 
 S, E = "2024-01-01", "2024-01-31"
 MIN_RECORDS = 1000

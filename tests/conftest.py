@@ -23,14 +23,14 @@ def spark():
 
 @pytest.fixture(scope="session")
 def tables001(spark):
-    from clickflow.sources.ga4 import ga4_tables
+    from clickflow_fixtures.adapter import ga4_tables
 
     return ga4_tables(spark, SF001)
 
 
 @pytest.fixture(scope="session")
 def tables01(spark):
-    from clickflow.sources.ga4 import ga4_tables
+    from clickflow_fixtures.adapter import ga4_tables
 
     return ga4_tables(spark, SF01)
 

@@ -79,7 +79,7 @@ def test_spread_only_small_split_counts(spark):
 
 
 def test_adapter_micros_ignore_session_time_zone(spark):
-    from clickflow.sources.ga4 import ga4_tables
+    from clickflow_fixtures.adapter import ga4_tables
     old = spark.conf.get("spark.sql.session.timeZone")
     try:
         spark.conf.set("spark.sql.session.timeZone", "America/New_York")
@@ -105,7 +105,7 @@ def test_cluster_conf_scales_with_input():
 
 def test_materialized_tables_rewritten_when_folder_is_gone(spark):
     import shutil
-    from clickflow.sources import ga4
+    from clickflow_fixtures import adapter as ga4
     n1 = ga4.ga4_tables_materialized(spark, "/root/testdata/sf0.001").events.count()
     key = (spark.sparkContext.applicationId, "/root/testdata/sf0.001")
     base = ga4._WRITTEN[key]
