@@ -145,6 +145,11 @@ def _ab_cohort(spark, d):
     return abtest.ab_cohort(_t(spark, d).events, TEST_ID, START, END)
 
 
+def _ab_cohort_items(spark, d):
+    """U13 from the items' ``item_parameter_20``."""
+    return abtest.ab_cohort_from_items(_t(spark, d).events, TEST_ID, START, END)
+
+
 def _ab_isolated(spark, d):
     return abtest.ab_isolated_cohort(_t(spark, d).events, TEST_ID, START, END)
 
@@ -249,6 +254,17 @@ def _url_params(spark, d):
     return enrich.page_url_params(read_source(spark, d, "pages"))
 
 
+def _event_url_params(spark, d):
+    return enrich.event_url_params(_t(spark, d).events, START, END)
+
+
+def _promoted_params(spark, d):
+    """Configured event and item parameters as typed columns."""
+    return item_params.promoted_params(
+        _t(spark, d).events, ["page_type", ("engagement_time_msec", "int"), ("scroll_share", "double")],
+        ["item_parameter_1", ("item_parameter_25", "string"), ("position", "int")], START, END)
+
+
 def _transaction_totals(spark, d):
     return enrich.transaction_totals(_t(spark, d).events, START, END)
 
@@ -288,6 +304,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "parse_items_all": _parse_all,
         "parse_items_raw": _parse_all_raw,
         "ab_cohort": _ab_cohort,
+        "ab_cohort_items": _ab_cohort_items,
         "ab_isolated": _ab_isolated,
         "ab_isolated_antijoin": _ab_isolated_antijoin,
         "ab_events": _ab_events,
@@ -307,6 +324,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "reconcile_csv_roundtrip": _reconcile_csv_roundtrip,
         "ga4_daily_default_range": _ga4_daily_default_range,
         "url_params": _url_params,
+        "event_url_params": _event_url_params,
+        "promoted_params": _promoted_params,
         "transaction_totals": _transaction_totals,
         "running_totals": _running_totals,
         "session_metrics": _session_metrics,

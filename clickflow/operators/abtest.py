@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from clickflow.functions.exprs import literal_regex, regex_extract, safe_divide
 from clickflow.operators.distinct import DistinctBranch, distinct_counts
 from clickflow.operators.funnel import in_date_range
+from clickflow.operators.item_params import parse_param
 from clickflow.plans.materialize import materialize
 
 # ---------------------------------------------------------------------------
@@ -66,6 +67,17 @@ def ab_cohort(events: DataFrame, test_id: str, start, end, mode: str = "referenc
             .distinct())
 
 
+def ab_cohort_from_items(events: DataFrame, test_id: str, start, end) -> DataFrame:
+    """U13 from the second source, ``item_parameter_20`` (``test:_TABW131_ab:_a_qs:_segment``):
+    distinct (user_pseudo_id, test_group).
+
+    Test and group end at the next ``_key:_``, so the test id matches as a whole.
+    """
+    labels = parse_param(events, 20, start, end, mode="strict")
+    return (labels.where((F.col("test_id") == F.lit(test_id)) & F.col("test_group").isNotNull())
+            .select("user_pseudo_id", "test_group").distinct())
+
+
 def users_in_other_tests(events: DataFrame, test_id: str, start, end, mode: str = "reference") -> DataFrame:
     label = F.col("event_params_custom.test_ab")
     return (in_date_range(events, start, end)
@@ -222,7 +234,8 @@ def ab_kpis(metrics: DataFrame) -> DataFrame:
 
 
 def ab_report(events: DataFrame, test_id: str, start, end, mode: str = "reference",
-              low: float = SPLIT_LOW, high: float = SPLIT_HIGH, checkpoint: bool = True) -> DataFrame:
+              low: float = SPLIT_LOW, high: float = SPLIT_HIGH, checkpoint: bool = True,
+              labels: dict | None = None) -> DataFrame:
     """KPIs per (group, device) with the group's user share and split status.
 
     The session-grain cohort facts feed five distinct-count branches;
@@ -232,7 +245,7 @@ def ab_report(events: DataFrame, test_id: str, start, end, mode: str = "referenc
     cohort = materialize(ab_isolated_cohort(events, test_id, start, end, mode), checkpoint, how="checkpoint")
     grain = materialize(ab_session_grain(events, cohort, start, end), checkpoint)
     results = ab_kpis(ab_metrics(grain))
-    split = split_check(grain, low, high).select("test_group", "user_share", "split_status")
+    split = split_check(grain, low, high, labels).select("test_group", "user_share", "split_status")
     # Both sides hold one row per group (x device); AQE picks the join from
     # their measured sizes (a broadcast of a few rows here).
     return results.join(split, "test_group", "left").orderBy("test_group", "device_category")

@@ -28,9 +28,12 @@ CUSTOM_URL_PARAMS = [("search_query", "lower")]
 def _query_value(query: Column, key: str) -> Column:
     """Value of ``key`` in a raw query string, as ``parse_url(url, 'QUERY', key)``
     returns it: the first ``key=`` at the start or after ``&``, up to the next
-    ``&``; null when the key is absent."""
-    k = re.escape(key)
-    raw = F.when(query.rlike(f"(&|^){k}="), F.regexp_extract(query, f"(&|^){k}=([^&]*)", 2))
+    ``&``; null when the key is absent.
+
+    The key is part of the group, so one pattern run tells an absent key from
+    an empty value."""
+    pair = F.nullif(F.regexp_extract(query, f"(?:&|^)({re.escape(key)}=[^&]*)", 1), F.lit(""))
+    raw = F.substring(pair, len(key) + 2, 2**31 - 1)
     return F.coalesce(F.try_url_decode(raw), raw)
 
 
@@ -64,22 +67,34 @@ def url_enrichment(df: DataFrame, url_col: str = "page_location") -> DataFrame:
     }).drop("__query")
 
 
+def _flat_url_fields() -> list[Column]:
+    return [
+        F.col("page.hostname").alias("hostname"), F.col("page.path").alias("path"),
+        *[F.col(f"url_params.{k}").alias(k) for k in URL_PARAM_KEYS],
+        *[F.col(f"url_params_custom.{name}").alias(name) for name, _ in CUSTOM_URL_PARAMS],
+    ]
+
+
 def page_url_params(pages: DataFrame) -> DataFrame:
     """X3 over a page table: one row per page with flattened URL fields."""
     enriched = url_enrichment(pages.select("page_id", F.col("url").alias("page_location")))
-    return enriched.select(
-        "page_id", "page_location",
-        F.col("page.hostname").alias("hostname"), F.col("page.path").alias("path"),
-        *[F.col(f"url_params.{k}").alias(k) for k in URL_PARAM_KEYS],
-        F.col("url_params_custom.search_query").alias("search_query"),
-    )
+    return enriched.select("page_id", "page_location", *_flat_url_fields())
+
+
+def event_url_params(events: DataFrame, start, end) -> DataFrame:
+    """X3 over events: one row per event with the URL fields of ``event_params.page_location``."""
+    located = in_date_range(events, start, end).select(
+        "event_id", "event_date", F.col("event_params.page_location").alias("page_location"))
+    return url_enrichment(located).select("event_id", "event_date", "page_location", *_flat_url_fields())
 
 
 def transaction_totals(events: DataFrame, start, end) -> DataFrame:
-    """Per transaction: purchase events, items, distinct items, revenue, first date.
+    """Per transaction: purchase events, items, distinct items, revenue, first date,
+    and the item totals: quantity, item revenue and the distinct coupons (sorted,
+    comma-joined; null when none).
 
-    One pass: item ids are exploded next to their event (``posexplode_outer``
-    keeps events without items) and only an event's first row carries the
+    One pass: items are exploded next to their event (``posexplode_outer``
+    keeps events without items; only the item fields used are read) and only an event's first row carries the
     event-level measures. A single distinct aggregate plans as two
     partial-aggregation stages keyed (transaction, item) then transaction --
     no ``Expand``, and a hot transaction is spread over its items. Only
@@ -93,8 +108,11 @@ def transaction_totals(events: DataFrame, start, end) -> DataFrame:
         F.col("ecommerce.transaction_id").alias("transaction_id"), "event_date",
         F.col("ecommerce.purchase_revenue").alias("purchase_revenue"),
         F.coalesce(F.size("items"), F.lit(0)).alias("n_items"),
-        F.posexplode_outer(F.col("items.item_id")).alias("pos", "item_id"),
-    )
+        F.posexplode_outer(F.arrays_zip(*[
+            F.col(f"items.{f}").alias(f) for f in ("item_id", "quantity", "item_revenue", "coupon")
+        ])).alias("pos", "item"),
+    ).withColumn("item_id", F.col("item.item_id"))
+    coupons = F.array_sort(F.collect_set("item.coupon"))
     first = F.col("pos").isNull() | (F.col("pos") == 0)
     return rows.groupBy("transaction_id").agg(
         F.min("event_date").alias("transaction_date"),
@@ -102,8 +120,11 @@ def transaction_totals(events: DataFrame, start, end) -> DataFrame:
         F.sum(F.when(first, F.col("n_items"))).cast("bigint").alias("total_items"),
         F.count_distinct("item_id").alias("unique_items"),
         money_sum(F.when(first, F.col("purchase_revenue"))).alias("revenue"),
+        F.coalesce(F.sum("item.quantity"), F.lit(0)).cast("bigint").alias("item_quantity"),
+        money_sum("item.item_revenue").alias("item_revenue"),
+        F.nullif(F.array_join(coupons, ","), F.lit("")).alias("coupons"),
     ).select("transaction_id", "transaction_date", "purchase_events", "total_items",
-             "unique_items", "revenue")
+             "unique_items", "revenue", "item_quantity", "item_revenue", "coupons")
 
 
 def running_totals(events: DataFrame, start, end) -> DataFrame:

@@ -234,16 +234,18 @@ def funnel_counts(pivot: DataFrame, dims=DEFAULT_DIMS, steps=FUNNEL_STEPS) -> Da
     ])
 
 
-def funnel_medians(pivot: DataFrame, dims=DEFAULT_DIMS, gaps=MEDIAN_GAPS) -> DataFrame:
+def funnel_medians(pivot: DataFrame, dims=DEFAULT_DIMS, gaps=MEDIAN_GAPS,
+                   accuracy: int = PERCENTILE_ACCURACY) -> DataFrame:
     """U3 (medians): approximate median minutes between first step events.
 
     ``percentile_approx`` is a mergeable sketch (partial aggregation), so it
-    scales to any group size; with fewer values than the accuracy (10,000)
-    per group it is exact: the lower median.
+    scales to any group size; with fewer values than ``accuracy`` (10,000)
+    per group it is exact: the lower median. Above, its rank is off by at
+    most the group's size divided by ``accuracy``.
     """
     return pivot.groupBy(*dims).agg(*[
         F.percentile_approx(minutes_between(F.col(f"ts_{b}"), F.col(f"ts_{a}")), 0.5,
-                            PERCENTILE_ACCURACY).alias(f"median_min_{name}")
+                            accuracy).alias(f"median_min_{name}")
         for name, a, b in gaps
     ])
 

@@ -167,10 +167,44 @@ def parse_items(events: DataFrame, start, end, params=tuple(PARAM_SPECS), source
     return base.select(*base.columns, *parsed)
 
 
-def promote_params(items: DataFrame, names, array_col: str = "item_params",
+# The field of a parameter's ``value`` struct that holds each type.
+VALUE_FIELDS = {"string": "string_value", "int": "int_value", "double": "double_value"}
+
+
+def promoted_struct(array: Column | str, config) -> Column:
+    """The configured parameters of a key/value array as a typed struct.
+
+    ``config`` lists names (strings) or ``(name, type)`` pairs with type
+    ``string``, ``int`` or ``double``; each type is read from its own field of
+    ``value``. An absent key, or one whose value has another type, is null.
+    """
+    fields = []
+    for entry in config:
+        name, typ = (entry, "string") if isinstance(entry, str) else entry
+        if typ not in VALUE_FIELDS:
+            raise ValueError(f"unknown parameter type {typ!r}; known: {sorted(VALUE_FIELDS)}")
+        fields += [F.lit(name), array_lookup(array, name, value_path=("value", VALUE_FIELDS[typ]))]
+    return F.named_struct(*fields)
+
+
+def promote_params(df: DataFrame, config, array_col: str = "item_params",
                    struct_name: str = "item_params_custom") -> DataFrame:
-    """Turn a key/value array into a typed struct of the configured names."""
-    return items.withColumn(
-        struct_name,
-        F.struct(*[array_lookup(F.col(array_col), nm).alias(nm) for nm in names]),
-    )
+    """Turn a key/value array column into a typed struct of the configured parameters.
+
+    Serves events (``array_col="event_params_raw"``) and exploded items alike.
+    """
+    return df.withColumn(struct_name, promoted_struct(array_col, config))
+
+
+def promoted_params(events: DataFrame, event_config, item_config, start, end) -> DataFrame:
+    """X5 over events and their items: one row per (event, item), configured parameters as columns.
+
+    Event parameters come from ``event_params_raw``, item parameters from
+    ``items.item_params``. A narrow stage: explode and projection, no shuffle.
+    """
+    items = F.arrays_zip(F.col("items.item_id").alias("item_id"), F.col("items.item_params").alias("item_params"))
+    rows = in_date_range(events, start, end).select(
+        "event_id", "event_date", promoted_struct("event_params_raw", event_config).alias("e"), F.explode(items).alias("i"))
+    typed = rows.select("event_id", "event_date", "e", F.col("i.item_id").alias("item_id"),
+                        promoted_struct("i.item_params", item_config).alias("p"))
+    return typed.select("event_id", "event_date", "e.*", "item_id", "p.*")

@@ -27,6 +27,29 @@ def _s(c: Column) -> Column:
     return c.cast("string")
 
 
+def _value(string: Column | None = None, int: Column | None = None, double: Column | None = None) -> Column:
+    """A parameter's value: one field per type, the others null."""
+    def typed(c, t):
+        return (F.lit(None) if c is None else c).cast(t)
+    return F.struct(typed(string, "string").alias("string_value"), typed(int, "bigint").alias("int_value"),
+                    typed(double, "double").alias("double_value"))
+
+
+def _page_location(eid: Column, name: Column) -> Column:
+    """Page URLs as they come: some without query, with characters no URI may hold, encoded, or missing."""
+    page = F.concat(F.lit("https://shop"), _s(eid % 3), F.lit(".example.com/"), name)
+    kind = eid % 6
+    query = (
+        F.when(kind == 1, F.lit("?utm_source=news|letter&utm_medium=email&utm_campaign=spring%20sale"))
+        .when(kind == 2, F.lit("?utm_source=ads&utm_content=big banner&utm_term=caf%C3%A9&search_query=CAF%C3%89%20Rzym"))
+        .when(kind == 3, F.concat(F.lit("?utm_id="), _s(eid % 9), F.lit(
+            "&utm_marketing_tactic=t&utm_source_platform=p&utm_creative_format=f#top")))
+        .when(kind == 4, F.concat(F.lit("?gtm_debug="), _s(eid), F.lit("&_gl=1*x&utm_source=")))
+        .otherwise(F.lit(""))
+    )
+    return F.when(kind != 5, F.concat(page, query))
+
+
 def _item_struct(k: Column, event_name: Column) -> Column:
     """One item of an event; ``k`` is a per-item integer seed."""
     kid = k % 500
@@ -61,15 +84,20 @@ def _item_struct(k: Column, event_name: Column) -> Column:
     kv = F.filter(
         F.array(*[
             F.struct(F.lit(f"item_parameter_{n}").alias("key"),
-                     F.struct(v.alias("string_value")).alias("value"))
+                     _value(string=v).alias("value"))
             for n, v in params.items()
-        ]),
-        lambda x: x["value"]["string_value"].isNotNull(),
+        ], F.struct(F.lit("position").alias("key"), _value(int=k % 2 + 1).alias("value"))),
+        lambda x: x["value"]["string_value"].isNotNull() | x["value"]["int_value"].isNotNull(),
     )
+    quantity = k % 3 + 1
     return F.struct(
         F.concat(F.lit("I"), _s(kid)).alias("item_id"),
         F.concat(F.lit("Offer "), _s(kid)).alias("item_name"),
         F.concat(F.lit("Brand "), _s(kid % 7)).alias("item_brand"),
+        quantity.alias("quantity"),
+        (k % 1000 + 0.125).alias("price"),
+        ((k % 1000 + 0.125) * quantity).alias("item_revenue"),
+        F.when(k % 5 == 0, F.concat(F.lit("C"), _s(k % 4))).alias("coupon"),
         kv.alias("item_params"),
         F.struct(*[v.alias(f"item_parameter_{n}") for n, v in params.items()]).alias("item_params_custom"),
     )
@@ -124,7 +152,7 @@ def _flat_events(raw: DataFrame) -> DataFrame:
         F.concat(_s(uid), F.lit("_"), _s(b)).alias("session_id"),
         channel.alias("channel"),
         test_ab.alias("test_ab"),
-        F.when(is_purchase & (eid % 11 != 0), F.col("value")).alias("purchase_revenue"),
+        F.when(is_purchase & (eid % 11 != 0), F.col("value") + (eid % 8) * F.lit(0.0003)).alias("purchase_revenue"),
         F.when(is_purchase, F.concat(F.lit("T"), _s(eid - eid % 2))).alias("transaction_id"),
         (eid % 3).cast("int").alias("n_items"),
     )
@@ -143,7 +171,13 @@ def ga4_events_from_flat(flat: DataFrame) -> DataFrame:
         F.struct(F.col("event_timestamp"), F.col("event_timestamp_utc")).alias("time"),
         F.struct(F.col("device_category").alias("category")).alias("device"),
         F.struct(F.col("country")).alias("geo"),
-        F.struct(F.col("bucket").alias("ga_session_number")).alias("event_params"),
+        F.struct(F.col("bucket").alias("ga_session_number"), _page_location(eid, name).alias("page_location"))
+        .alias("event_params"),
+        F.array(
+            F.struct(F.lit("page_type").alias("key"), _value(string=F.concat(F.lit("type "), _s(eid % 4))).alias("value")),
+            F.struct(F.lit("engagement_time_msec").alias("key"), _value(int=eid * 7 % 5000).alias("value")),
+            F.struct(F.lit("scroll_share").alias("key"), _value(double=eid % 8 / F.lit(8.0)).alias("value")),
+        ).alias("event_params_raw"),
         F.struct(F.col("test_ab")).alias("event_params_custom"),
         F.struct(F.col("transaction_id"), F.col("purchase_revenue")).alias("ecommerce"),
         items.alias("items"),

@@ -15,19 +15,24 @@ from pyspark.sql import functions as F
 
 
 def crm_export_from_events(raw_events: DataFrame) -> DataFrame:
-    """All-string daily export: `` Date ``, ``Orders``, ``Revenue``."""
+    """All-string daily export: `` Date ``, ``Note``, ``Orders``, ``Revenue``.
+
+    Notes hold quotes, commas and line breaks; two days a month have a cell
+    that is no number (``NaN`` orders on the 13th, ``1d`` revenue on the 17th).
+    """
     daily = (raw_events.where(F.col("event_type") == "purchase")
              .groupBy(F.col("ts").cast("date").alias("d"))
              .agg(F.count(F.lit(1)).alias("n"),
                   F.sum(F.col("value").cast("decimal(28,9)")).alias("rev")))
     return daily.select(
         F.col("d").cast("string").alias(" Date "),
-        F.col("n").cast("string").alias("Orders"),
-        F.col("rev").cast("string").alias("Revenue"),
+        F.concat(F.lit('called "late",\nday '), F.dayofmonth("d").cast("string")).alias("Note"),
+        F.when(F.dayofmonth("d") == 13, "NaN").otherwise(F.col("n").cast("string")).alias("Orders"),
+        F.when(F.dayofmonth("d") == 17, "1d").otherwise(F.col("rev").cast("string")).alias("Revenue"),
     )
 
 
 def write_crm_csv(crm: DataFrame, path: str) -> str:
     """Write an export as CSV (header row); one row per day, so one file."""
-    crm.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    crm.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path

@@ -41,7 +41,8 @@ flat as (
   from (select *, cast((day_no - day_no % 3) / 3 as bigint) + 1 as bucket from x) b),
 ev as (
   select *,
-    case when event_name = 'purchase' and event_id % 11 <> 0 then value end as purchase_revenue,
+    case when event_name = 'purchase' and event_id % 11 <> 0
+         then value + (event_id % 8) * 0.0003::double end as purchase_revenue,
     case when event_name = 'purchase' then 'T' || cast(event_id - event_id % 2 as varchar) end as transaction_id,
     event_id % 3 as n_items
   from flat),
@@ -71,7 +72,18 @@ it as (
     case when k % 4 = 0 then 'p:_1-Lot ' || cast(k % 9 as varchar) || '_i:_1-Plan ' || cast(k % 5 as varchar)
          || '_pr:_' || cast(k % 2 as varchar) || '_l:_1'
          else 'p:_0_i:_0_pr:_0_l:_0' end as p25
-  from item_rows)
+  from item_rows),
+located as (
+  select event_id, event_date,
+    case when event_id % 6 <> 5 then 'https://shop' || cast(event_id % 3 as varchar) || '.example.com/' || event_name
+      || case event_id % 6
+         when 1 then '?utm_source=news|letter&utm_medium=email&utm_campaign=spring%20sale'
+         when 2 then '?utm_source=ads&utm_content=big banner&utm_term=caf%C3%A9&search_query=CAF%C3%89%20Rzym'
+         when 3 then '?utm_id=' || cast(event_id % 9 as varchar)
+              || '&utm_marketing_tactic=t&utm_source_platform=p&utm_creative_format=f#top'
+         when 4 then '?gtm_debug=' || cast(event_id as varchar) || '&_gl=1*x&utm_source='
+         else '' end end as url
+  from ev)
 """
 
 
@@ -417,10 +429,13 @@ ga4 as (
          cast(sum(cast(purchase_revenue as decimal(28,9))) as double) as ga4_revenue
   from ev where transaction_id is not null and event_name = 'purchase' and {RANGE}
   group by event_date),
-crm as (
-  select cast(ts as date) as date, cast(count(*) as double) as crm_transactions,
-         cast(sum(cast(value as decimal(28,9))) as double) as crm_revenue
+shop_days as (
+  select cast(ts as date) as date, count(*) as n, sum(cast(value as decimal(28,9))) as rev
   from events where event_type = 'purchase' group by cast(ts as date)),
+crm as (
+  select date, cast(if(day(date) = 13, null, n) as double) as crm_transactions,
+         cast(if(day(date) = 17, null, rev) as double) as crm_revenue
+  from shop_days),
 j as (
   select coalesce(g.date, c.date) as date, g.ga4_transactions, g.ga4_revenue, c.crm_transactions, c.crm_revenue
   from ga4 g full outer join crm c on g.date is not distinct from c.date),
@@ -474,15 +489,34 @@ def _url_value(key: str) -> str:
     return f"url_decode(substr({first}, {len(key) + 2}))"
 
 
-URL_PARAMS = """
-with split as (
-  select page_id, url, string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&') as parts from pages)
-select page_id, url as page_location,
+def _url_fields() -> str:
+    return """
   regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1) as hostname,
   regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) as path,
   """ + ",\n  ".join(f"{_url_value(k)} as {k}" for k in URL_KEYS) + f""",
-  lower({_url_value("search_query")}) as search_query
+  lower({_url_value("search_query")}) as search_query"""
+
+
+URL_PARTS = "string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&') as parts"
+URL_PARAMS = f"""
+with split as (select page_id, url, {URL_PARTS} from pages)
+select page_id, url as page_location,{_url_fields()}
 from split"""
+EVENT_URL_PARAMS = with_adapter(f"""
+split as (select *, {URL_PARTS} from located where {RANGE})
+select event_id, event_date, url as page_location,{_url_fields()}
+from split""")
+PROMOTED_PARAMS = with_adapter(f"""
+x3 as (select 1)
+select event_id, event_date, 'type ' || cast(event_id % 4 as varchar) as page_type,
+  event_id * 7 % 5000 as engagement_time_msec, (event_id % 8) / 8.0::double as scroll_share,
+  item_id, p1 as item_parameter_1, p25 as item_parameter_25, cast(k % 2 + 1 as bigint) as position
+from it where {RANGE}""")
+AB_COHORT_ITEMS = with_adapter(f"""
+named as (
+  select user_pseudo_id, string_split(p20, '_qs:_')[1] as test_part from it where {RANGE} and p20 is not null)
+select distinct user_pseudo_id, string_split(test_part, '_ab:_')[2] as test_group
+from named where string_split(test_part, '_ab:_')[1] = 'test:_TABW131'""")
 
 TRANSACTION_TOTALS = with_adapter(f"""
 p as (select * from ev where event_name = 'purchase' and transaction_id is not null and {RANGE}),
@@ -492,10 +526,15 @@ tot as (
          cast(sum(cast(purchase_revenue as decimal(28,9))) as double) as revenue
   from p group by transaction_id),
 u as (
-  select p.transaction_id, count(distinct it.item_id) as unique_items
+  select p.transaction_id, count(distinct it.item_id) as unique_items,
+         cast(sum(k % 3 + 1) as bigint) as item_quantity,
+         cast(sum(cast((k % 1000 + 0.125) * (k % 3 + 1) as decimal(28,9))) as double) as item_revenue,
+         string_agg(distinct if(k % 5 = 0, 'C' || cast(k % 4 as varchar), null), ','
+                    order by if(k % 5 = 0, 'C' || cast(k % 4 as varchar), null)) as coupons
   from p join it on p.event_id = it.event_id group by p.transaction_id)
 select tot.transaction_id, transaction_date, purchase_events, total_items,
-       coalesce(u.unique_items, 0) as unique_items, revenue
+       coalesce(u.unique_items, 0) as unique_items, revenue,
+       coalesce(u.item_quantity, 0) as item_quantity, u.item_revenue, u.coupons
 from tot left join u using (transaction_id)""")
 
 RUNNING_TOTALS = with_adapter(f"""
@@ -565,6 +604,9 @@ select event_name, event_date, session_id, user_pseudo_id, device_category, purc
     "reconcile_csv_roundtrip": RECONCILE,
     "ga4_daily_default_range": GA4_DAILY,
     "url_params": URL_PARAMS,
+    "event_url_params": EVENT_URL_PARAMS,
+    "promoted_params": PROMOTED_PARAMS,
+    "ab_cohort_items": AB_COHORT_ITEMS,
     "transaction_totals": TRANSACTION_TOTALS,
     "running_totals": RUNNING_TOTALS,
     "session_metrics": SESSION_METRICS,

@@ -32,7 +32,9 @@ def _events(spark, rows):
         "event_date", "event_name", "session_id", "user_pseudo_id",
         F.struct(F.col("dev").alias("category")).alias("device"),
         F.struct(F.col("txn").alias("transaction_id"), F.col("rev").alias("purchase_revenue")).alias("ecommerce"),
-        F.transform("item_ids", lambda x: F.struct(x.alias("item_id"))).alias("items"),
+        F.transform("item_ids", lambda x: F.struct(
+            x.alias("item_id"), F.lit(2).alias("quantity"), F.lit(0.0005).alias("item_revenue"),
+            F.when(x != "I1", x).alias("coupon"))).alias("items"),
     )
 
 
@@ -63,6 +65,9 @@ def test_enrichment_matches_brute_force(spark, rows):
         g = got[t]
         assert g["transaction_date"] == D0 + dt.timedelta(days=min(a["dates"]))
         assert (g["purchase_events"], g["total_items"], g["unique_items"]) == (a["n"], a["items"], len(a["uniq"]))
+        assert g["item_quantity"] == 2 * a["items"]
+        assert g["item_revenue"] == (round(0.0005 * a["items"], 4) if a["items"] else None)
+        assert g["coupons"] == (",".join(sorted(a["uniq"] - {"I1"})) or None)
         want_rev = _sum_or_none(a["rev"])
         assert (g["revenue"] is None and want_rev is None) or math.isclose(g["revenue"], want_rev)
 
