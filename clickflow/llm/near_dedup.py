@@ -31,7 +31,9 @@ Defined cases: a text without words, or null, has an empty set and links to
 nothing; one with fewer words than a shingle has its whole sequence as its only one;
 rows equal in id and text are one document; a null id never is a group's
 least id (a group without any id has a null component); other columns are
-ignored by ``near_duplicates`` and kept by ``without_near_duplicates``.
+ignored by ``near_duplicates`` and kept by ``without_near_duplicates``, which
+tells groups by their label (``component_id`` is an id, which unrelated groups
+may share or lack) and keeps one of equal rows.
 """
 
 from __future__ import annotations
@@ -277,6 +279,12 @@ class _Search:
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = LEAST_PERCENT,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, ``tag`` (hash of the text), ``n_shingles``, ``component_id`` (least id of its group)."""
+    return _grouped(docs, shingle_words, percent, id_col, text_col).select(
+        F.col("id").alias(id_col), "tag", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _grouped(docs: DataFrame, shingle_words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row of ``docs``: ``id``, ``tag``, ``n``, ``component_id`` and ``label``, its group's own number (null without words)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kind = id_type(docs, id_col)
@@ -310,10 +318,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
 
     groups = search.labelled(classes.select("node", "set_key", "least_id"), "node", "label")
     least = groups.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    by_set = keep(groups.join(least, "label").select("set_key", "component_id"))
+    by_set = keep(groups.join(least, "label").select("set_key", "component_id", "label"))
     own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return profiles.select("id", "tag", "n", "set_key").join(by_set, "set_key", "left").select(
-        F.col("id").alias(id_col), "tag", F.col("n").alias("n_shingles"), own.alias("component_id"))
+        "id", "tag", "n", own.alias("component_id"), "label")
 
 
 def _open_pairs(search: _Search, shared: DataFrame, percent: int) -> DataFrame:
@@ -366,8 +374,15 @@ def _open_pairs(search: _Search, shared: DataFrame, percent: int) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = LEAST_PERCENT,
                             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group, the one with the least id (and then the least text hash)."""
-    found = near_duplicates(docs, shingle_words, percent, id_col, text_col)
-    kept = keep(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_id"), "component_id")
-                .agg(F.min("tag").alias("_tag")).select("_id", "_tag"))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_tag"))
-    return docs.join(kept, same, "left_semi").select(*docs.columns)
+    found = _grouped(docs, shingle_words, percent, id_col, text_col)
+    texts = found.groupBy("label", "id", "tag").agg(F.count(F.lit(1)).alias("rows"))
+    # a text without words is a group of its own
+    alone = F.col("label").isNull()
+    kept = keep(texts.groupBy("label", F.when(alone, F.col("id")).alias("own_id"), F.when(alone, F.col("tag")).alias("own_tag"))
+                .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag", "rows")).alias("first"))
+                .select(F.col("first.id").alias("_id"), F.col("first.tag").alias("_tag"), F.col("first.rows").alias("_rows")))
+    tag = F.xxhash64(F.col(text_col))
+    if kept.where("_rows > 1").limit(1).count():  # equal rows become one in every task before they meet
+        docs = docs.groupBy(F.col(id_col).alias("_own_id"), tag.alias("_own_tag")).agg(
+            F.any_value(F.struct(*docs.columns)).alias("_doc")).select("_doc.*")
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (tag == F.col("_tag")), "left_semi").select(*docs.columns)

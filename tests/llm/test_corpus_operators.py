@@ -254,6 +254,21 @@ def test_large_near_group(spark, k, percent):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in components(rows, k, percent)})
 
 
+def test_near_dedup_keeps_unrelated_texts_with_null_or_shared_ids(spark):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(30)) for c in "abc")
+    rows = [(None, one), (None, two), (None, two + " x"), (None, ""), (None, None), (None, " "),  # no ids
+            (1, three), (2, three + " y"), (1, "d e f"), (1, "g h i"), (1, ""), (1, None),  # one id, many texts
+            (3, "j k l"), (3, "j k l"), (3, "j k l"), (None, "m n o"), (None, "m n o"), (4, ""), (4, "")]  # repeated rows
+    docs = frame(spark, rows)
+    out = near_dedup.without_near_duplicates(docs, 5, 80)
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    two_kept = [x for x in ((None, two), (None, two + " x")) if got[x]]
+    assert len(two_kept) == 1
+    assert got == Counter([(None, one), *two_kept, (None, ""), (None, None), (None, " "), (1, three), (1, "d e f"), (1, "g h i"),
+                           (1, ""), (1, None), (3, "j k l"), (None, "m n o"), (4, "")])
+
+
 def test_register_estimate():
     a = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 20_000).astype(np.uint64) * np.uint64(2))
     some = np.random.default_rng(2).permutation(len(a))  # hashes of either set are spread evenly
