@@ -2,10 +2,11 @@
 
 Each document's lines are normalised (lower case, digits alike, white space
 collapsed) and hashed. For every host and line the distinct documents that
-have the line are counted, where copies count once: documents that share
-their two smallest line hashes are one document here, so a page copied many
-times does not turn its own lines into boilerplate. Lines above the host's
-limit are removed; a document that loses too many of its words is rejected.
+have the line are counted, where copies count once: documents with the same
+set of line hashes are one document here, also in the host's size, so a page
+copied many times does not turn its own lines into boilerplate. Lines above the
+host's limit are removed; a document that loses too many of its words is
+rejected.
 
 One pass over the texts writes each document's counts and line hashes; all
 else works on those. Counting pre-aggregates per task, so a line that a third
@@ -21,6 +22,7 @@ lines without a word are ignored; other columns are ignored by
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -69,7 +71,9 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def describe(text: bytes | None) -> dict:
-    """Counts and line hashes of one text."""
+    """Counts and line hashes of one text; ``family`` is a digest of its set of lines."""
+    import xxhash
+
     text = text or b""
     words = text.split()
     lines: dict[int, int] = {}
@@ -83,17 +87,16 @@ def describe(text: bytes | None) -> dict:
             dups += 1
         seen.add(line)
         lines[own] = lines.get(own, 0) + len(line.split())
-    least = sorted(lines)[:2]
     return {
         "n_words": len(words), "word_chars": len(text.decode("utf-8", "replace")) - sum(text.count(c) for c in SPACES),
         "n_symbols": sum(text.count(c) for c in SYMBOLS), "n_dup_lines": dups, "n_repeat_words": repeated_words(words),
-        "family": [least[0], least[-1]] if least else None,
+        "family": xxhash.xxh3_128_digest(array("q", sorted(lines)).tobytes()),
         "lines": [{"line": h, "words": n} for h, n in lines.items()]}
 
 
 _DESCRIBED = [
     *(T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
-    T.StructField("family", T.ArrayType(T.LongType())),
+    T.StructField("family", T.BinaryType()),
     T.StructField("lines", T.ArrayType(T.StructType([T.StructField("line", T.LongType()), T.StructField("words", T.LongType())])))]
 
 
@@ -137,8 +140,8 @@ def frequent_lines(described: DataFrame, limit_docs: int = LIMIT_DOCS, limit_sha
     """``host``, ``line``, ``n_docs`` of the lines above their host's limit, and their join ``key``."""
     entries = described.select("host", "family", F.explode("lines.line").alias("line"))
     counts = entries.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
-    hosts = described.groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("_rows"))
-    limit = F.greatest(F.lit(float(limit_docs)), F.col("_rows") * F.lit(limit_share))
+    hosts = described.select(F.col("host").alias("_host"), "family").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_docs"))
+    limit = F.greatest(F.lit(float(limit_docs)), F.col("_docs") * F.lit(limit_share))
     # only lines above the absolute limit meet their host's size
     return keep(counts.where(F.col("n_docs") > limit_docs)
                 .join(keep(hosts), F.col("host").eqNullSafe(F.col("_host")))

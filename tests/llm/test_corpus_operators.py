@@ -412,6 +412,19 @@ def test_frequent_lines_deplete_a_document(spark):
     assert texts[900] == "" and texts[0] == f"{own(0)}\n{own(1000)}" and texts[901] == own(5000)
 
 
+def test_hosts_of_much_boilerplate(spark):
+    """Different pages of the same 300 lines and one of their own are as many documents; copies of a page are one."""
+    letters = str.maketrans("0123456789", "abcdefghij")
+    shared = "\n".join(f"menu{k} entry{k}".translate(letters) for k in range(300))
+    rows = [(n, f"{shared}\nown{n} words{n}".translate(letters)) for n in range(40)]
+    copied = " ".join(f"copy{k}" for k in range(60)).translate(letters)
+    rows += [(100 + n, copied) for n in range(2000)]  # no part of the host's size: 2 % of all rows are 40.8
+    docs = frame(spark, rows, sources=("host",))
+    out = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+    assert all(out[n].n_removed_words == 600 and not out[n].kept and not out[n].base_failed for n in range(40))
+    assert all(out[n].kept and not out[n].n_removed_words for n in out if n >= 100)
+
+
 # --- mixing --------------------------------------------------------------------------
 
 def expected_targets(rows):
