@@ -8,6 +8,14 @@ decision tree, trained here with Spark ML on a labelled table of blocks,
 tells main text from the rest. Pages are parsed and classified in one pass
 without a shuffle; only the tree (a few nodes) travels to the tasks.
 
+End tags that pages leave out are supplied: an open head ends at the body or at
+the first thing that cannot stand in one, open options, selects and buttons at
+the next element that cannot; a textarea without an end tag is skipped, not its
+page. Names of classes and ids only guess: an article
+or main element inside clears the chrome they set outside of it, unless its own
+names say chrome, and names that only tell what else there is (has-sidebar) are
+skipped.
+
 Defined cases: null, empty or text-free html gives an empty text; a page cut
 off anywhere is read to its end; repeated rows and null ids are ordinary rows;
 other columns are ignored.
@@ -33,6 +41,11 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head script style noscript template svg math iframe object select option textarea button canvas "
                    "audio video map title".split())
+#: Elements that do not end an open head, a select or an option, and ones that end a button.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
+IN_SELECT = INLINE | frozenset("option optgroup hr script style template noscript button img svg".split())
+NOT_IN_BUTTON = frozenset("button p h1 h2 h3 h4 h5 h6 article main section header footer nav aside form fieldset ul ol dl "
+                          "table blockquote pre figure body".split())
 CHROME = frozenset("nav aside footer form menu dialog fieldset".split())
 MAIN = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -47,15 +60,21 @@ MAIN_NAMES = frozenset("article articlebody body content entry main post story t
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu".split())
 MAIN_ROLES = frozenset("main article".split())
 _NAME = re.compile(r"[a-z0-9]+")
+_TEXTAREA_END = re.compile(r"</textarea", re.I)
+#: A name that begins so tells what the page has elsewhere.
+ELSEWHERE = frozenset("has have with without no".split())
+#: How an element is known as chrome: by class or id names, by its own kind or role.
+NAMED, CERTAIN = 1, 2
 
 
 class _Blocks(HTMLParser):
     """Collects a page's blocks as [text, words in links, chrome, main, heading]."""
 
-    def __init__(self):
+    def __init__(self, textarea_ends: int = 0):
         super().__init__(convert_charrefs=True)
+        self.textarea_ends = textarea_ends  # end tags to come
         self.blocks: list[list] = []
-        self.stack: list[tuple[str, bool, bool]] = []  # element, chrome, main
+        self.stack: list[tuple[str, int, bool]] = []  # element, chrome (0, NAMED or CERTAIN), main
         self.parts: list[str] = []
         self.linked = self.links = self.unseen = 0
         self.heading = False
@@ -63,34 +82,42 @@ class _Blocks(HTMLParser):
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, chrome, main = self.stack[-1] if self.stack else ("", False, False)
-            self.blocks.append([text, self.linked, chrome, main, self.heading])
+            _, chrome, main = self.stack[-1] if self.stack else ("", 0, False)
+            self.blocks.append([text, self.linked, chrome > 0, main, self.heading])
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs) -> None:
+        self._supply_ends(tag)
         if tag == "br" or tag == "img":
             self.parts.append(" ")
         if tag not in INLINE:
             self._flush()
             self._close_links()
-        if tag in VOID:
+        if tag in VOID or tag == "textarea" and not self.textarea_ends:
             return
         if tag == "p" or tag == "li":  # these end an open one of their kind
             self._end_open(tag)
         if tag == "a" and self.links:
             self._pop("a")
-        _, chrome, main = self.stack[-1] if self.stack else ("", False, False)
+        _, chrome, main = self.stack[-1] if self.stack else ("", 0, False)
         names, role = set(), ""
         for name, value in attrs:
             if value and name in ("class", "id"):
-                names.update(_NAME.findall(value.lower()))
+                for one in value.lower().split():
+                    words = _NAME.findall(one)
+                    if words and words[0] not in ELSEWHERE:
+                        names.update(words)
             elif value and name == "role":
                 role = value.lower()
         if tag not in ("html", "body"):
             if tag in MAIN or role in MAIN_ROLES:
+                if chrome == NAMED and not main and not names & CHROME_NAMES:
+                    chrome = 0
                 main = main or not chrome
-            elif tag in CHROME or role in CHROME_ROLES or names & CHROME_NAMES or tag == "header" and not main:
-                chrome = True
+            elif tag in CHROME or role in CHROME_ROLES or tag == "header" and not main:
+                chrome = CERTAIN
+            elif names & CHROME_NAMES:
+                chrome = max(chrome, NAMED)
             elif names & MAIN_NAMES:
                 main = main or not chrome
         self.stack.append((tag, chrome, main))
@@ -101,9 +128,12 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag) -> None:
         if tag not in INLINE:
             self._flush()
+        self.textarea_ends -= tag == "textarea"
         self._pop(tag)
 
     def handle_data(self, data) -> None:
+        if self.unseen and self.stack[-1][0] == "head" and data.strip():
+            self._pop("head")
         if not self.unseen:
             self.parts.append(data)
             if self.links:
@@ -119,6 +149,26 @@ class _Blocks(HTMLParser):
                 break
         self.heading = any(t in HEADINGS for t, _, _ in self.stack)
 
+    def _supply_ends(self, tag) -> None:
+        """End open elements that ``tag`` cannot stand in."""
+        if not self.unseen:
+            return
+        if tag == "body" or tag not in IN_HEAD and self.stack[-1][0] == "head":
+            self._pop("head")
+        if tag not in IN_SELECT:
+            self._drop("option", "select")
+        elif tag in ("option", "optgroup"):
+            self._drop("option")
+        if tag in NOT_IN_BUTTON:
+            self._drop("button")
+
+    def _drop(self, *tags) -> None:
+        """End the open elements of these names, but none that was opened inside them."""
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] in tags:
+                self.unseen -= 1
+                del self.stack[i]
+
     def _end_open(self, tag) -> None:
         for name, _, _ in reversed(self.stack):
             if name == tag:
@@ -135,7 +185,7 @@ class _Blocks(HTMLParser):
 
 def page_blocks(html: str | None) -> list[list]:
     """``[text, linked words, chrome, main, heading]`` of each block in page order."""
-    parser = _Blocks()
+    parser = _Blocks(len(_TEXTAREA_END.findall(html)) if html else 0)
     if html:
         parser.feed(html)
         parser.close()

@@ -137,6 +137,27 @@ def test_html_text(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_html_text_of_open_elements_and_wrapper_names(spark):
+    long = "This is a paragraph of the article that has quite enough words to be told from the chrome around it, one more time."
+    nav = "<nav><a href=/>Home</a> <a href=/b>News</a></nav>"
+    body = f"<article><h1>Title of it</h1><p>{long}</p><p>{long}</p></article>"
+    text = f"Title of it\n{long}\n{long}"
+    pages = [f"<html><head><title>T</title><meta charset=utf-8><body>{nav}{body}", f"<head><title>T</title><link href=x><div>{body}</div>",
+             f"<head><script>x</script>{body}", f"<head><noscript><img src=x></noscript><title>T</title></head><body>{body}",
+             f"<div><button>Menu{body}</div>", f"<div><select><option>One<option>Two{body}</div>", f"<div><textarea>Say{body}</div>",
+             f"<div><button><span>A</span><button>B</button>{body}</div>", f"<textarea><p>{long}</textarea>{body}",
+             f"<select><optgroup><option>One<option>Two</select>{body}",
+             f"<div class='page-wrap with-header' id=page-header-fixed>{body}</div>",
+             f"<div id=page-header-fixed><main><h1>Title of it</h1><p>{long}</p><p>{long}</p></main></div>",
+             f"<div class='content has-sidebar'><h1>Title of it</h1><p>{long}</p><p>{long}</p></div>",
+             f"{body}<div id=comments><article class=comment><p>{long}</p></article></div>",
+             f"<main>{body}<div class=related><article><p>{long}</p></article></div></main>", f"<aside><article><p>{long}</p></article></aside>{body}"]
+    rows = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").selectExpr("*", "'u' as url")
+    got = {r.page_id: r.text for r in html_text.extract_text(rows).collect()}
+    for n in range(len(pages)):
+        assert got[n].replace("Say\n", "") == text, pages[n]
+
+
 def test_html_text_of_given_pages(spark):
     got = result(spark, "op2")
     for page_id, html in duckdb.sql(f"select page_id, html from '{SF}/pages.parquet'").fetchall():
