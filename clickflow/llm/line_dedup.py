@@ -2,13 +2,15 @@
 
 A line is a duplicate if an earlier line (by document id, then place) is
 equal to it or, for lines of ``least_chars`` characters or more, is linked to
-it by edits: a chain of lines, each within ``max_edits`` edits of the next.
-The first line of such a class stays, the others are removed.
-
-Lines are cut into ``max_edits + 1`` segments of fixed places for their
-length. Two lines within ``max_edits`` edits share a segment: one line's
-segment equals a substring of the other whose start can differ only by the
-edits on either side. So every line is indexed by (length, segment number,
+it by edits: a chain of lines, each within the permitted edits of the next.
+The first line of such a class stays, the others are removed. ``max_edits`` is
+one number for all lines or steps of (least length, edits); the shorter line
+of a pair decides.
+
+Lines are cut into one segment more than the edits permitted at their length,
+at fixed places for it. Two lines within these edits share a segment: the
+shorter line's segment equals a substring of the longer one whose start can
+differ only by the edits on either side. So every line is indexed by (length, segment number,
 segment) and probes, for each length it may be close to, the few substrings
 that can match. Equal lines are one class before that.
 
@@ -35,11 +37,26 @@ from pyspark.sql import types as T
 from clickflow.llm.common import id_type, keep, utf8
 from clickflow.llm.components import component_labels
 
-MAX_EDITS = 1
+#: Permitted edits from a line length on.
+MAX_EDITS = ((20, 1), (40, 2), (80, 3))
 #: Shorter lines are only compared for equality.
 LEAST_CHARS = 20
 
 
+Edits = int | tuple[tuple[int, int], ...]
+
+
+def edits_at(length: int, max_edits: Edits) -> int:
+    """Edits permitted between a line of this length and one as long or longer."""
+    if isinstance(max_edits, int):
+        return max_edits
+    return max((edits for least, edits in max_edits if length >= least), default=0)
+
+
+def most_edits(max_edits: Edits) -> int:
+    return max_edits if isinstance(max_edits, int) else max(edits for _, edits in max_edits)
+
+
 def segment_places(length: int, parts: int) -> list[tuple[int, int]]:
     """Start and length of each segment of a line."""
     size, longer = divmod(length, parts)
@@ -51,21 +68,23 @@ def segment_places(length: int, parts: int) -> list[tuple[int, int]]:
     return out
 
 
-def line_keys(line: str, max_edits: int) -> tuple[list[int], list[int]]:
+def line_keys(line: str, max_edits: Edits) -> tuple[list[int], list[int]]:
     """Keys under which the line is indexed, and further keys that it probes."""
     import xxhash
 
-    n, parts = len(line), max_edits + 1
+    n, most = len(line), most_edits(max_edits)
 
     def key(length, i, start, size):
-        return xxhash.xxh3_64_intdigest(line[start:start + size], seed=length * parts + i) - (1 << 63)
+        return xxhash.xxh3_64_intdigest(line[start:start + size], seed=length * (most + 1) + i) - (1 << 63)
 
-    own = [key(n, i, start, size) for i, (start, size) in enumerate(segment_places(n, parts))]
+    own = [key(n, i, start, size) for i, (start, size) in enumerate(segment_places(n, edits_at(n, max_edits) + 1))]
     probes = set()
-    for length in range(max(n - max_edits, 1), n + 1):
-        more = n - length
-        for i, (start, size) in enumerate(segment_places(length, parts)):
-            left, right = i, max_edits - i  # edits that can lie on either side
+    for length in range(max(n - most, 1), n + 1):
+        more, edits = n - length, edits_at(length, max_edits)
+        if more > edits:
+            continue
+        for i, (start, size) in enumerate(segment_places(length, edits + 1)):
+            left, right = i, edits - i  # edits that can lie on either side
             low = max(start - left, start + more - right, 0)
             high = min(start + left, start + more + right, n - size)
             probes.update(key(length, i, at, size) for at in range(low, high + 1))
@@ -146,7 +165,7 @@ def has_word(line: bytes) -> bool:
     return bool(line.split())
 
 
-def _line_rows(max_edits: int, least_chars: int, schema):
+def _line_rows(max_edits: Edits, least_chars: int, schema):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
@@ -165,7 +184,7 @@ def _line_rows(max_edits: int, least_chars: int, schema):
                         close = len(line) >= least_chars
                         own, probes = line_keys(line, max_edits) if close else ([], [])
                         for c, v in zip(schema.names, (row, doc_id, tag, k, xxhash.xxh3_128_digest(raw) if raw else None,
-                                                       own, probes, pair_parities(line) if close else 0)):
+                                                       own, probes, pair_parities(line) if close else 0, len(line))):
                             out[c].append(v)
                     row += 1
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
@@ -189,19 +208,24 @@ def _texts_of(batches: Iterator) -> Iterator:
                                          names=["node", "text"])
 
 
-def _verifier(max_edits: int):
+def _verifier(max_edits: Edits):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-            ok = within_edits(x, y, max_edits)
+            edits = [edits_at(min(len(p), len(q)), max_edits) for p, q in zip(x, y)]
+            ok = [False] * len(x)
+            for e in set(edits):
+                some = [k for k, own in enumerate(edits) if own == e]
+                for k, near in zip(some, within_edits([x[k] for k in some], [y[k] for k in some], e)):
+                    ok[k] = near
             yield pa.RecordBatch.from_arrays([pa.array([p for p, o in zip(a, ok) if o], pa.int64()),
                                               pa.array([p for p, o in zip(b, ok) if o], pa.int64())], names=["a", "b"])
     return run
 
 
-def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, least_chars: int = LEAST_CHARS, id_col: str = "doc_id",
+def line_classes(docs: DataFrame, max_edits: Edits = MAX_EDITS, least_chars: int = LEAST_CHARS, id_col: str = "doc_id",
                  text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Two tables: every line (row, id, tag, place, line), and per distinct line its class's first place.
 
@@ -214,12 +238,13 @@ def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, least_chars: int =
         T.StructField("row", T.LongType()), T.StructField("id", id_type(docs, id_col)), T.StructField("tag", T.LongType()),
         T.StructField("place", T.IntegerType()), T.StructField("line", T.BinaryType()),
         T.StructField("own", T.ArrayType(T.LongType())), T.StructField("probes", T.ArrayType(T.LongType())),
-        T.StructField("parities", T.LongType())])
+        T.StructField("parities", T.LongType()), T.StructField("chars", T.LongType())])
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("tag", F.xxhash64("text"))
     lines = keep(texts.mapInArrow(_line_rows(max_edits, least_chars, to_arrow_schema(schema)), schema))
     first = F.min(F.struct("id", "tag", "place", "row")).alias("first")
     distinct = keep(lines.where("line is not null").groupBy("line").agg(
-        first, F.any_value("own").alias("own"), F.any_value("probes").alias("probes"), F.any_value("parities").alias("parities"))
+        first, F.any_value("own").alias("own"), F.any_value("probes").alias("probes"), F.any_value("parities").alias("parities"),
+        F.any_value("chars").alias("chars"))
         .withColumn("node", F.monotonically_increasing_id()))
     links = _links(texts, distinct, max_edits)
     labels = component_labels(links)
@@ -230,7 +255,7 @@ def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, least_chars: int =
     return lines.select("row", "id", "tag", "place", "line"), keep(classes)
 
 
-def _links(texts: DataFrame, distinct: DataFrame, max_edits: int) -> DataFrame:
+def _links(texts: DataFrame, distinct: DataFrame, max_edits: Edits) -> DataFrame:
     """Verified links (a, b) that connect all lines of a class."""
     # one bit tells indexed from probing; a line never probes a key that it is indexed by
     entries = distinct.select(F.explode(F.concat(
@@ -244,13 +269,16 @@ def _links(texts: DataFrame, distinct: DataFrame, max_edits: int) -> DataFrame:
         .where("least != most and hub is not null").select("key", "hub"), "key")
         .select("key", is_index.alias("indexed"), F.shiftright("entry", 1).alias("node"), F.shiftright("hub", 1).alias("hub")))
 
-    wanted = shared.select("node").distinct().join(distinct.select("node", "first", "line", "parities"), "node")
+    wanted = shared.select("node").distinct().join(distinct.select("node", "first", "line", "parities", "chars"), "node")
     per_text = wanted.groupBy(F.col("first.id").alias("_id"), F.col("first.tag").alias("_tag")).agg(
         F.collect_list(F.struct("node", F.col("first.place").alias("place"), "line")).alias("wanted"))
     found = keep(texts.join(per_text, texts["id"].eqNullSafe(F.col("_id")) & (texts["tag"] == F.col("_tag")))
                  .select("text", "wanted").mapInArrow(_texts_of, "node long, text string")
                  .groupBy("node").agg(F.any_value("text").alias("text")))
-    parities = keep(wanted.select("node", "parities"))
+    edits = F.lit(most_edits(max_edits))
+    if not isinstance(max_edits, int):
+        edits = F.greatest(F.lit(0), *(F.when(F.col("chars") >= least, e) for least, e in max_edits))
+    parities = keep(wanted.select("node", "parities", edits.alias("edits")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -258,23 +286,25 @@ def _links(texts: DataFrame, distinct: DataFrame, max_edits: int) -> DataFrame:
         two = found.select(F.col("node").alias("b"), F.col("text").alias("y"))
         return keep(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verifier(max_edits), "a long, b long"))
 
-    far = lambda p, q: F.bit_count(p.bitwiseXOR(q)) > 4 * max_edits
+    # the indexed line of a pair is the shorter one, or as long
+    far = lambda p, q, edits: F.bit_count(p.bitwiseXOR(q)) > 4 * edits
     rows = shared.join(parities, "node")
-    hubs = parities.select(F.col("node").alias("hub"), F.col("parities").alias("hub_parities"))
-    links = verified(rows.join(hubs, "hub").where(~far(F.col("parities"), F.col("hub_parities")))
+    hubs = parities.select(F.col("node").alias("hub"), F.col("parities").alias("hub_parities"), F.col("edits").alias("hub_edits"))
+    links = verified(rows.join(hubs, "hub").where(~far(F.col("parities"), F.col("hub_parities"), F.col("hub_edits")))
                      .select(F.col("node").alias("a"), F.col("hub").alias("b")))
     labels = component_labels(links)
-    rows = rows.join(labels, "node", "left").select("key", "indexed", "node", "parities", F.coalesce("label", "node").alias("label"))
+    rows = rows.join(labels, "node", "left").select("key", "indexed", "node", "parities", "edits",
+                                                             F.coalesce("label", "node").alias("label"))
     rows = keep(rows)
     mixed = keep(rows.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("key"))
     rows = keep(rows.join(mixed, "key"))
     left, right = rows.where("indexed = 1").alias("p"), rows.alias("q")
     near = ((F.col("p.key") == F.col("q.key")) & (F.col("p.label") != F.col("q.label"))
-            & ~far(F.col("p.parities"), F.col("q.parities")))
+            & ~far(F.col("p.parities"), F.col("q.parities"), F.col("p.edits")))
     return keep(links.union(verified(left.join(right, near).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")))))
 
 
-def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, least_chars: int = LEAST_CHARS, id_col: str = "doc_id",
+def repeated_lines(docs: DataFrame, max_edits: Edits = MAX_EDITS, least_chars: int = LEAST_CHARS, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, ``tag`` (hash of the text), ``n_lines`` with a word, ``n_removed``, ``removed`` (places from 0)."""
     lines, classes = line_classes(docs, max_edits, least_chars, id_col, text_col)
@@ -286,7 +316,7 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, least_chars: int
         F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("place")))).alias("removed")).drop("row")
 
 
-def without_repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, least_chars: int = LEAST_CHARS,
+def without_repeated_lines(docs: DataFrame, max_edits: Edits = MAX_EDITS, least_chars: int = LEAST_CHARS,
                            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated lines taken out of their texts (null texts stay null).
 

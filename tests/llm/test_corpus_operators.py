@@ -370,6 +370,38 @@ def test_edit_automaton():
             assert set(own_x) & set(own_y + more_y) or set(own_y) & set(own_x + more_x)
 
 
+def test_line_dedup_permits_more_edits_in_longer_lines(spark):
+    """The registered thresholds against brute force, with lengths about the steps."""
+    rng = np.random.default_rng(11)
+    lines = []
+    for n in (19, 20, 21, 38, 39, 40, 41, 43, 78, 79, 80, 81, 83, 150, 200):
+        for _ in range(4):
+            base = "".join(rng.choice(list("abcdefgh é"), n))
+            lines.append(base)
+            for _ in range(3):
+                x = base
+                for _ in range(rng.integers(1, 5)):
+                    at = int(rng.integers(0, len(x)))
+                    x = x[:at] + ("", "x", "yx")[rng.integers(0, 3)] + x[at + 1:]
+                lines.append(x)
+    edits = lambda x, y: sum(min(len(x), len(y)) >= k for k in (20, 40, 80))
+    near = {(a, b) for a, x in enumerate(lines) for b, y in enumerate(lines[:a])
+            if x != y and abs(len(x) - len(y)) <= 3 and distance(x, y) <= edits(x, y)}
+    assert {edits(lines[a], lines[b]) for a, b in near} == {1, 2, 3}
+    top = list(range(len(lines)))
+    for a, x in enumerate(lines):
+        for b in range(a):
+            if (a, b) in near or x == lines[b]:
+                old, new = max(top[a], top[b]), min(top[a], top[b])
+                top = [new if t == old else t for t in top]
+    for a, b in near:
+        (own_a, more_a), (own_b, more_b) = (line_dedup.line_keys(lines[k], line_dedup.MAX_EDITS) for k in (a, b))
+        assert set(own_a) & set(own_b + more_b) or set(own_b) & set(own_a + more_a)
+    rows = [(n, x) for n, x in enumerate(lines)]
+    out = {r.doc_id: r.n_removed for r in line_dedup.repeated_lines(frame(spark, rows)).collect()}
+    assert out == {n: int(top[n] != n) for n in out} and len(out) == len(lines)
+
+
 # --- licenses ------------------------------------------------------------------------
 
 def base_places(text):
