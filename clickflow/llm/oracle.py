@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clickflow.llm import licenses, secrets
+from clickflow.llm import lexical_search, licenses, secrets, vector_codes
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -99,8 +99,74 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, c
   sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from texts left join hit_words using (row) left join hit_items using (row)"""
 
+def vector_codes_sql() -> str:
+    """Every part against every entry, round by round; distances as doubles, which hold these whole numbers exactly."""
+    parts, rounds = vector_codes.PARTS, vector_codes.ROUNDS
+
+    def assigned(r: int) -> str:
+        return f"""
+near{r} as materialized (
+  select row, p.part, min((norm + size - 2 * list_inner_product(p.x, b.x))::hugeint * 1000 + entry) as best
+  from parts p join (select *, list_inner_product(x, x) as size from book{r}) b on p.part = b.part group by row, p.part),
+code{r} as materialized (select row, part, (best % 1000)::integer as entry, (best // 1000)::bigint as error from near{r})"""
+
+    def refined(r: int) -> str:
+        return f"""
+sums{r} as (
+  select part, entry, i, sum(x[i]::bigint) as s, count(*) as n
+  from (select c.part, c.entry, p.x, unnest(range(1, len(p.x) + 1)) as i from code{r} c join parts p using (row, part))
+  group by part, entry, i),
+means{r} as (
+  select part, entry, list(((s - ((s % n) + n) % n) // n)::double order by i) as x from sums{r} group by part, entry),
+book{r + 1} as materialized (
+  select b.part, b.entry, coalesce(m.x, b.x) as x from book{r} b left join means{r} m on m.part = b.part and m.entry = b.entry)"""
+
+    steps = ",".join(assigned(r) + "," + refined(r) for r in range(rounds))
+    return f"""
+with whole as (
+  select row_number() over () as row, vec_id, label, list_transform(embedding, lambda c: floor(c::double * {vector_codes.SCALE})) as v
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+parts as materialized (
+  select row, part, x, list_inner_product(x, x) as norm
+  from (select row, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] as x
+        from (select row, v, unnest(range({parts})) as part from whole))),
+first as (
+  select row, row_number() over (order by vec_id nulls last, v) - 1 as entry from whole
+  qualify row_number() over (order by vec_id nulls last, v) <= {vector_codes.ENTRIES}),
+book0 as materialized (select part, entry, x from first join parts using (row)),{steps},{assigned(rounds)},
+coded as (
+  select row, string_agg(printf('%02x', entry), '' order by part) as code, sum(error)::bigint as error from code{rounds} group by row),
+labelled as (select vec_id, label, code, error from whole join coded using (row))
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error,
+  (select sha256(string_agg(array_to_string(list_transform(x, lambda c: c::bigint::varchar), ','), ',' order by part, entry))
+   from book{rounds}) as codebooks_sha256
+from labelled"""
+
+
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL_SEARCH = f"""
+with texts as (select row_number() over () as row, doc_id, {_TERMS} as t from documents),
+totals as (select count(*)::bigint as n_docs, sum(len(t))::bigint as n_terms from texts where len(t) > 0),
+counted as (select row, term, count(*) as tf from (select row, unnest(t) as term from texts) group by row, term),
+items as (select row_number() over () as item, item_id, {_TERMS} as t from benchmark),
+item_terms as (select distinct item, unnest(t) as term from items),
+weights as (
+  select term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::bigint as w
+  from counted, totals where term in (select term from item_terms) group by term),
+impacts as (
+  select row, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(t) * n_docs) // n_terms))) as impact
+  from counted join weights using (term) join texts using (row), totals),
+scores as (select item, row, sum(impact)::bigint as score from item_terms join impacts using (term) group by item, row),
+ranked as (
+  select item, doc_id, score, row_number() over (partition by item order by score desc, doc_id nulls last) as rank
+  from scores join texts using (row) where score > 0)
+select item_id, rank::integer as rank, doc_id, score from ranked join items using (item) where rank <= {lexical_search.TOP}"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_secret_scan": secret_scan(),
     "op7_license_scan": license_scan(),
     "op10_decontamination": DECONTAMINATION,
+    "op11_vector_codes": vector_codes_sql(),
+    "op12_lexical_search": LEXICAL_SEARCH,
 }

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from clickflow.llm import (decontaminate, html_text, licenses, line_dedup, mixing, near_dedup, quality, secrets,
-                           token_counts, token_files)
+from clickflow.llm import (decontaminate, html_text, lexical_search, licenses, line_dedup, mixing, near_dedup,
+                           personal_data, quality, secrets, token_counts, token_files, vector_codes)
 from clickflow.llm.common import table
 from clickflow.llm.oracle import ORACLE_SQL  # noqa: F401
+from clickflow.session import ensure_checkpoint_dir
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -64,8 +67,22 @@ def op10_decontamination(spark, sf_dir):
                         F.sha2(F.array_join(f["items"], ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark, sf_dir):
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lexical-index-{uuid.uuid4().hex}"
+    index = lexical_search.write_index(table(spark, sf_dir, "documents"), path)
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
+def op13_personal_data(spark, sf_dir):
+    return personal_data.personal_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_token_counts, op2_html_text, op3_secret_scan, op4_token_files, op5_near_dedup, op6_line_dedup, op7_license_scan, op8_quality_rules,
-              op9_mixing, op10_decontamination)
+              op9_mixing, op10_decontamination, op11_vector_codes, op12_lexical_search, op13_personal_data)
 }
