@@ -21,8 +21,7 @@ that overlap one are left out.
 
 Everything is DataFrame functions and Spark ML: per text the matches are taken
 by ``split`` and ``regexp_extract_all`` in one scan, and running sums of
-lengths give the offsets in code points. What is collected is one row per kind and
-round, of sums. Copies of a text are one text, found by a hash of the content.
+lengths give the offsets in code points. What is collected is one row per kind. Copies of a text are one text, found by a hash of the content.
 
 Patterns are written so that a long run of like characters is read once:
 possessive quantifiers, and look-behinds that let a match only start where a
@@ -72,7 +71,7 @@ PATTERNS = BASE + (
     Pattern("phone", r"(?<![0-9A-Za-z+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])"),
     Pattern("id", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", literal="-"),
     Pattern("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])"),
-    Pattern("name", r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}{1,15}+\x20\p{Lu}\p{Ll}{1,20}+(?![\p{L}\p{N}])"),
+    Pattern("name", r"(?<![\p{L}\p{N}])(?!(?:Mrs?|Ms|Dr|Herr|Frau|Monsieur|Madame|Dear)\b)\p{Lu}\p{Ll}{1,15}+\x20\p{Lu}\p{Ll}{1,20}+(?![\p{L}\p{N}])"),
 )
 KINDS = ("email", "ip", "card", "phone", "id", "iban", "name")
 BASE_KINDS = KINDS[:4]
@@ -166,8 +165,9 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Per text (``content``) and candidate: ``kind``, ``start``, ``end``, ``base``, the span and what stands around it."""
     text = F.col(text_col)
     matches = F.concat(*(_matches(text, at, p) for at, p in enumerate(PATTERNS)))
+    # the condition stands after the grouping: before it, Spark would search every text twice
     per_text = keep(docs.where(text.isNotNull()).select(_content(text).alias("content"), matches.alias("matches"))
-                    .where(F.size("matches") > 0).groupBy("content").agg(F.any_value("matches").alias("matches")))
+                    .groupBy("content").agg(F.any_value("matches").alias("matches")).where(F.size("matches") > 0))
     one = per_text.select("content", F.explode("matches").alias("m")).select("content", "m.*") \
         .withColumn("size", F.length("hit")).withColumn("digits", _digits(F.col("hit"))) \
         .withColumn("kind", F.element_at(F.array(*(F.lit(p.kind) for p in PATTERNS)), F.col("at") + 1))
@@ -243,24 +243,46 @@ def _log_odds(model: dict) -> F.Column:
 def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> dict:
     """Per kind the share of true spans and each labeler's (votes for where true, votes against where not).
 
-    ``patterns`` has one row per kind and vote pattern with its count ``n``.
-    A round is an aggregation to one row per kind. Ten imagined votes per
-    labeler, eight of them right, keep rare labelers near their start.
+    ``patterns`` has one row per kind and vote pattern with its count ``n``,
+    at most 3 to the number of labelers for a kind, whatever the number of
+    candidates. All rounds of a kind are one fold over these rows. Ten imagined
+    votes per labeler, eight of them right, keep rare labelers near their start.
     """
-    within = lambda x, low, high: min(max(x, low), high)
-    model = {kind: (0.5, {x: (0.95, 0.95) if x == "form" else (0.8, 0.8) for x in LABELERS}) for kind in KINDS}
-    for _ in range(rounds):
-        weighed = patterns.withColumn("yes", F.col("n") / (1 + F.exp(-_log_odds(model)))).withColumn("no", F.col("n") - F.col("yes"))
-        sums = [F.sum("n").alias("n"), F.sum("yes").alias("true")]
-        for x in LABELERS:
-            for name, vote, weight in (("tp", 1, "yes"), ("fn", -1, "yes"), ("fp", 1, "no"), ("tn", -1, "no")):
-                sums.append(F.sum(F.when(F.col(x) == vote, F.col(weight)).otherwise(0.0)).alias(f"{x}_{name}"))
-        for r in weighed.groupBy("kind").agg(*sums).collect():
-            reliable = {x: tuple(within((r[f"{x}_{right}"] + 8) / (r[f"{x}_{right}"] + r[f"{x}_{wrong}"] + 10),
-                                        LEAST_RELIABLE, MOST_RELIABLE) for right, wrong in (("tp", "fn"), ("tn", "fp")))
-                        for x in LABELERS}
-            model[r["kind"]] = (within((r["true"] + 1) / (r["n"] + 2), 0.01, 0.99), reliable)
-    return model
+    doubles = lambda values: F.array(*(F.lit(float(x)) for x in values))
+    surest = doubles(0.95 if x == "form" else 0.8 for x in LABELERS)
+    start = F.struct(F.lit(0.5).alias("share"), surest.alias("yes"), surest.alias("no"))
+
+    def within(x, low, high):
+        return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+
+    def expected(row, model):
+        """The row's votes and its counts of true and of other spans."""
+        odds = F.aggregate(
+            F.arrays_zip(row["v"].alias("v"), model["yes"].alias("yes"), model["no"].alias("no")),
+            F.log(model["share"] / (1 - model["share"])), lambda s, x: s + F.when(x["v"] == 1, F.log(x["yes"] / (1 - x["no"]))).when(
+                x["v"] == -1, F.log((1 - x["yes"]) / x["no"])).otherwise(0.0))
+        return _let(row["n"] / (1 + F.exp(-odds)), lambda true: F.struct(
+            row["v"].alias("v"), true.alias("true"), (row["n"] - true).alias("other")))
+
+    def refined(rows):
+        def total(weight, at=None, vote=None):
+            one = (lambda r: r[weight]) if at is None else lambda r: F.when(r["v"][at] == vote, r[weight]).otherwise(0.0)
+            return F.aggregate(rows, F.lit(0.0), lambda s, r: s + one(r))
+
+        def reliable(weight, vote):
+            shares = ((total(weight, at, vote) + 8) / (total(weight, at, vote) + total(weight, at, -vote) + 10)
+                      for at in range(len(LABELERS)))
+            return F.array(*(within(x, LEAST_RELIABLE, MOST_RELIABLE) for x in shares))
+
+        share = (total("true") + 1) / (total("true") + total("other") + 2)
+        return F.struct(within(share, 0.01, 0.99).alias("share"), reliable("true", 1).alias("yes"), reliable("other", -1).alias("no"))
+
+    per_kind = patterns.groupBy("kind").agg(F.sort_array(F.collect_list(
+        F.struct(F.array(*LABELERS).alias("v"), F.col("n").cast("double").alias("n")))).alias("rows"))
+    fold = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda model, _: _let(
+        F.transform("rows", lambda row: expected(row, model)), refined))
+    return {r["kind"]: (r["m"]["share"], dict(zip(LABELERS, zip(r["m"]["yes"], r["m"]["no"]))))
+            for r in per_kind.select("kind", fold.alias("m")).collect()}
 
 
 def _features() -> list:
@@ -283,7 +305,7 @@ def train(voted: DataFrame) -> list | None:
     rows = keep(rows.orderBy("f", "p").coalesce(1))
     both = rows.select("f", F.lit(1.0).alias("label"), (F.col("n") * F.col("p")).alias("weight")).union(
         rows.select("f", F.lit(0.0), F.col("n") * (1 - F.col("p"))))
-    model = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=100).fit(
+    model = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=50).fit(
         both.where("weight > 0").select(array_to_vector("f").alias("features"), "label", "weight"))
     return [*model.coefficients.toArray().tolist(), model.intercept]
 
