@@ -17,18 +17,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Importable from any working directory (the package sits next to this file).
-# Nothing here runs Python on executors, so nothing needs shipping to them.
+# The analytics part runs no Python on executors; the corpus operators' functions are pickled by value.
 _HERE = os.path.dirname(os.path.abspath(__file__))
 if _HERE not in sys.path:
     sys.path.insert(0, _HERE)
 
-from clickflow.operators import abtest, enrich, funnel, item_params, reconcile
+from clickflow.operators import abtest, enrich, funnel, item_params, reconcile, rollups, running
 from clickflow.plans.materialize import materialize
 from clickflow.session import ensure_checkpoint_dir
+from clickflow.sources.bucketed import write_bucketed, write_bucketed_sessions
 from clickflow.sources.ga4 import read_source
 from clickflow.streaming.daily import start_daily_refresh
 from clickflow_fixtures.adapter import ga4_tables_folder, ga4_tables_materialized
-from clickflow_fixtures.crm import crm_export_from_events, write_crm_csv
+from clickflow_fixtures.crm import crm_export_from_events, write_crm_csv, write_untidy_crm_csv
 from clickflow_fixtures.oracle import END, ORACLE_SQL, START
 
 try:  # the corpus operators and their pipeline are an optional part
@@ -74,6 +75,60 @@ def _funnel_medians(spark, d):
     return funnel.funnel_medians(_funnel_pivot(spark, d)).orderBy(*funnel.DEFAULT_DIMS)
 
 
+def _funnel_by_segment_exact(spark, d):
+    """U5 with medians selected by rank."""
+    t = _t(spark, d)
+    return funnel.funnel_by_segment(t.events, t.sessions, START, END, exact_medians=True)
+
+
+def _funnel_medians_exact(spark, d):
+    """Exact medians for groups of any size."""
+    return funnel.funnel_medians_exact(_funnel_pivot(spark, d)).orderBy(*funnel.DEFAULT_DIMS)
+
+
+def _funnel_long_exact(spark, d):
+    t = _t(spark, d)
+    return funnel.funnel_steps_long(t.events, t.sessions, START, END, exact_medians=True)
+
+
+def _bucketed_folder(spark):
+    """A folder and a table name prefix of their own."""
+    tag = uuid.uuid4().hex[:12]
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/bucketed-{tag}", f"clickflow_{tag}"
+
+
+def _funnel_session_pivot_bucketed(spark, d):
+    """U2 / J1 over events and sessions bucketed by session."""
+    path, prefix = _bucketed_folder(spark)
+    events, sessions = write_bucketed_sessions(_t(spark, d), prefix, path, buckets=8)
+    return funnel.funnel_pivot_bucketed(events, sessions, START, END)
+
+
+def _ab_events_bucketed(spark, d):
+    """U15 / J3 over events bucketed by user."""
+    path, prefix = _bucketed_folder(spark)
+    ev = write_bucketed(_t(spark, d).events, f"{prefix}_events_by_user", path, "user_pseudo_id", buckets=8).rows
+    return abtest.ab_events(ev, abtest.ab_isolated_cohort(ev, TEST_ID, START, END), START, END)
+
+
+def _user_rollup(spark, d):
+    """The bitmap roll-up of all days, made in two refreshes that share a day."""
+    t = _t(spark, d)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/user-rollup-{uuid.uuid4().hex[:12]}"
+    rollups.refresh_rollup(t.events, t.sessions, path, START, "2024-01-15")
+    return rollups.refresh_rollup(t.events, t.sessions, path, "2024-01-15", END)
+
+
+def _funnel_counts_rollup(spark, d):
+    """Distinct users of the range from the roll-up alone."""
+    return rollups.rollup_counts(_user_rollup(spark, d), START, END).orderBy(*funnel.DEFAULT_DIMS)
+
+
+def _active_users(spark, d):
+    """Distinct users of every day and of the seven days up to it, from the roll-up alone."""
+    return rollups.active_users(_user_rollup(spark, d), START, END).orderBy("event_date", "device_category")
+
+
 def _funnel_rates(spark, d):
     counts = funnel.funnel_counts(_funnel_pivot(spark, d), list(funnel.DEFAULT_DIMS))
     return funnel.funnel_rates(counts).orderBy(*funnel.DEFAULT_DIMS)
@@ -134,6 +189,11 @@ def _parse_all(spark, d):
     return item_params.parse_items(_t(spark, d).events, START, END)
 
 
+def _parse_all_checked(spark, d):
+    """The same with a lookup that fails on duplicate keys."""
+    return item_params.parse_items(_t(spark, d).events, START, END, source="raw", on_duplicate="raise")
+
+
 def _parse_all_raw(spark, d):
     """Every parameter from the raw key/value arrays."""
     return item_params.parse_items(_t(spark, d).events, START, END, source="raw")
@@ -219,6 +279,20 @@ def _crm_daily_csv(spark, d):
     return reconcile.load_crm(spark, path)
 
 
+def _crm_daily_inferred(spark, d):
+    """An export with dates as ``15.01.2024`` and rows of too many fields, which are skipped."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/crm-export-{uuid.uuid4().hex[:12]}"
+    write_untidy_crm_csv(crm_export_from_events(read_source(spark, d, "events")), path)
+    return reconcile.load_crm(spark, path, malformed="skip")
+
+
+def _crm_malformed_rows(spark, d):
+    """The report of such rows."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/crm-export-{uuid.uuid4().hex[:12]}"
+    write_untidy_crm_csv(crm_export_from_events(read_source(spark, d, "events")), path)
+    return reconcile.malformed_rows(spark, path).select("record", "fields")
+
+
 def _reconcile(spark, d):
     return reconcile.reconcile(_ga4_daily(spark, d), _crm_daily(spark, d))
 
@@ -273,6 +347,25 @@ def _running_totals(spark, d):
     return enrich.running_totals(_t(spark, d).events, START, END)
 
 
+def _running_totals_carried(spark, d):
+    """X4 day by day: three refreshes on top of the carry, the last days once more for late data."""
+    ev = _t(spark, d).events
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/running-totals-{uuid.uuid4().hex[:12]}"
+    for start, end in ((START, "2024-01-10"), ("2024-01-11", "2024-01-20"), ("2024-01-21", "2024-01-25")):
+        running.refresh_running_totals(ev, path, start, end)
+    return running.refresh_running_totals(ev, path, "2024-01-21", END)
+
+
+def _param_types(spark, d):
+    """Parameter keys and the types seen of each."""
+    return item_params.all_param_types(_t(spark, d).events, START, END).orderBy("level", "key")
+
+
+def _inferred_params(spark, d):
+    """X5 without a configuration."""
+    return item_params.inferred_params(_t(spark, d).events, START, END)
+
+
 def _session_metrics(spark, d):
     return enrich.session_metrics(_t(spark, d).events, START, END)
 
@@ -284,6 +377,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "funnel_by_segment": _funnel_by_segment,
         "funnel_counts": _funnel_counts,
         "funnel_medians": _funnel_medians,
+        "funnel_by_segment_exact": _funnel_by_segment_exact,
+        "funnel_medians_exact": _funnel_medians_exact,
+        "funnel_long_exact": _funnel_long_exact,
+        "funnel_session_pivot_bucketed": _funnel_session_pivot_bucketed,
+        "ab_events_bucketed": _ab_events_bucketed,
+        "funnel_counts_rollup": _funnel_counts_rollup,
+        "active_users_rolling": _active_users,
         "funnel_rates": _funnel_rates,
         "funnel_base_events": _funnel_base_events,
         "funnel_session_pivot": _funnel_session_pivot,
@@ -303,6 +403,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "parse_prices_view_item": _parse_prices_view_item,
         "parse_items_all": _parse_all,
         "parse_items_raw": _parse_all_raw,
+        "parse_items_checked": _parse_all_checked,
         "ab_cohort": _ab_cohort,
         "ab_cohort_items": _ab_cohort_items,
         "ab_isolated": _ab_isolated,
@@ -317,6 +418,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ga4_daily_incremental": _ga4_daily_incremental,
         "crm_daily": _crm_daily,
         "crm_daily_csv": _crm_daily_csv,
+        "crm_daily_inferred": _crm_daily_inferred,
+        "crm_malformed_rows": _crm_malformed_rows,
         "reconcile": _reconcile,
         "reconcile_summary": _reconcile_summary,
         "reconcile_flagged_days": _reconcile_flagged,
@@ -328,6 +431,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "promoted_params": _promoted_params,
         "transaction_totals": _transaction_totals,
         "running_totals": _running_totals,
+        "running_totals_carried": _running_totals_carried,
+        "param_types": _param_types,
+        "inferred_params": _inferred_params,
         "session_metrics": _session_metrics,
         **corpus,
     }

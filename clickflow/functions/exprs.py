@@ -53,14 +53,18 @@ def flag(cond: Column) -> Column:
 
 
 def array_lookup(arr: Column | str, key: str, key_field: str = "key",
-                 value_path: tuple[str, ...] = ("value", "string_value")) -> Column:
+                 value_path: tuple[str, ...] = ("value", "string_value"), on_duplicate: str = "first") -> Column:
     """Value of the first struct in ``arr`` whose ``key_field`` equals ``key``.
 
     Replaces the correlated ``(SELECT value.string_value FROM UNNEST(arr) WHERE
     key = ...)`` subquery with higher-order functions: no join, no shuffle.
-    Null when there is no match (the warehouse raises on more than one match;
-    we take the first).
+    Null when there is no match. On more than one match the first is taken, or,
+    with ``on_duplicate="raise"``, the query fails as the warehouse's scalar
+    subquery does.
     """
+    if on_duplicate not in ("first", "raise"):
+        raise ValueError("on_duplicate must be 'first' or 'raise'")
+
     def pick(x):
         v = x
         for f in value_path:
@@ -68,7 +72,11 @@ def array_lookup(arr: Column | str, key: str, key_field: str = "key",
         return v
 
     matches = F.transform(F.filter(col_(arr), lambda x: x.getField(key_field) == F.lit(key)), pick)
-    return F.get(matches, 0)
+    if on_duplicate == "first":
+        return F.get(matches, 0)
+    # one filter of the array, looked at twice
+    several = F.raise_error(F.lit(f"more than one element has {key_field} {key!r}"))
+    return F.get(F.transform(F.array(matches), lambda m: F.when(F.size(m) > 1, several).otherwise(F.get(m, 0))), 0)
 
 
 def money_sum(c: Column | str) -> Column:

@@ -127,6 +127,14 @@ def transaction_totals(events: DataFrame, start, end) -> DataFrame:
              "unique_items", "revenue", "item_quantity", "item_revenue", "coupons")
 
 
+def daily_purchases(events: DataFrame, start, end) -> DataFrame:
+    """Purchases and revenue (exact decimal) per (user, day)."""
+    p = in_date_range(events, start, end).where(F.col("event_name") == "purchase")
+    return p.groupBy("user_pseudo_id", "event_date").agg(
+        F.count(F.lit(1)).alias("purchases"),
+        F.sum(F.col("ecommerce.purchase_revenue").cast("decimal(28,9)")).alias("revenue"))
+
+
 def running_totals(events: DataFrame, start, end) -> DataFrame:
     """Per (user, day) purchases and revenue with running totals per user.
 
@@ -134,11 +142,7 @@ def running_totals(events: DataFrame, start, end) -> DataFrame:
     number of days in range, so a user with a huge share of events cannot
     overload one task.
     """
-    p = in_date_range(events, start, end).where(F.col("event_name") == "purchase")
-    daily = p.groupBy("user_pseudo_id", "event_date").agg(
-        F.count(F.lit(1)).alias("purchases"),
-        money_sum("ecommerce.purchase_revenue").alias("revenue"),
-    )
+    daily = daily_purchases(events, start, end).withColumn("revenue", F.col("revenue").cast("double"))
     w = Window.partitionBy("user_pseudo_id").orderBy("event_date").rowsBetween(Window.unboundedPreceding, 0)
     return daily.withColumns({
         "cumulative_purchases": F.sum("purchases").over(w),

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from clickflow.functions.exprs import MICROS_PER_MINUTE, flag, minutes_between, safe_divide
 from clickflow.operators.distinct import DistinctBranch, distinct_counts, merge_on_keys
+from clickflow.operators.quantiles import exact_quantiles
 from clickflow.plans.materialize import materialize
 
 # ---------------------------------------------------------------------------
@@ -214,6 +215,29 @@ def funnel_pivot(events: DataFrame, sessions: DataFrame, start, end,
     return joined.select(*keys, *dims, *[c for c in pre.columns if c not in keys and c not in dims])
 
 
+def funnel_pivot_bucketed(events, sessions: DataFrame, start, end, steps=FUNNEL_STEPS, dims=DEFAULT_DIMS,
+                          counts: bool = False) -> DataFrame:
+    """``funnel_pivot`` over tables bucketed alike by ``session_id`` (``sources.bucketed``): no row is shuffled.
+
+    ``events`` is a ``BucketedTable``. Aggregation, distinct channels and the
+    join all run within a bucket, so the join is on the bare column; events
+    without a session match nothing and come from their own table.
+    """
+    dims, keys = list(dims), ["user_pseudo_id", "session_id"]
+    own = [d for d in dims if d != "channel"]
+
+    def pivot(rows):
+        return _event_columns(rows, start, end, steps, dims).groupBy(*keys, *own).agg(*_pivot_aggs(steps, counts))
+
+    with_session, without = pivot(events.rows), pivot(events.without_key)
+    if "channel" in dims:
+        channels = distinct_session_channels(sessions).where(F.col("session_id").isNotNull())
+        with_session = with_session.join(channels, "session_id", "left")
+        without = without.withColumn("channel", F.lit(None).cast(channels.schema["channel"].dataType))
+    out = [*keys, *dims, *[c for c in without.columns if c not in keys and c not in dims]]
+    return with_session.select(*out).unionByName(without.select(*out))
+
+
 def distinct_session_channels(sessions: DataFrame) -> DataFrame:
     """Distinct ``(session_id, channel)`` pairs of the sessions table.
 
@@ -234,6 +258,17 @@ def funnel_counts(pivot: DataFrame, dims=DEFAULT_DIMS, steps=FUNNEL_STEPS) -> Da
     ])
 
 
+def funnel_medians_exact(pivot: DataFrame, dims=DEFAULT_DIMS, gaps=MEDIAN_GAPS) -> DataFrame:
+    """U3 (medians), exact for groups of any size (:mod:`~clickflow.operators.quantiles`).
+
+    Ranks are selected among whole microseconds, which minutes follow in order.
+    """
+    found = exact_quantiles(pivot, list(dims), {
+        f"median_min_{name}": F.col(f"ts_{b}") - F.col(f"ts_{a}") for name, a, b in gaps})
+    return found.select(*dims, *[(F.col(f"median_min_{name}") / F.lit(MICROS_PER_MINUTE)).alias(f"median_min_{name}")
+                                 for name, _, _ in gaps])
+
+
 def funnel_medians(pivot: DataFrame, dims=DEFAULT_DIMS, gaps=MEDIAN_GAPS,
                    accuracy: int = PERCENTILE_ACCURACY) -> DataFrame:
     """U3 (medians): approximate median minutes between first step events.
@@ -265,18 +300,19 @@ def funnel_rates(counts: DataFrame) -> DataFrame:
 
 def funnel_by_segment(events: DataFrame, sessions: DataFrame, start, end,
                       dims=DEFAULT_DIMS, checkpoint: bool = True,
-                      session_dates: tuple | None = None) -> DataFrame:
+                      session_dates: tuple | None = None, exact_medians: bool = False) -> DataFrame:
     """The whole segmented funnel report, ordered by the segment columns.
 
     The session-grain pivot feeds two aggregations (distinct users and
     medians); ``checkpoint`` writes it once to the shared folder (see
-    ``plans.materialize``) so the events are scanned once.
+    ``plans.materialize``) so the events are scanned once. ``exact_medians``
+    selects medians by rank, exact for groups of any size.
     """
     dims = list(dims)
     pivot = materialize(funnel_pivot(events, sessions, start, end, FUNNEL_STEPS, dims,
                                      session_dates=session_dates), checkpoint)
     counts = funnel_counts(pivot, dims)
-    medians = funnel_medians(pivot, dims)
+    medians = funnel_medians_exact(pivot, dims) if exact_medians else funnel_medians(pivot, dims)
     report = funnel_rates(merge_on_keys([counts, medians], dims))
     ordered = dims + [f"users_{s}" for _, s in FUNNEL_STEPS] + [f"median_min_{g}" for g, _, _ in MEDIAN_GAPS] \
         + [n for n, _, _ in STEP_RATES] + [n for n, _ in OVERALL_RATES] + [n for n, _, _ in DROPOFFS]
@@ -285,13 +321,15 @@ def funnel_by_segment(events: DataFrame, sessions: DataFrame, start, end,
 
 def funnel_steps_long(events: DataFrame, sessions: DataFrame, start, end,
                       steps=NINE_STEPS, dims=("device_category",), checkpoint: bool = True,
-                      session_dates: tuple | None = None) -> DataFrame:
+                      session_dates: tuple | None = None, accuracy: int = PERCENTILE_ACCURACY,
+                      exact_medians: bool = False) -> DataFrame:
     """Long-format funnel, one row per (segment, step).
 
     Per step: distinct users and sessions, event count, step CR (vs the
     previous step), overall CR (vs the first step), drop-off, and median /
     mean minutes from the step's first event to the next step's first event
-    within the session.
+    within the session. Medians are ``percentile_approx`` with ``accuracy``,
+    or exact for groups of any size with ``exact_medians``.
     """
     dims = list(dims)
     pivot = materialize(funnel_pivot(events, sessions, start, end, steps, dims, counts=True,
@@ -309,10 +347,14 @@ def funnel_steps_long(events: DataFrame, sessions: DataFrame, start, end,
         # Mean of whole microseconds, then to minutes: exact integer sums
         # (below 2**53) make the result independent of combine order.
         gap_us = F.col(f"ts_{b}") - F.col(f"ts_{a}")
-        gap_aggs += [F.percentile_approx(gap, 0.5, PERCENTILE_ACCURACY).alias(f"median_{a}"),
-                     (F.avg(gap_us) / F.lit(MICROS_PER_MINUTE)).alias(f"avg_{a}")]
-    times = pivot.groupBy(*dims).agg(*gap_aggs)
-    wide = merge_on_keys([counts, times], dims)
+        if not exact_medians:
+            gap_aggs.append(F.percentile_approx(gap, 0.5, accuracy).alias(f"median_{a}"))
+        gap_aggs.append((F.avg(gap_us) / F.lit(MICROS_PER_MINUTE)).alias(f"avg_{a}"))
+    times = [pivot.groupBy(*dims).agg(*gap_aggs)]
+    if exact_medians:
+        selected = exact_quantiles(pivot, dims, {a: F.col(f"ts_{b}") - F.col(f"ts_{a}") for a, b in zip(sfx, sfx[1:])})
+        times.append(selected.select(*dims, *[(F.col(a) / F.lit(MICROS_PER_MINUTE)).alias(f"median_{a}") for a in sfx[:-1]]))
+    wide = merge_on_keys([counts, *times], dims)
     # Unpivot the (tiny) per-segment row to one row per step.
     per_step = F.array(*[
         F.struct(

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from clickflow.functions.exprs import array_lookup, regex_extract, regex_extract_int
 from clickflow.operators.funnel import in_date_range
+from clickflow.plans.materialize import materialize
 
 # ---------------------------------------------------------------------------
 # Output column, regex (capture group 1) and type for each
@@ -92,16 +93,17 @@ def _param_path(n: int, source: str) -> tuple[str, str]:
     raise ValueError(f"unknown source {source!r}: use 'custom' or 'raw'")
 
 
-def param_source(n: int, source: str = "custom") -> Column:
+def param_source(n: int, source: str = "custom", on_duplicate: str = "first") -> Column:
     """The raw string of parameter ``n`` on an exploded item ``i``.
 
     ``custom``: the configured struct field ``item_params_custom.item_parameter_N``.
-    ``raw``: lookup in the item's key/value array ``item_params`` (no subquery).
+    ``raw``: lookup in the item's key/value array ``item_params`` (no subquery);
+    ``on_duplicate="raise"`` fails on an item that has the key twice.
     """
     name, _ = _param_path(n, source)
     if source == "custom":
         return F.col(f"i.{name}")
-    return array_lookup(F.col(f"i.{name}"), param_key(n))
+    return array_lookup(F.col(f"i.{name}"), param_key(n), on_duplicate=on_duplicate)
 
 
 def parsed_columns(raw: Column, n: int, mode: str = "reference") -> list[Column]:
@@ -140,7 +142,7 @@ def _item_fields(params, source: str, with_names: bool) -> dict[str, str]:
 
 
 def parse_param(events: DataFrame, n: int, start, end, source: str = "custom",
-                mode: str = "reference") -> DataFrame:
+                mode: str = "reference", on_duplicate: str = "first") -> DataFrame:
     """U6..U12: parse one parameter, with the event keys, ``item_id`` and ``raw_param_N``."""
     if n not in PARAM_SPECS:
         raise ValueError(f"no parser for item_parameter_{n}; known: {sorted(PARAM_SPECS)}")
@@ -148,18 +150,18 @@ def parse_param(events: DataFrame, n: int, start, end, source: str = "custom",
     raw = F.col(f"raw_param_{n}")
     extra = [F.col(f"i.{f}").alias(f) for f in PRICE_ITEM_FIELDS] if n == 1 else []
     base = items.select(*EVENT_FIELDS, F.col("i.item_id").alias("item_id"), *extra,
-                        param_source(n, source).alias(f"raw_param_{n}"))
+                        param_source(n, source, on_duplicate).alias(f"raw_param_{n}"))
     return base.select(*base.columns, *parsed_columns(raw, n, mode))
 
 
 def parse_items(events: DataFrame, start, end, params=tuple(PARAM_SPECS), source: str = "custom",
-                mode: str = "reference") -> DataFrame:
+                mode: str = "reference", on_duplicate: str = "first") -> DataFrame:
     """All requested parameters from a single explode (one pass over the items)."""
     items = exploded_items(events, start, end, _item_fields(params, source, with_names=True))
     base = items.select(
         *EVENT_FIELDS, F.col("i.item_id").alias("item_id"),
         *[F.col(f"i.{f}").alias(f) for f in PRICE_ITEM_FIELDS],
-        *[param_source(n, source).alias(f"raw_param_{n}") for n in params],
+        *[param_source(n, source, on_duplicate).alias(f"raw_param_{n}") for n in params],
     )
     parsed = []
     for n in params:
@@ -169,24 +171,72 @@ def parse_items(events: DataFrame, start, end, params=tuple(PARAM_SPECS), source
 
 # The field of a parameter's ``value`` struct that holds each type.
 VALUE_FIELDS = {"string": "string_value", "int": "int_value", "double": "double_value"}
+CAST_TYPES = {"string": "string", "int": "bigint", "double": "double"}
 
 
-def promoted_struct(array: Column | str, config) -> Column:
+def promoted_struct(array: Column | str, config, on_duplicate: str = "first") -> Column:
     """The configured parameters of a key/value array as a typed struct.
 
     ``config`` lists names (strings) or ``(name, type)`` pairs with type
     ``string``, ``int`` or ``double``; each type is read from its own field of
-    ``value``. An absent key, or one whose value has another type, is null.
+    ``value``. An absent key, or one whose value has another type, is null. A
+    third part of a pair lists several types to read, cast to the first one
+    named; :func:`param_config` gives such entries for parameters of mixed type.
     """
     fields = []
     for entry in config:
-        name, typ = (entry, "string") if isinstance(entry, str) else entry
-        if typ not in VALUE_FIELDS:
-            raise ValueError(f"unknown parameter type {typ!r}; known: {sorted(VALUE_FIELDS)}")
-        fields += [F.lit(name), array_lookup(array, name, value_path=("value", VALUE_FIELDS[typ]))]
+        name, typ, *more = (entry, "string") if isinstance(entry, str) else entry
+        seen = more[0] if more else [typ]
+        for t in (typ, *seen):
+            if t not in VALUE_FIELDS:
+                raise ValueError(f"unknown parameter type {t!r}; known: {sorted(VALUE_FIELDS)}")
+        if seen == [typ]:
+            value = array_lookup(array, name, value_path=("value", VALUE_FIELDS[typ]), on_duplicate=on_duplicate)
+        else:
+            whole = array_lookup(array, name, value_path=("value",), on_duplicate=on_duplicate)
+            value = F.coalesce(*[whole[VALUE_FIELDS[t]].cast(CAST_TYPES[typ]) for t in seen])
+        fields += [F.lit(name), value]
     return F.named_struct(*fields)
 
 
+def param_types(df: DataFrame, array_col: str) -> DataFrame:
+    """What the key/value arrays of a table hold: one row per key.
+
+    ``n`` is how many entries the key has, ``strings``, ``ints`` and
+    ``doubles`` how many have a value of that type, ``type`` the type that
+    holds all of them (``int`` and ``double`` meet as ``double``, anything and
+    ``string`` as ``string``; null if no entry has a value), and ``conflict``
+    whether more than one type was seen. Entries without a key are left out.
+    One partial aggregation over the exploded keys.
+    """
+    entry = df.select(F.explode(array_col).alias("e")).where(F.col("e.key").isNotNull())
+    counted = entry.groupBy(F.col("e.key").alias("key")).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count(F.col(f"e.value.{field}")).alias(f"{t}s") for t, field in VALUE_FIELDS.items()])
+    held = (F.when(F.col("strings") > 0, F.lit("string")).when(F.col("doubles") > 0, F.lit("double"))
+            .when(F.col("ints") > 0, F.lit("int")))
+    kinds = sum((F.col(f"{t}s") > 0).cast("int") for t in VALUE_FIELDS)
+    return counted.withColumns({"type": held, "conflict": kinds > 1})
+
+
+def param_config(types: DataFrame, max_keys: int = 1000) -> list[tuple]:
+    """A configuration for :func:`promoted_struct` of all keys of :func:`param_types`, in order of their names.
+
+    Keys without any value come as strings. More than ``max_keys`` keys make
+    no struct but an error (keys made from data, such as ids), and so do keys
+    that differ in case only.
+    """
+    rows = types.orderBy("key").limit(max_keys + 1).collect()
+    if len(rows) > max_keys:
+        raise ValueError(f"more than {max_keys} parameter keys; promote a chosen list instead")
+    folded: dict[str, str] = {}
+    for r in rows:
+        if folded.setdefault(r["key"].lower(), r["key"]) != r["key"]:
+            raise ValueError(f"parameter keys differ in case only: {folded[r['key'].lower()]!r}, {r['key']!r}")
+    order = ("string", "double", "int")
+    return [(r["key"], r["type"] or "string", [t for t in order if r[f"{t}s"]] or ["string"]) for r in rows]
+
+
 def promote_params(df: DataFrame, config, array_col: str = "item_params",
                    struct_name: str = "item_params_custom") -> DataFrame:
     """Turn a key/value array column into a typed struct of the configured parameters.
@@ -196,6 +246,29 @@ def promote_params(df: DataFrame, config, array_col: str = "item_params",
     return df.withColumn(struct_name, promoted_struct(array_col, config))
 
 
+def all_param_types(events: DataFrame, start, end) -> DataFrame:
+    """:func:`param_types` of the events' and the items' arrays (``level`` is ``event`` or ``item``)."""
+    ev = in_date_range(events, start, end)
+    items = ev.select(F.explode(F.col("items.item_params")).alias("item_params"))
+    return param_types(ev, "event_params_raw").select(F.lit("event").alias("level"), "*").unionByName(
+        param_types(items, "item_params").select(F.lit("item").alias("level"), "*"))
+
+
+def inferred_params(events: DataFrame, start, end, max_keys: int = 1000) -> DataFrame:
+    """X5 without a configuration: one row per (event, item), every parameter seen as a typed column.
+
+    Types come from the data (:func:`param_types`, whose ``conflict`` column reports
+    mixed ones); event and item parameters of one name are an error.
+    """
+    types = materialize(all_param_types(events, start, end))
+    event_config, item_config = (param_config(types.where(F.col("level") == level), max_keys) for level in ("event", "item"))
+    both = {e[0].lower() for e in event_config} & ({i[0].lower() for i in item_config} | {"event_id", "event_date", "item_id"})
+    both |= {i[0].lower() for i in item_config} & {"event_id", "event_date", "item_id"}
+    if both:
+        raise ValueError(f"parameters that would share a column: {sorted(both)}")
+    return promoted_params(events, event_config, item_config, start, end)
+
+
 def promoted_params(events: DataFrame, event_config, item_config, start, end) -> DataFrame:
     """X5 over events and their items: one row per (event, item), configured parameters as columns.
 

@@ -36,3 +36,18 @@ def write_crm_csv(crm: DataFrame, path: str) -> str:
     """Write an export as CSV (header row); one row per day, so one file."""
     crm.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path
+
+
+def write_untidy_crm_csv(crm: DataFrame, path: str) -> str:
+    """An export as text with dates as ``15.01.2024`` and, for each day, a further row whose
+    revenue has an unquoted decimal comma (one field too many)."""
+    day = F.date_format(F.to_date(F.col(" Date ")), "dd.MM.yyyy")
+    row = F.concat_ws(",", day, F.concat(F.lit('"'), F.lit('called ""late"", day'), F.lit('"')),
+                      F.coalesce("Orders", F.lit("")), F.coalesce("Revenue", F.lit("")))
+    wrong = F.concat_ws(",", day, F.lit("corrected"), F.coalesce("Orders", F.lit("")), F.lit("1"), F.lit("50"))
+    lines = crm.select(day.alias("day"), F.explode(F.array(row, wrong)).alias("line"))
+    header = crm.sparkSession.range(1).select(F.lit(0).alias("at"), F.lit(" Date ,Note,Orders,Revenue").alias("line"))
+    # one line per day twice and the header before them: a bounded file
+    (header.unionByName(lines.select(F.lit(1).alias("at"), "line")).coalesce(1).sortWithinPartitions("at", "line").select("line")
+     .write.mode("overwrite").text(path))
+    return path

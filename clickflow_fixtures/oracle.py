@@ -199,6 +199,16 @@ FUNNEL_MEDIANS = with_adapter(_funnel_ctes() + "," + _funnel_aggregated() + """
 select device_category, user_type, channel,
   """ + ", ".join(f"median_min_{g}" for g, _, _ in GAPS) + " from agg")
 
+# distinct users of a day, and of the seven days up to it, by segment of the day's window
+ACTIVE_USERS = with_adapter(_funnel_ctes() + """,
+seen as (select distinct event_date, device_category, user_pseudo_id from tagged),
+handed as (
+  select cast(event_date + to_days(cast(l.later as integer)) as date) as event_date, device_category, user_pseudo_id, l.later
+  from seen, (select unnest(range(7)) as later) l)
+select event_date, device_category, count(distinct user_pseudo_id) filter (where later = 0) as users,
+       count(distinct user_pseudo_id) as users_7d
+from handed where """ + RANGE + """ group by event_date, device_category""")
+
 FUNNEL_RATES = with_adapter(_funnel_ctes() + "," + _funnel_aggregated() + """
 select device_category, user_type, channel,
   """ + ", ".join(f"users_{s}" for _, s in STEPS) + f""",
@@ -549,6 +559,30 @@ select user_pseudo_id, event_date, purchases, cast(rev as double) as revenue,
     as double) as cumulative_revenue
 from d""")
 
+PARAM_TYPES = with_adapter(f"""
+event_keys as (
+  select unnest([('engagement_time_msec', 'int'), ('page_type', 'string'), ('scroll_share', 'double')]) as k
+  from ev where {RANGE}),
+item_keys as (
+  select unnest([{", ".join(f"('item_parameter_{n}', if(p{n} is null, null, 'string'))" for n in PARAMS)}, ('position', 'int')]) as k
+  from it where {RANGE}),
+entries as (
+  select 'event' as level, k[1] as key, k[2] as type from event_keys
+  union all select 'item', k[1], k[2] from item_keys where k[2] is not null)
+select level, key, count(*) as n, count(*) filter (where type = 'string') as strings, count(*) filter (where type = 'int') as ints,
+  count(*) filter (where type = 'double') as doubles, min(type) as type, min(type) <> max(type) as conflict
+from entries group by level, key""")
+INFERRED_PARAMS = with_adapter(f"""
+x3 as (select 1)
+select event_id, event_date, event_id * 7 % 5000 as engagement_time_msec, 'type ' || cast(event_id % 4 as varchar) as page_type,
+  (event_id % 8) / 8.0::double as scroll_share, item_id, {", ".join(f"p{n} as item_parameter_{n}" for n in PARAMS)},
+  cast(k % 2 + 1 as bigint) as position
+from it where {RANGE}""")
+CRM_MALFORMED = with_adapter(_RECON_CTES + """
+select strftime(date, '%d.%m.%Y') || ',corrected,' || if(day(date) = 13, 'NaN', cast(n as varchar)) || ',1,50' as record,
+  5 as fields
+from shop_days""")
+
 SESSION_METRICS = with_adapter(f"""
 x2 as (select 1)
 select event_date, device_category, count(distinct user_pseudo_id) as users,
@@ -560,6 +594,15 @@ ORACLE_SQL = {
     "funnel_by_segment": FUNNEL_BY_SEGMENT,
     "funnel_counts": FUNNEL_COUNTS,
     "funnel_medians": FUNNEL_MEDIANS,
+    "funnel_by_segment_exact": FUNNEL_BY_SEGMENT,
+    "funnel_medians_exact": FUNNEL_MEDIANS,
+    "funnel_long_exact": FUNNEL_LONG,
+    "funnel_session_pivot_bucketed": FUNNEL_SESSION_PIVOT,
+    "ab_events_bucketed": with_adapter(_ab_ctes() + """
+select event_name, event_date, session_id, user_pseudo_id, device_category, purchase_revenue,
+       transaction_id, test_group from member_events"""),
+    "funnel_counts_rollup": FUNNEL_COUNTS,
+    "active_users_rolling": ACTIVE_USERS,
     "funnel_rates": FUNNEL_RATES,
     "funnel_base_events": FUNNEL_BASE_EVENTS,
     "funnel_session_pivot": FUNNEL_SESSION_PIVOT,
@@ -579,6 +622,7 @@ ORACLE_SQL = {
     "parse_prices_view_item": _parse_view_item(),
     "parse_items_all": _parse_all(),
     "parse_items_raw": _parse_all(),
+    "parse_items_checked": _parse_all(),
     "ab_cohort": AB_COHORT,
     "ab_isolated": AB_ISOLATED,
     "ab_isolated_antijoin": AB_ISOLATED,
@@ -597,6 +641,8 @@ select event_name, event_date, session_id, user_pseudo_id, device_category, purc
     "ga4_daily_incremental": GA4_DAILY,
     "crm_daily": CRM_DAILY,
     "crm_daily_csv": CRM_DAILY,
+    "crm_daily_inferred": CRM_DAILY,
+    "crm_malformed_rows": CRM_MALFORMED,
     "reconcile": RECONCILE,
     "reconcile_summary": RECONCILE_SUMMARY,
     "reconcile_flagged_days": RECONCILE_FLAGGED,
@@ -609,5 +655,8 @@ select event_name, event_date, session_id, user_pseudo_id, device_category, purc
     "ab_cohort_items": AB_COHORT_ITEMS,
     "transaction_totals": TRANSACTION_TOTALS,
     "running_totals": RUNNING_TOTALS,
+    "running_totals_carried": RUNNING_TOTALS,
+    "param_types": PARAM_TYPES,
+    "inferred_params": INFERRED_PARAMS,
     "session_metrics": SESSION_METRICS,
 }

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as se
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["events", "pages", "orders", "lineitem", "customer", "nation", "region", "documents", "benchmark"]
+TABLES = ["events", "pages", "orders", "lineitem", "customer", "nation", "region", "documents", "benchmark", "embeddings"]
 
 
 @pytest.fixture(scope="module")
