@@ -31,6 +31,24 @@ def keep(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables from :func:`keep` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            if "/clickflow-materialized/" in folder:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def id_type(df: DataFrame, col: str) -> T.DataType:
     return df.schema[col].dataType
 

@@ -12,7 +12,12 @@ at fixed places for it. Two lines within these edits share a segment: the
 shorter line's segment equals a substring of the longer one whose start can
 differ only by the edits on either side. So every line is indexed by (length, segment number,
 segment) and probes, for each length it may be close to, the few substrings
-that can match. Equal lines are one class before that.
+that can match. Keys and probes are hashes of substrings, all taken from running
+hashes of many lines at once, and dealt by key in one shuffle of number pairs. Every
+task reads its keys in order, indexed lines first, and lets go at once of those
+that only one line has or that none is indexed by, which is nearly all. A line is
+named in the pairs by 48 bits of its own hash; what is left is joined to
+the numbered distinct lines, so two lines of one name are both looked at.
 
 Lines that meet under a key are compared with one hub line of the key first.
 Pairs whose lines are then in one component need no check; of the others,
@@ -34,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickflow.llm.common import id_type, keep, utf8
+from clickflow.llm.common import free_name, id_type, keep, release, slices, utf8
 from clickflow.llm.components import component_labels
 
 #: Permitted edits from a line length on.
@@ -68,27 +73,74 @@ def segment_places(length: int, parts: int) -> list[tuple[int, int]]:
     return out
 
 
-def line_keys(line: str, max_edits: Edits) -> tuple[list[int], list[int]]:
-    """Keys under which the line is indexed, and further keys that it probes."""
-    import xxhash
+#: Bits of a key, and of a line's name in the pairs.
+KEY_BITS = NAME_BITS = 48
+_ODD, _ODD_INVERSE = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
+
 
-    n, most = len(line), most_edits(max_edits)
+def _mixed(z):
+    import numpy as np
 
-    def key(length, i, start, size):
-        return xxhash.xxh3_64_intdigest(line[start:start + size], seed=length * (most + 1) + i) - (1 << 63)
+    z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (z ^ (z >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+
+
+class Keys:
+    """Keys and probes of lines: where they start, how long they are and what tells them apart, by line length."""
+
+    def __init__(self, max_edits: Edits):
+        self.max_edits = max_edits
+        self.places: dict[int, tuple] = {}
+        self.powers = self.inverses = None
+
+    def places_of(self, n: int) -> tuple:
+        """Starts, sizes, seeds and whether probing, for a line of ``n`` characters."""
+        import numpy as np
+
+        if n not in self.places:
+            most, found = most_edits(self.max_edits), {}
+            for i, (start, size) in enumerate(segment_places(n, edits_at(n, self.max_edits) + 1)):
+                found[n, i, start, size] = 0
+            for length in range(max(n - most, 1), n + 1):
+                more, edits = n - length, edits_at(length, self.max_edits)
+                if more > edits:
+                    continue
+                for i, (start, size) in enumerate(segment_places(length, edits + 1)):
+                    left, right = i, edits - i  # edits that can lie on either side
+                    low = max(start - left, start + more - right, 0)
+                    high = min(start + left, start + more + right, n - size)
+                    for at in range(low, high + 1):
+                        found.setdefault((length, i, at, size), 1)
+            rows = np.array([(at, size, length * (most + 1) + i, probing) for (length, i, at, size), probing in found.items()])
+            self.places[n] = tuple(rows.T)
+        return self.places[n]
+
+    def of(self, lines: list[str]):
+        """Per line its number of keys; all keys in turn (of ``KEY_BITS``), and which of them are probes."""
+        import numpy as np
+
+        lengths = np.array([len(x) for x in lines])
+        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        if self.powers is None or len(self.powers) <= len(codes):
+            bases = np.full((2, max(len(codes) + 1, 1 << 16)), 1, np.uint64)
+            bases[0, 1:], bases[1, 1:] = _ODD, _ODD_INVERSE
+            self.powers, self.inverses = np.cumprod(bases, axis=1, dtype=np.uint64)
+        # running hashes: a substring's is a difference, moved to the origin
+        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(codes + np.uint64(1)) * self.powers[:len(codes)])])
+        places = [self.places_of(n) for n in lengths.tolist()]
+        each = np.array([len(p[0]) for p in places])
+        begins = np.repeat(np.cumsum(lengths) - lengths, each)
+        start, size, seed, probing = (np.concatenate([p[k] for p in places]) for k in range(4))
+        start = start + begins
+        own = (running[start + size] - running[start]) * self.inverses[start]
+        return each, _mixed(own + seed.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - KEY_BITS), probing == 1
 
-    own = [key(n, i, start, size) for i, (start, size) in enumerate(segment_places(n, edits_at(n, max_edits) + 1))]
-    probes = set()
-    for length in range(max(n - most, 1), n + 1):
-        more, edits = n - length, edits_at(length, max_edits)
-        if more > edits:
-            continue
-        for i, (start, size) in enumerate(segment_places(length, edits + 1)):
-            left, right = i, edits - i  # edits that can lie on either side
-            low = max(start - left, start + more - right, 0)
-            high = min(start + left, start + more + right, n - size)
-            probes.update(key(length, i, at, size) for at in range(low, high + 1))
-    return own, sorted(probes.difference(own))
+
+def line_keys(line: str, max_edits: Edits) -> tuple[list[int], list[int]]:
+    """Keys under which the line is indexed, and further keys that it probes."""
+    _, keys, probing = Keys(max_edits).of([line])
+    own = set(keys[~probing].tolist())
+    return sorted(own), sorted(set(keys[probing].tolist()) - own)
 
 
 def pair_parities(line: str) -> int:
@@ -165,47 +217,126 @@ def has_word(line: bytes) -> bool:
     return bool(line.split())
 
 
-def _line_rows(max_edits: Edits, least_chars: int, schema):
+def _line_rows(schema):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            texts = utf8(batch.column(1))
-            ids, tags = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for at in range(0, len(texts), 512):
-                out: dict[str, list] = {c: [] for c in schema.names}
-                for doc_id, text, tag in zip(ids[at:at + 512], texts[at:at + 512], tags[at:at + 512]):
-                    found = [(k, x) for k, x in enumerate(text.split(b"\n")) if has_word(x)] if text else []
-                    for k, raw in found or [(None, None)]:
-                        line = raw.decode("utf-8", "replace") if raw else ""
-                        close = len(line) >= least_chars
-                        own, probes = line_keys(line, max_edits) if close else ([], [])
-                        for c, v in zip(schema.names, (row, doc_id, tag, k, xxhash.xxh3_128_digest(raw) if raw else None,
-                                                       own, probes, pair_parities(line) if close else 0, len(line))):
-                            out[c].append(v)
-                    row += 1
-                yield pa.RecordBatch.from_pydict(out, schema=schema)
+        for batch in slices(batches):
+            out: dict[str, list] = {c: [] for c in schema.names}
+            for doc_id, text, tag in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
+                found = [(k, x) for k, x in enumerate(text.split(b"\n")) if has_word(x)] if text else []
+                for k, raw in found or [(None, None)]:
+                    for c, v in zip(schema.names, (row, doc_id, tag, k, xxhash.xxh3_128_digest(raw) if raw else None)):
+                        out[c].append(v)
+                row += 1
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
+    return run
+
+
+#: Lines whose keys are made at a time, and line names that a task remembers to pass over repeats.
+LINES_AT_ONCE = 2048
+REMEMBERED = 1 << 20
+
+
+def _entries(max_edits: Edits, least_chars: int):
+    """``key`` and ``entry`` (line name; above it, whether it probes) of the lines of texts."""
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        keys, seen, names, lines = Keys(max_edits), set(), [], []
+
+        def made():
+            each, key, probing = keys.of(lines)
+            entry = np.repeat(np.array(names, np.int64), each) | (probing.astype(np.int64) << NAME_BITS)
+            names.clear()
+            lines.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(entry)], names=["key", "entry"])
+
+        for batch in slices(batches):
+            for text in utf8(batch.column(0)):
+                for raw in text.split(b"\n") if text else ():
+                    if len(raw) < least_chars or not has_word(raw):  # as many bytes as characters, or more
+                        continue
+                    name = line_name(xxhash.xxh3_128_digest(raw))
+                    if name in seen:
+                        continue
+                    seen.add(name)
+                    line = raw.decode("utf-8", "replace")
+                    if len(line) >= least_chars:
+                        names.append(name)
+                        lines.append(line)
+                        if len(lines) == LINES_AT_ONCE or len(line) > 100_000:
+                            yield made()
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+        if lines:
+            yield made()
     return run
 
 
+def line_name(digest: bytes) -> int:
+    return int.from_bytes(digest[:NAME_BITS // 8], "big")
+
+
+def _shared_keys(batches: Iterator) -> Iterator:
+    """Of rows in order of key and entry, those whose key has two lines or more, one of them indexed.
+
+    Indexed entries come first, so a key's first row tells whether it has one.
+    Only a key's single row so far is held back from batch to batch.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    last_key, keep_last, held = None, False, None
+    for batch in batches:
+        key, entry = (batch.column(i).to_numpy() for i in range(2))
+        if not len(key):
+            continue
+        carried = held is not None
+        if carried:
+            key, entry = np.append(last_key, key), np.append(held, entry)
+        fresh = np.append(True, (key[1:] != key[:-1]) | (entry[1:] != entry[:-1]))
+        key, entry = key[fresh], entry[fresh]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(np.append(starts, len(key)))
+        indexed = entry[starts] < (1 << NAME_BITS)
+        kept = indexed & (sizes > 1)
+        if not carried and last_key is not None and key[0] == last_key:
+            kept[0] = keep_last
+            indexed[0] = keep_last
+            sizes[0] += 1  # its first row is gone already
+        last_key = key[-1]
+        # a single indexed row may still find company
+        held = entry[-1] if indexed[-1] and sizes[-1] == 1 else None
+        keep_last = bool(kept[-1])
+        some = np.repeat(kept, np.diff(np.append(starts, len(key))))
+        yield pa.RecordBatch.from_arrays([pa.array(key[some], pa.int64()), pa.array(entry[some], pa.int64())], names=["key", "entry"])
+
+
 def _texts_of(batches: Iterator) -> Iterator:
     import pyarrow as pa
     import xxhash
 
     for batch in batches:
-        nodes, lines = [], []
+        nodes, lines, parities, chars = [], [], [], []
         for text, wanted in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
             parts = text.split(b"\n")
             for w in wanted:
                 raw = parts[w["place"]] if w["place"] < len(parts) else None
                 if raw is not None and xxhash.xxh3_128_digest(raw) == w["line"]:
+                    line = raw.decode("utf-8", "replace")
                     nodes.append(w["node"])
                     lines.append(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines, pa.binary()).cast(pa.string())],
-                                         names=["node", "text"])
+                    parities.append(pair_parities(line))
+                    chars.append(len(line))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines, pa.binary()).cast(pa.string()),
+                                          pa.array(parities, pa.int64()), pa.array(chars, pa.int64())],
+                                         names=["node", "text", "parities", "chars"])
 
 
 def _verifier(max_edits: Edits):
@@ -236,17 +367,12 @@ def line_classes(docs: DataFrame, max_edits: Edits = MAX_EDITS, least_chars: int
 
     schema = T.StructType([
         T.StructField("row", T.LongType()), T.StructField("id", id_type(docs, id_col)), T.StructField("tag", T.LongType()),
-        T.StructField("place", T.IntegerType()), T.StructField("line", T.BinaryType()),
-        T.StructField("own", T.ArrayType(T.LongType())), T.StructField("probes", T.ArrayType(T.LongType())),
-        T.StructField("parities", T.LongType()), T.StructField("chars", T.LongType())])
+        T.StructField("place", T.IntegerType()), T.StructField("line", T.BinaryType())])
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("tag", F.xxhash64("text"))
-    lines = keep(texts.mapInArrow(_line_rows(max_edits, least_chars, to_arrow_schema(schema)), schema))
-    first = F.min(F.struct("id", "tag", "place", "row")).alias("first")
-    distinct = keep(lines.where("line is not null").groupBy("line").agg(
-        first, F.any_value("own").alias("own"), F.any_value("probes").alias("probes"), F.any_value("parities").alias("parities"),
-        F.any_value("chars").alias("chars"))
-        .withColumn("node", F.monotonically_increasing_id()))
-    links = _links(texts, distinct, max_edits)
+    lines = keep(texts.mapInArrow(_line_rows(to_arrow_schema(schema)), schema))
+    distinct = keep(lines.where("line is not null").groupBy("line").agg(F.min(F.struct("id", "tag", "place", "row")).alias("first"))
+                    .withColumn("node", F.monotonically_increasing_id()))
+    links = _links(texts, distinct, max_edits, least_chars)
     labels = component_labels(links)
     classed = distinct.select("line", "first", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     starts = classed.where("label != node").select("label").distinct().join(classed.select("label", "first"), "label") \
@@ -255,30 +381,30 @@ def line_classes(docs: DataFrame, max_edits: Edits = MAX_EDITS, least_chars: int
     return lines.select("row", "id", "tag", "place", "line"), keep(classes)
 
 
-def _links(texts: DataFrame, distinct: DataFrame, max_edits: Edits) -> DataFrame:
+def _links(texts: DataFrame, distinct: DataFrame, max_edits: Edits, least_chars: int) -> DataFrame:
     """Verified links (a, b) that connect all lines of a class."""
-    # one bit tells indexed from probing; a line never probes a key that it is indexed by
-    entries = distinct.select(F.explode(F.concat(
-        F.transform("own", lambda k: F.struct(k.alias("key"), F.lit(1).alias("indexed"))),
-        F.transform("probes", lambda k: F.struct(k.alias("key"), F.lit(0).alias("indexed"))))).alias("e"), "node") \
-        .select("e.key", (F.col("node") * 2 + F.col("e.indexed")).alias("entry"))
-    is_index = F.col("entry").bitwiseAND(F.lit(1))
-    shared = keep(entries.join(
-        entries.groupBy("key").agg(F.min("entry").alias("least"), F.max(F.when(is_index == 1, F.col("entry"))).alias("hub"),
-                                   F.max("entry").alias("most"))
-        .where("least != most and hub is not null").select("key", "hub"), "key")
-        .select("key", is_index.alias("indexed"), F.shiftright("entry", 1).alias("node"), F.shiftright("hub", 1).alias("hub")))
-
-    wanted = shared.select("node").distinct().join(distinct.select("node", "first", "line", "parities", "chars"), "node")
+    entries = texts.select("text").mapInArrow(_entries(max_edits, least_chars), "key long, entry long")
+    met = keep(entries.repartition("key").sortWithinPartitions("key", "entry").mapInArrow(_shared_keys, "key long, entry long"))
+    name = F.conv(F.hex(F.substring("line", 1, NAME_BITS // 8)), 16, 10).cast("long")
+    named = distinct.select(name.alias("name"), "node")
+    shared = keep(met.select("key", (F.col("entry") < (1 << NAME_BITS)).cast("int").alias("indexed"),
+                             F.col("entry").bitwiseAND(F.lit((1 << NAME_BITS) - 1)).alias("name"))
+                  .join(named, "name").select("key", "indexed", "node"))
+    release(met)
+    hubs = shared.where("indexed = 1").groupBy("key").agg(F.min("node").alias("hub"))
+    shared = shared.join(hubs, "key")
+
+    wanted = shared.select("node").distinct().join(distinct.select("node", "first", "line"), "node")
     per_text = wanted.groupBy(F.col("first.id").alias("_id"), F.col("first.tag").alias("_tag")).agg(
         F.collect_list(F.struct("node", F.col("first.place").alias("place"), "line")).alias("wanted"))
     found = keep(texts.join(per_text, texts["id"].eqNullSafe(F.col("_id")) & (texts["tag"] == F.col("_tag")))
-                 .select("text", "wanted").mapInArrow(_texts_of, "node long, text string")
-                 .groupBy("node").agg(F.any_value("text").alias("text")))
+                 .select("text", "wanted").mapInArrow(_texts_of, "node long, text string, parities long, chars long")
+                 .groupBy("node").agg(F.any_value("text").alias("text"), F.any_value("parities").alias("parities"),
+                                      F.any_value("chars").alias("chars")))
     edits = F.lit(most_edits(max_edits))
     if not isinstance(max_edits, int):
         edits = F.greatest(F.lit(0), *(F.when(F.col("chars") >= least, e) for least, e in max_edits))
-    parities = keep(wanted.select("node", "parities", edits.alias("edits")))
+    parities = keep(found.select("node", "parities", edits.alias("edits")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -324,19 +450,19 @@ def without_repeated_lines(docs: DataFrame, max_edits: Edits = MAX_EDITS, least_
     """
     from pyspark.sql import Window
 
-    found = keep(repeated_lines(docs, max_edits, least_chars, id_col, text_col).where("n_removed > 0")
-                 .select(F.col(id_col).alias("_id"), F.col("tag").alias("_tag"), "removed"))
-    turn = Window.partitionBy("_id", "_tag").orderBy(F.size("removed"))
-    found = found.withColumn("_turn", F.row_number().over(turn))
+    tag, removed, turn, number, few, rest, gone = (
+        free_name(docs, x) for x in ("tag", "removed", "turn", "number", "few", "rest", "gone"))
+    found = keep(repeated_lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), max_edits, least_chars, "id", "text")
+                 .where("n_removed > 0").select(F.col("id").alias("own_id"), F.col("tag").alias("own_tag"), "removed"))
     # equal rows beyond the first lose every line, so all but one have the longest list
-    lists = found.groupBy("_id", "_tag").agg(F.max_by("removed", "_turn").alias("_all"), F.min_by("removed", "_turn").alias("_few"),
-                                             F.max("_turn").alias("_n"))
-    own = docs.withColumn("_key", F.xxhash64(F.col(text_col)))
-    joined = own.join(keep(lists), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_tag")), "left")
-    number = F.row_number().over(Window.partitionBy(id_col, "_key").orderBy("_key"))
-    gone = F.when(number == 1, F.col("_few")).otherwise(F.col("_all"))
-    joined = joined.withColumn("_gone", F.coalesce(gone, F.array().cast("array<int>")))
+    lists = keep(found.groupBy("own_id", "own_tag").agg(F.max_by("removed", F.size("removed")).alias(rest),
+                                                        F.min_by("removed", F.size("removed")).alias(few), F.count(F.lit(1)).alias(turn)))
+    own = docs.withColumn(tag, F.xxhash64(F.col(text_col)))
+    joined = own.join(lists.withColumnsRenamed({"own_id": removed, "own_tag": number}),
+                      F.col(id_col).eqNullSafe(F.col(removed)) & (F.col(tag) == F.col(number)), "left").drop(removed, number)
+    joined = joined.withColumn(number, F.row_number().over(Window.partitionBy(id_col, tag).orderBy(tag)))
+    joined = joined.withColumn(gone, F.coalesce(F.when(F.col(number) == 1, F.col(few)).otherwise(F.col(rest)), F.array().cast("array<int>")))
     parts = F.split(F.col(text_col), "\n", -1)
-    left = F.filter(F.transform(parts, lambda x, i: F.when(~F.array_contains(F.col("_gone"), i), x)), lambda x: x.isNotNull())
-    return joined.withColumn(text_col, F.when(F.col(text_col).isNull() | (F.size("_gone") == 0), F.col(text_col))
+    left = F.filter(F.transform(parts, lambda x, i: F.when(~F.array_contains(F.col(gone), i), x)), lambda x: x.isNotNull())
+    return joined.withColumn(text_col, F.when(F.col(text_col).isNull() | (F.size(gone) == 0), F.col(text_col))
                              .otherwise(F.array_join(left, "\n"))).select(*docs.columns)
