@@ -19,8 +19,8 @@ that only one line has or that none is indexed by, which is nearly all. A line i
 named in the pairs by 48 bits of its own hash; what is left is joined to
 the numbered distinct lines, so two lines of one name are both looked at.
 
-Lines that meet under a key are compared with one hub line of the key first.
-Pairs whose lines are then in one component need no check; of the others,
+Lines that meet under a key are compared with one hub line of the key first, and
+of a line's hubs with the least before the others. Pairs whose lines are then in one component need no check; of the others,
 those whose letter-pair parities differ by more than the edits can explain are
 never formed. What is left is verified by a banded bit-parallel automaton,
 many pairs at a time.
@@ -214,25 +214,35 @@ def within_edits(left: list[str], right: list[str], max_edits: int) -> list[bool
 
 
 def has_word(line: bytes) -> bool:
-    return bool(line.split())
+    return bool(line) and not line.isspace()
 
 
 def _line_rows(schema):
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
         import xxhash
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 33
         for batch in slices(batches):
-            out: dict[str, list] = {c: [] for c in schema.names}
-            for doc_id, text, tag in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
-                found = [(k, x) for k, x in enumerate(text.split(b"\n")) if has_word(x)] if text else []
-                for k, raw in found or [(None, None)]:
-                    for c, v in zip(schema.names, (row, doc_id, tag, k, xxhash.xxh3_128_digest(raw) if raw else None)):
-                        out[c].append(v)
-                row += 1
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
+            of, places, digests = [], [], []
+            for k, text in enumerate(utf8(batch.column(1))):
+                before = len(of)
+                for place, raw in enumerate(text.split(b"\n")) if text else ():
+                    if has_word(raw):
+                        of.append(k)
+                        places.append(place)
+                        digests.append(xxhash.xxh3_128_digest(raw))
+                if len(of) == before:  # a document without lines has one row
+                    of.append(k)
+                    places.append(None)
+                    digests.append(None)
+            which = pa.array(of, pa.int64())
+            columns = [pa.array(np.array(of, np.int64) + row), batch.column(0).take(which), batch.column(2).take(which),
+                       pa.array(places, pa.int32()), pa.array(digests, pa.binary())]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+            row += batch.num_rows
     return run
 
 
@@ -414,14 +424,22 @@ def _links(texts: DataFrame, distinct: DataFrame, max_edits: Edits, least_chars:
 
     # the indexed line of a pair is the shorter one, or as long
     far = lambda p, q, edits: F.bit_count(p.bitwiseXOR(q)) > 4 * edits
-    rows = shared.join(parities, "node")
-    hubs = parities.select(F.col("node").alias("hub"), F.col("parities").alias("hub_parities"), F.col("edits").alias("hub_edits"))
-    links = verified(rows.join(hubs, "hub").where(~far(F.col("parities"), F.col("hub_parities"), F.col("hub_edits")))
-                     .select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    rows = keep(shared.join(parities, "node"))
+    hub_parities = parities.select(F.col("node").alias("hub"), F.col("parities").alias("hub_parities"), F.col("edits").alias("hub_edits"))
+    spokes = keep(rows.where("node != hub").select("node", "hub", "parities").distinct().join(hub_parities, "hub")
+                  .where(~far(F.col("parities"), F.col("hub_parities"), F.col("hub_edits"))).select(F.col("node").alias("a"), F.col("hub").alias("b")))
+
+    def labelled(df: DataFrame, col: str, name: str, labels: DataFrame) -> DataFrame:
+        own = labels.select(F.col("node").alias("own_node"), F.col("label").alias("own_label"))
+        return df.join(own, F.col(col) == F.col("own_node"), "left").withColumn(name, F.coalesce("own_label", col)).drop("own_node", "own_label")
+
+    # every line with one hub first: the least of its keys; then with the hubs of other components
+    links = verified(spokes.groupBy("a").agg(F.min("b").alias("b")))
+    labels = component_labels(links)
+    links = keep(links.union(verified(labelled(labelled(spokes, "a", "label_a", labels), "b", "label_b", labels)
+                                      .where("label_a != label_b").select("a", "b"))))
     labels = component_labels(links)
-    rows = rows.join(labels, "node", "left").select("key", "indexed", "node", "parities", "edits",
-                                                             F.coalesce("label", "node").alias("label"))
-    rows = keep(rows)
+    rows = keep(labelled(rows, "node", "label", labels).select("key", "indexed", "node", "parities", "edits", "label"))
     mixed = keep(rows.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("key"))
     rows = keep(rows.join(mixed, "key"))
     left, right = rows.where("indexed = 1").alias("p"), rows.alias("q")
