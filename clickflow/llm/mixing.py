@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickflow.llm.common import SPACE_WORD, keep
+from clickflow.llm.common import SPACE_WORD, free_name, keep
 
 GROUP_DOCS = 2_000
 #: Undecided documents that meet in one group above the first level.
@@ -200,11 +200,12 @@ def mixed_documents(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_
     """
     rows = _numbered(docs, id_col, text_col, source_col)
     mixed = mix_rows(rows, weights, share, max_copies, seed)
-    counts = keep(mixed.groupBy("tie").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-                  .where("_copies > 0").withColumnRenamed("tie", "_tie"))
-    joined = docs.withColumn("_tie", _tie(id_col, text_col, source_col)).join(counts, "_tie")
+    tie, copies, equal, number, take, copy = (free_name(docs, x) for x in ("tie", "copies", "equal", "number", "take", "copy"))
+    counts = keep(mixed.groupBy(F.col("tie").alias(tie)).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(equal))
+                  .where(F.col(copies) > 0))
+    joined = docs.withColumn(tie, _tie(id_col, text_col, source_col)).join(counts, tie)
     # after the join, rows with equal ties stand together already: numbering them shuffles nothing
-    number = F.row_number().over(Window.partitionBy("_tie").orderBy("_tie"))
-    own = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_number") <= F.col("_copies") % F.col("_rows")).cast("int")
-    return (joined.withColumn("_number", number).withColumn("_take", own.cast("int")).where("_take > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_take")))).select(*docs.columns))
+    joined = joined.withColumn(number, F.row_number().over(Window.partitionBy(tie).orderBy(tie)))
+    own = F.floor(F.col(copies) / F.col(equal)) + (F.col(number) <= F.col(copies) % F.col(equal)).cast("int")
+    return (joined.withColumn(take, own.cast("int")).where(F.col(take) > 0)
+            .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(take)))).select(*docs.columns))

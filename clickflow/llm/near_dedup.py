@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickflow.llm.common import LOWER_TABLE, id_type, keep, utf8
+from clickflow.llm.common import LOWER_TABLE, free_name, id_type, keep, utf8
 from clickflow.llm.components import component_labels
 
 REGISTERS = 256
@@ -378,11 +378,13 @@ def without_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS,
     texts = found.groupBy("label", "id", "tag").agg(F.count(F.lit(1)).alias("rows"))
     # a text without words is a group of its own
     alone = F.col("label").isNull()
+    own_id, own_tag = free_name(docs, "own_id"), free_name(docs, "own_tag")
     kept = keep(texts.groupBy("label", F.when(alone, F.col("id")).alias("own_id"), F.when(alone, F.col("tag")).alias("own_tag"))
                 .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag", "rows")).alias("first"))
-                .select(F.col("first.id").alias("_id"), F.col("first.tag").alias("_tag"), F.col("first.rows").alias("_rows")))
+                .select(F.col("first.id").alias(own_id), F.col("first.tag").alias(own_tag), F.col("first.rows").alias("rows")))
     tag = F.xxhash64(F.col(text_col))
-    if kept.where("_rows > 1").limit(1).count():  # equal rows become one in every task before they meet
-        docs = docs.groupBy(F.col(id_col).alias("_own_id"), tag.alias("_own_tag")).agg(
-            F.any_value(F.struct(*docs.columns)).alias("_doc")).select("_doc.*")
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (tag == F.col("_tag")), "left_semi").select(*docs.columns)
+    if kept.where("rows > 1").limit(1).count():  # equal rows become one in every task before they meet
+        docs = docs.groupBy(F.col(id_col).alias(own_id), tag.alias(own_tag)).agg(
+            F.any_value(F.struct(*docs.columns)).alias("doc")).select("doc.*")
+    kept = kept.drop("rows")
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(own_id)) & (tag == F.col(own_tag)), "left_semi").select(*docs.columns)

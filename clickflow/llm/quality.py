@@ -22,7 +22,6 @@ lines without a word are ignored; other columns are ignored by
 from __future__ import annotations
 
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickflow.llm.common import LOWER_TABLE, id_type, keep, utf8
+from clickflow.llm.common import LOWER_TABLE, free_name, id_type, keep, utf8
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b"\x20\t\n\x0b\x0c\r"
@@ -71,7 +70,7 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def describe(text: bytes | None) -> dict:
-    """Counts and line hashes of one text; ``family`` is a digest of its set of lines."""
+    """Counts and line hashes of one text; ``family`` is a digest of its set of lines as they are."""
     import xxhash
 
     text = text or b""
@@ -90,7 +89,7 @@ def describe(text: bytes | None) -> dict:
     return {
         "n_words": len(words), "word_chars": len(text.decode("utf-8", "replace")) - sum(text.count(c) for c in SPACES),
         "n_symbols": sum(text.count(c) for c in SYMBOLS), "n_dup_lines": dups, "n_repeat_words": repeated_words(words),
-        "family": xxhash.xxh3_128_digest(array("q", sorted(lines)).tobytes()),
+        "family": xxhash.xxh3_128_digest(b"\n".join(sorted(seen))),
         "lines": [{"line": h, "words": n} for h, n in lines.items()]}
 
 
@@ -176,12 +175,12 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 
     Verdicts depend on host and text only, so they are matched by a hash of both.
     """
-    tag = _tag(host_col, text_col)
-    described = describe_documents(docs.withColumn("_tag", tag), "_tag", text_col, host_col)
+    tag, own = _tag(host_col, text_col), free_name(docs, "tag")
+    described = describe_documents(docs.withColumn(own, tag), own, text_col, host_col)
     verdicts = _judged(described, limits.get("limit_docs", LIMIT_DOCS), limits.get("limit_share", LIMIT_SHARE),
                        limits.get("least_left", LEAST_LEFT))
-    good = keep(verdicts.where("kept").select(F.col("id").alias("_tag")).distinct())
-    return docs.withColumn("_tag", tag).join(good, "_tag", "left_semi").select(*docs.columns)
+    good = keep(verdicts.where("kept").select(F.col("id").alias(own)).distinct())
+    return docs.withColumn(own, tag).join(good, own, "left_semi").select(*docs.columns)
 
 
 def _tag(host_col: str, text_col: str) -> F.Column:
@@ -196,7 +195,8 @@ def without_frequent_lines(docs: DataFrame, frequent: DataFrame, text_col: str =
     above a share of its documents, so their number is bounded by the lines
     of one document divided by that share.
     """
-    per_host = keep(frequent.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line").alias("_lines")))
+    host, lines_of = free_name(docs, "host"), free_name(docs, "lines")
+    per_host = keep(frequent.groupBy(F.col("host").alias(host)).agg(F.collect_set("line").alias(lines_of)))
     schema = docs.schema
 
     def strip(batches: Iterator) -> Iterator:
@@ -214,5 +214,5 @@ def without_frequent_lines(docs: DataFrame, frequent: DataFrame, text_col: str =
             columns[at] = pa.array(out, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return (docs.join(per_host, F.col(host_col).cast("string").eqNullSafe(F.col("_host")), "left").drop("_host")
+    return (docs.join(per_host, F.col(host_col).cast("string").eqNullSafe(F.col(host)), "left").drop(host)
             .mapInArrow(strip, schema))

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from clickflow.llm import (decontaminate, html_text, licenses, line_dedup, mixing, near_dedup, quality, queries,
                            secrets, token_counts, token_files)
@@ -605,3 +606,78 @@ def test_pipeline(spark):
     assert keyed((r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens) == keyed(
         (i, len(ids) + 1, crc([*ids, 0])) for (i, t), ids in zip(texts(mixed), encoded([t for _, t in texts(mixed)])))
     assert cp.run(spark, SF).count() == len(tokens)
+
+
+# --- columns named like the helpers -----------------------------------------------
+
+HELPERS = ("tag", "_tag", "id", "_id", "own_id", "own_tag", "rows", "_rows", "tie", "_tie", "copies", "_copies", "copy", "_copy", "equal", "number",
+           "_number", "take", "_take", "key", "_key", "gone", "_gone", "host", "_host", "lines", "_lines", "removed", "turn", "few", "rest", "doc",
+           "_doc", "label", "none", "first", "size", "n", "p", "found", "row", "node")
+
+
+@pytest.mark.parametrize("stage", ["keep_good", "without_frequent_lines", "without_near_duplicates", "drop_contaminated", "mixed_documents",
+                                   "without_repeated_lines"])
+def test_helper_names_are_free_for_columns(spark, stage):
+    """Every stage gives the rows it gives without the further columns, and theirs unchanged."""
+    import random
+
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choices([f"w{k}" for k in range(400)], k=80)) + "\nmenu line of this site that comes back" for _ in range(30)]
+    rows = [(k, t, ("s1", None, "s2")[k % 3]) for k, t in enumerate(texts)]
+    rows += [(100, texts[0] + " more", "s1"), (4, texts[4], "s2"), (4, texts[4], "s2"), (None, texts[5], None), (101, None, "s1"), (102, "", None)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    crowded = plain.select("*", *[F.concat(F.lit(f"{x}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(x) for x in HELPERS])
+    items = spark.createDataFrame([(1, " ".join(texts[7].split()[3:20]))], "item_id long, text string")
+    run = {
+        "keep_good": lambda d: quality.keep_good(d, limit_docs=5),
+        "without_frequent_lines": lambda d: quality.without_frequent_lines(
+            d, quality.frequent_lines(quality.describe_documents(d), limit_docs=5)),
+        "without_near_duplicates": near_dedup.without_near_duplicates,
+        "drop_contaminated": lambda d: decontaminate.drop_contaminated(d, items),
+        "mixed_documents": mixing.mixed_documents,
+        "without_repeated_lines": line_dedup.without_repeated_lines,
+    }[stage]
+    got = run(crowded)
+    assert got.dtypes == crowded.dtypes
+    out = got.collect()
+    assert keyed((r["doc_id"], r["text"], r["source"]) for r in out) == keyed(run(plain).select("doc_id", "text", "source").collect())
+    for r in out:
+        own = "none" if r["doc_id"] is None else r["doc_id"]
+        assert all(r[x] == f"{x}:{own}" for x in HELPERS)
+
+
+def test_pages_that_differ_in_digits_count_as_documents(spark):
+    """Pages of one menu and one own line are rejected, whether the own lines differ in letters or in digits only."""
+    menu = "\n".join(f"menu entry {chr(97 + k)} with some words to fill a page of a site" for k in range(20))
+    for own in (lambda k: f"article {k} of the day", lambda k: "article " + "".join(chr(97 + int(c)) for c in str(k)) + " of the day"):
+        docs = spark.createDataFrame([(k, menu + "\n" + own(k), "host") for k in range(300)], "doc_id long, text string, source string")
+        out = quality.quality_rules(docs).collect()
+        assert len(out) == 300 and not any(r["kept"] for r in out)
+
+
+def brute_kept(rows, limit_docs, limit_share, least_left):
+    """rows: (id, text, host) -> verdicts, documents counted by their set of raw lines."""
+    sets, of = defaultdict(set), defaultdict(lambda: defaultdict(set))
+    fold = lambda x: quality.line_hash(x.encode())
+    for _, text, host in rows:
+        lines = frozenset(x for x in (text or "").split("\n") if space_words(x))
+        sets[host].add(lines)
+        for x in lines:
+            of[host][fold(x)].add(lines)
+    out = []
+    for i, text, host in rows:
+        often = {h for h, d in of[host].items() if len(d) > max(limit_docs, limit_share * len(sets[host]))}
+        words = space_words(text)
+        lost = sum(len(space_words(x)) for x in (text or "").split("\n") if space_words(x) and fold(x) in often)
+        grams = Counter(zip(words, words[1:], words[2:]))
+        inside = {j for k, g in enumerate(zip(words, words[1:], words[2:])) if grams[g] > 1 for j in (k, k + 1, k + 2)}
+        failed = len(words) < 50 or 100 * len(inside) > 50 * len(words)
+        out.append((i, not failed and len(words) - lost >= least_left * len(words)))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("limit", [quality.LIMIT_DOCS, 2])
+def test_kept_of_the_given_table(spark, small, limit):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = quality.quality_rules(docs, limit_docs=limit)
+    assert Counter((r["doc_id"], r["kept"]) for r in got.collect()) == brute_kept(small, limit, quality.LIMIT_SHARE, quality.LEAST_LEFT)
