@@ -14,7 +14,12 @@ the next element that cannot; a textarea without an end tag is skipped, not its
 page. Names of classes and ids only guess: an article
 or main element inside clears the chrome they set outside of it, unless its own
 names say chrome, and names that only tell what else there is (has-sidebar) are
-skipped.
+skipped. Forms, too, only guess, since whole pages stand in one. A form or named
+wrapper that holds most of a page's words while there is little text outside of
+any is taken for neither.
+
+Open elements are counted by name, so an end tag without a start costs nothing and
+a page is read in time in proportion to its length, however deep it is nested.
 
 Defined cases: null, empty or text-free html gives an empty text; a page cut
 off anywhere is read to its end; repeated rows and null ids are ordinary rows;
@@ -24,6 +29,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -46,7 +52,7 @@ IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript no
 IN_SELECT = INLINE | frozenset("option optgroup hr script style template noscript button img svg".split())
 NOT_IN_BUTTON = frozenset("button p h1 h2 h3 h4 h5 h6 article main section header footer nav aside form fieldset ul ol dl "
                           "table blockquote pre figure body".split())
-CHROME = frozenset("nav aside footer form menu dialog fieldset".split())
+CHROME = frozenset("nav aside footer menu dialog fieldset".split())
 MAIN = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Fixed words of class and id names.
@@ -57,24 +63,29 @@ CHROME_NAMES = frozenset(
     "reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags teaser "
     "toolbar topbar widget widgets".split())
 MAIN_NAMES = frozenset("article articlebody body content entry main post story text".split())
-CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu".split())
+CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu".split())
 MAIN_ROLES = frozenset("main article".split())
 _NAME = re.compile(r"[a-z0-9]+")
 _TEXTAREA_END = re.compile(r"</textarea", re.I)
 #: A name that begins so tells what the page has elsewhere.
 ELSEWHERE = frozenset("has have with without no".split())
-#: How an element is known as chrome: by class or id names, by its own kind or role.
+#: How an element is known as chrome: by class or id names or as a form, by its own kind or role.
 NAMED, CERTAIN = 1, 2
+#: A guess is dropped for an element with this share of the words that are not certain chrome, if
+#: what stands outside of any chrome is less than this share of the element's.
+MOST_WORDS, LITTLE_ELSE = 0.5, 0.25
 
 
 class _Blocks(HTMLParser):
-    """Collects a page's blocks as [text, words in links, chrome, main, heading]."""
+    """Collects a page's blocks as [text, words in links, mark, main, heading]; ``marks`` are the elements known as chrome."""
 
     def __init__(self, textarea_ends: int = 0):
         super().__init__(convert_charrefs=True)
         self.textarea_ends = textarea_ends  # end tags to come
         self.blocks: list[list] = []
-        self.stack: list[tuple[str, int, bool]] = []  # element, chrome (0, NAMED or CERTAIN), main
+        self.stack: list[tuple[str, int, bool]] = []  # element, innermost mark (0: none), main
+        self.marks: list[tuple[int, int]] = [(0, 0)]  # mark around it, how it and they are known at best
+        self.open: Counter = Counter()
         self.parts: list[str] = []
         self.linked = self.links = self.unseen = 0
         self.heading = False
@@ -82,8 +93,8 @@ class _Blocks(HTMLParser):
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, chrome, main = self.stack[-1] if self.stack else ("", 0, False)
-            self.blocks.append([text, self.linked, chrome > 0, main, self.heading])
+            _, mark, main = self.stack[-1] if self.stack else ("", 0, False)
+            self.blocks.append([text, self.linked, mark, main, self.heading])
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs) -> None:
@@ -99,7 +110,8 @@ class _Blocks(HTMLParser):
             self._end_open(tag)
         if tag == "a" and self.links:
             self._pop("a")
-        _, chrome, main = self.stack[-1] if self.stack else ("", 0, False)
+        _, mark, main = self.stack[-1] if self.stack else ("", 0, False)
+        chrome = self.marks[mark][1]
         names, role = set(), ""
         for name, value in attrs:
             if value and name in ("class", "id"):
@@ -112,19 +124,24 @@ class _Blocks(HTMLParser):
         if tag not in ("html", "body"):
             if tag in MAIN or role in MAIN_ROLES:
                 if chrome == NAMED and not main and not names & CHROME_NAMES:
-                    chrome = 0
+                    mark = chrome = 0
                 main = main or not chrome
             elif tag in CHROME or role in CHROME_ROLES or tag == "header" and not main:
-                chrome = CERTAIN
-            elif names & CHROME_NAMES:
-                chrome = max(chrome, NAMED)
+                mark = self._marked(mark, CERTAIN)
+            elif tag == "form" or role == "form" or names & CHROME_NAMES:
+                mark = self._marked(mark, NAMED)
             elif names & MAIN_NAMES:
                 main = main or not chrome
-        self.stack.append((tag, chrome, main))
+        self.stack.append((tag, mark, main))
+        self.open[tag] += 1
         self.links += tag == "a"
         self.unseen += tag in UNSEEN
         self.heading = self.heading or tag in HEADINGS
 
+    def _marked(self, around: int, level: int) -> int:
+        self.marks.append((around, max(level, self.marks[around][1])))
+        return len(self.marks) - 1
+
     def handle_endtag(self, tag) -> None:
         if tag not in INLINE:
             self._flush()
@@ -140,14 +157,17 @@ class _Blocks(HTMLParser):
                 self.linked += len(data.split())
 
     def _pop(self, tag) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                for gone, _, _ in self.stack[i:]:
-                    self.links -= gone == "a"
-                    self.unseen -= gone in UNSEEN
-                del self.stack[i:]
-                break
-        self.heading = any(t in HEADINGS for t, _, _ in self.stack)
+        if self.open[tag]:
+            gone = ""
+            while gone != tag:
+                gone = self.stack.pop()[0]
+                self._ended(gone)
+
+    def _ended(self, tag) -> None:
+        self.open[tag] -= 1
+        self.links -= tag == "a"
+        self.unseen -= tag in UNSEEN
+        self.heading = self.heading and (tag not in HEADINGS or any(self.open[h] for h in HEADINGS))
 
     def _supply_ends(self, tag) -> None:
         """End open elements that ``tag`` cannot stand in."""
@@ -164,12 +184,17 @@ class _Blocks(HTMLParser):
 
     def _drop(self, *tags) -> None:
         """End the open elements of these names, but none that was opened inside them."""
-        for i in range(len(self.stack) - 1, -1, -1):
+        left = sum(self.open[tag] for tag in tags)
+        i = len(self.stack)
+        while left:
+            i -= 1
             if self.stack[i][0] in tags:
-                self.unseen -= 1
-                del self.stack[i]
+                self._ended(self.stack.pop(i)[0])
+                left -= 1
 
     def _end_open(self, tag) -> None:
+        if not self.open[tag]:
+            return
         for name, _, _ in reversed(self.stack):
             if name == tag:
                 self._pop(tag)
@@ -190,7 +215,25 @@ def page_blocks(html: str | None) -> list[list]:
         parser.feed(html)
         parser.close()
         parser._flush()
-    return parser.blocks
+    chrome = _is_chrome(parser)
+    return [[text, linked, chrome[mark], main, heading] for text, linked, mark, main, heading in parser.blocks]
+
+
+def _is_chrome(parser: _Blocks) -> list[bool]:
+    """For every mark whether it stands, or one around it."""
+    inside = [0] * len(parser.marks)
+    for text, _, mark, _, _ in parser.blocks:
+        if parser.marks[mark][1] < CERTAIN:
+            inside[mark] += len(text.split())
+    outside, total = inside[0], sum(inside)
+    for mark in range(len(inside) - 1, 0, -1):  # marks come after those around them
+        if parser.marks[mark][1] < CERTAIN:
+            inside[parser.marks[mark][0]] += inside[mark]
+    chrome = [False]
+    for mark, (around, level) in enumerate(parser.marks[1:], 1):
+        wraps = level == NAMED and inside[mark] >= MOST_WORDS * total and outside < LITTLE_ELSE * inside[mark]
+        chrome.append(chrome[around] or not wraps)
+    return chrome
 
 
 def features(blocks: list[tuple[int, int, bool, bool, bool]]) -> list[list[float]]:

@@ -159,6 +159,40 @@ def test_html_text_of_open_elements_and_wrapper_names(spark):
         assert got[n].replace("Say\n", "") == text, pages[n]
 
 
+def test_html_text_of_wrapped_pages(spark):
+    """A form or a named wrapper around the whole page keeps its article; long comments stay out."""
+    long = "This is a paragraph of the article that has quite enough words to be told from the chrome around it, one more time."
+    nav = "<nav><a href=/>Home</a> <a href=/b>News</a></nav><header>The site</header>"
+    title, plain = "<h1>Title of it</h1>", f"<p>{long}</p><p>{long}</p>"
+    end = "<aside><p>Other things that one could read here instead</p></aside><footer>&copy; us</footer>"
+    text = f"Title of it\n{long}\n{long}"
+    pages = [f"<form>{nav}<article>{title}{plain}</article>{end}</form>", f"<form>{nav}<main><article>{title}{plain}</article></main>{end}</form>",
+             f"<form id=aspnetForm>{nav}<div>{title}{plain}</div>{end}</form>",
+             f"{nav}<div class='post-12 post type-post category-news tag-search'>{title}{plain}</div>{end}",
+             f"<div id=main-with-sidebar>{nav}{title}{plain}{end}</div>", f"<div class='content sidebar-right'>{title}{plain}</div>{end}",
+             f"<div class='page share-buttons-on'><div class='wrap menu-open'>{nav}{title}{plain}</div></div>{end}",
+             f"<div>{title}{plain}</div><div id=comments>{plain * 3}</div>{end}",
+             f"<form><article>{title}{plain}</article><div class=comments>{plain * 3}</div></form>",
+             f"<article>{title}{plain}</article><form class=reply><p>Tell us what you think of it, your mail is not shown to others</p></form>"]
+    rows = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").selectExpr("*", "'u' as url")
+    got = {r.page_id: r.text for r in html_text.extract_text(rows).collect()}
+    for n, page in enumerate(pages):
+        assert got[n] == text, page
+    assert html_text.extract_text(rows.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 80_000 + "</i>" * 80_000, "<div><i>x</div>" * 50_000, "<b>" * 100_000 + "<li>x" * 50_000, "<h2><div>" * 50_000 + "</p>" * 100_000,
+    "<button><div>" * 60_000, "<select><option>" * 40_000 + "<p>x", "<form class=menu>x" * 50_000, "<a href=x>y" * 60_000, "<p><span>" * 60_000])
+def test_html_pages_nested_deep_are_read_in_time(page):
+    """Pages of up to a megabyte, each of which was or would be quadratic with a walk of the open elements per tag."""
+    import time
+
+    began = time.perf_counter()
+    html_text.page_blocks(page)
+    assert time.perf_counter() - began < 15
+
+
 def test_html_text_of_given_pages(spark):
     got = result(spark, "op2")
     for page_id, html in duckdb.sql(f"select page_id, html from '{SF}/pages.parquet'").fetchall():
