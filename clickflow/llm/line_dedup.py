@@ -21,8 +21,8 @@ the numbered distinct lines, so two lines of one name are both looked at.
 
 Lines that meet under a key are compared with one hub line of the key first, and
 of a line's hubs with the least before the others. Pairs whose lines are then in one component need no check; of the others,
-those whose letter-pair parities differ by more than the edits can explain are
-never formed. What is left is verified by a banded bit-parallel automaton,
+those whose parities of letters and letter pairs differ by more than the edits can
+explain are never formed. What is left is verified by a banded bit-parallel automaton,
 many pairs at a time.
 
 Defined cases: lines without a word are never removed; a null or empty text
@@ -143,16 +143,19 @@ def line_keys(line: str, max_edits: Edits) -> tuple[list[int], list[int]]:
     return sorted(own), sorted(set(keys[probing].tolist()) - own)
 
 
-def pair_parities(line: str) -> int:
-    """64 parities of the line's letter pairs by hash: an edit changes at most four."""
+def parities(line: str) -> tuple[int, int]:
+    """64 parities of the line's letter pairs, and of its letters, by hash.
+
+    A replaced letter changes at most four and two of them, one put in or taken out three and one.
+    """
     import numpy as np
 
     codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    if len(codes) < 2:
-        return 0
-    z = (codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:]) * np.uint64(0xBF58476D1CE4E5B9)
-    bits = np.bincount((z >> np.uint64(58)).astype(np.int64), minlength=64) & 1
-    return int(np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)[0])
+    out = []
+    for z in (codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:], codes * np.uint64(0x9E3779B97F4A7C15)):
+        bits = np.bincount(((z * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(58)).astype(np.int64), minlength=64) & 1
+        out.append(int(np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)[0]))
+    return out[0], out[1]
 
 
 def within_edits(left: list[str], right: list[str], max_edits: int) -> list[bool]:
@@ -333,7 +336,7 @@ def _texts_of(batches: Iterator) -> Iterator:
     import xxhash
 
     for batch in batches:
-        nodes, lines, parities, chars = [], [], [], []
+        nodes, lines, pairs, letters, chars = [], [], [], [], []
         for text, wanted in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
             parts = text.split(b"\n")
             for w in wanted:
@@ -342,11 +345,13 @@ def _texts_of(batches: Iterator) -> Iterator:
                     line = raw.decode("utf-8", "replace")
                     nodes.append(w["node"])
                     lines.append(raw)
-                    parities.append(pair_parities(line))
+                    both = parities(line)
+                    pairs.append(both[0])
+                    letters.append(both[1])
                     chars.append(len(line))
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines, pa.binary()).cast(pa.string()),
-                                          pa.array(parities, pa.int64()), pa.array(chars, pa.int64())],
-                                         names=["node", "text", "parities", "chars"])
+                                          *(pa.array(x, pa.int64()) for x in (pairs, letters, chars))],
+                                         names=["node", "text", "pairs", "letters", "chars"])
 
 
 def _verifier(max_edits: Edits):
@@ -408,13 +413,13 @@ def _links(texts: DataFrame, distinct: DataFrame, max_edits: Edits, least_chars:
     per_text = wanted.groupBy(F.col("first.id").alias("_id"), F.col("first.tag").alias("_tag")).agg(
         F.collect_list(F.struct("node", F.col("first.place").alias("place"), "line")).alias("wanted"))
     found = keep(texts.join(per_text, texts["id"].eqNullSafe(F.col("_id")) & (texts["tag"] == F.col("_tag")))
-                 .select("text", "wanted").mapInArrow(_texts_of, "node long, text string, parities long, chars long")
-                 .groupBy("node").agg(F.any_value("text").alias("text"), F.any_value("parities").alias("parities"),
-                                      F.any_value("chars").alias("chars")))
+                 .select("text", "wanted").mapInArrow(_texts_of, "node long, text string, pairs long, letters long, chars long")
+                 .groupBy("node").agg(F.any_value("text").alias("text"), F.any_value(F.struct(
+                     "pairs", "letters", "chars")).alias("sign")))
     edits = F.lit(most_edits(max_edits))
     if not isinstance(max_edits, int):
-        edits = F.greatest(F.lit(0), *(F.when(F.col("chars") >= least, e) for least, e in max_edits))
-    parities = keep(found.select("node", "parities", edits.alias("edits")))
+        edits = F.greatest(F.lit(0), *(F.when(F.col("sign.chars") >= least, e) for least, e in max_edits))
+    signs = keep(found.select("node", "sign", edits.alias("edits")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -423,11 +428,16 @@ def _links(texts: DataFrame, distinct: DataFrame, max_edits: Edits, least_chars:
         return keep(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verifier(max_edits), "a long, b long"))
 
     # the indexed line of a pair is the shorter one, or as long
-    far = lambda p, q, edits: F.bit_count(p.bitwiseXOR(q)) > 4 * edits
-    rows = keep(shared.join(parities, "node"))
-    hub_parities = parities.select(F.col("node").alias("hub"), F.col("parities").alias("hub_parities"), F.col("edits").alias("hub_edits"))
-    spokes = keep(rows.where("node != hub").select("node", "hub", "parities").distinct().join(hub_parities, "hub")
-                  .where(~far(F.col("parities"), F.col("hub_parities"), F.col("hub_edits"))).select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    def far(p, q, edits):
+        """Whether two lines differ by more than the edits can explain; letters put in or taken out explain less."""
+        other = F.abs(p["chars"] - q["chars"])
+        return ((F.bit_count(p["pairs"].bitwiseXOR(q["pairs"])) > 4 * edits - other)
+                | (F.bit_count(p["letters"].bitwiseXOR(q["letters"])) > 2 * edits - other))
+
+    rows = keep(shared.join(signs, "node"))
+    hub_signs = signs.select(F.col("node").alias("hub"), F.col("sign").alias("hub_sign"), F.col("edits").alias("hub_edits"))
+    spokes = keep(rows.where("node != hub").select("node", "hub", "sign").distinct().join(hub_signs, "hub")
+                  .where(~far(F.col("sign"), F.col("hub_sign"), F.col("hub_edits"))).select(F.col("node").alias("a"), F.col("hub").alias("b")))
 
     def labelled(df: DataFrame, col: str, name: str, labels: DataFrame) -> DataFrame:
         own = labels.select(F.col("node").alias("own_node"), F.col("label").alias("own_label"))
@@ -439,12 +449,12 @@ def _links(texts: DataFrame, distinct: DataFrame, max_edits: Edits, least_chars:
     links = keep(links.union(verified(labelled(labelled(spokes, "a", "label_a", labels), "b", "label_b", labels)
                                       .where("label_a != label_b").select("a", "b"))))
     labels = component_labels(links)
-    rows = keep(labelled(rows, "node", "label", labels).select("key", "indexed", "node", "parities", "edits", "label"))
+    rows = keep(labelled(rows, "node", "label", labels).select("key", "indexed", "node", "sign", "edits", "label"))
     mixed = keep(rows.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("key"))
     rows = keep(rows.join(mixed, "key"))
     left, right = rows.where("indexed = 1").alias("p"), rows.alias("q")
     near = ((F.col("p.key") == F.col("q.key")) & (F.col("p.label") != F.col("q.label"))
-            & ~far(F.col("p.parities"), F.col("q.parities"), F.col("p.edits")))
+            & ~far(F.col("p.sign"), F.col("q.sign"), F.col("p.edits")))
     return keep(links.union(verified(left.join(right, near).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")))))
 
 

@@ -405,6 +405,20 @@ def test_edit_automaton():
             assert set(own_x) & set(own_y + more_y) or set(own_y) & set(own_x + more_x)
 
 
+def test_parities_bound_the_edits():
+    """Lines k edits apart never differ by more than k edits can explain."""
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        x = y = "".join(rng.choice(list("abcdé f"), rng.integers(10, 90)))
+        for k in range(1, 4):
+            at = int(rng.integers(0, len(y)))
+            y = y[:at] + ("", "z", "q" + y[at:at + 1])[rng.integers(0, 3)] + y[at + 1:]
+            (pairs_x, letters_x), (pairs_y, letters_y) = line_dedup.parities(x), line_dedup.parities(y)
+            other = abs(len(x) - len(y))
+            assert ((pairs_x ^ pairs_y) & (2 ** 64 - 1)).bit_count() <= 4 * k - other
+            assert ((letters_x ^ letters_y) & (2 ** 64 - 1)).bit_count() <= 2 * k - other
+
+
 def test_line_dedup_permits_more_edits_in_longer_lines(spark):
     """The registered thresholds against brute force, with lengths about the steps."""
     rng = np.random.default_rng(11)
