@@ -255,7 +255,7 @@ REMEMBERED = 1 << 20
 
 
 def _entries(max_edits: Edits, least_chars: int):
-    """``key`` and ``entry`` (line name; above it, whether it probes) of the lines of texts."""
+    """``key`` (twice the key, and one if it is probed) and ``name`` of the lines of texts."""
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -265,10 +265,10 @@ def _entries(max_edits: Edits, least_chars: int):
 
         def made():
             each, key, probing = keys.of(lines)
-            entry = np.repeat(np.array(names, np.int64), each) | (probing.astype(np.int64) << NAME_BITS)
+            name = np.repeat(np.array(names, np.int64), each)
             names.clear()
             lines.clear()
-            return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(entry)], names=["key", "entry"])
+            return pa.RecordBatch.from_arrays([pa.array((key.astype(np.int64) << 1) | probing), pa.array(name)], names=["key", "name"])
 
         for batch in slices(batches):
             for text in utf8(batch.column(0)):
@@ -297,38 +297,47 @@ def line_name(digest: bytes) -> int:
 
 
 def _shared_keys(batches: Iterator) -> Iterator:
-    """Of rows in order of key and entry, those whose key has two lines or more, one of them indexed.
+    """Of rows in order of ``key`` (see ``_entries``), those whose key has two rows or more, one of them indexed.
 
-    Indexed entries come first, so a key's first row tells whether it has one.
-    Only a key's single row so far is held back from batch to batch.
+    Indexed rows come first, so a key's first row tells whether it has one.
+    Only a key's single row so far is held back from batch to batch. A line that several tasks
+    have found is dropped within a batch only, so a few keys of one line may come out too.
     """
     import numpy as np
     import pyarrow as pa
 
     last_key, keep_last, held = None, False, None
     for batch in batches:
-        key, entry = (batch.column(i).to_numpy() for i in range(2))
+        key, name = (batch.column(i).to_numpy() for i in range(2))
         if not len(key):
             continue
         carried = held is not None
         if carried:
-            key, entry = np.append(last_key, key), np.append(held, entry)
-        fresh = np.append(True, (key[1:] != key[:-1]) | (entry[1:] != entry[:-1]))
-        key, entry = key[fresh], entry[fresh]
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            key, name = np.append(held[0], key), np.append(held[1], name)
+        again = np.flatnonzero(key[1:] >> 1 == key[:-1] >> 1)
+        if len(again):  # names in order within the keys of several rows, so that repeats are neighbours
+            some = np.union1d(again, again + 1)
+            order = some[np.lexsort((name[some], key[some]))]
+            key, name = key.copy(), name.copy()
+            key[some], name[some] = key[order], name[order]
+            fresh = np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1]))
+            key, name = key[fresh], name[fresh]
+        own = key >> 1
+        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         sizes = np.diff(np.append(starts, len(key)))
-        indexed = entry[starts] < (1 << NAME_BITS)
+        lengths = sizes.copy()
+        indexed = key[starts] & 1 == 0
         kept = indexed & (sizes > 1)
-        if not carried and last_key is not None and key[0] == last_key:
-            kept[0] = keep_last
-            indexed[0] = keep_last
+        if not carried and last_key is not None and own[0] == last_key:
+            kept[0] = indexed[0] = keep_last
             sizes[0] += 1  # its first row is gone already
-        last_key = key[-1]
+        last_key = own[-1]
         # a single indexed row may still find company
-        held = entry[-1] if indexed[-1] and sizes[-1] == 1 else None
+        held = (key[-1], name[-1]) if indexed[-1] and sizes[-1] == 1 else None
         keep_last = bool(kept[-1])
-        some = np.repeat(kept, np.diff(np.append(starts, len(key))))
-        yield pa.RecordBatch.from_arrays([pa.array(key[some], pa.int64()), pa.array(entry[some], pa.int64())], names=["key", "entry"])
+        some = np.repeat(kept, lengths)
+        yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(1 - (key[some] & 1)), pa.array(name[some])],
+                                         names=["key", "indexed", "name"])
 
 
 def _texts_of(batches: Iterator) -> Iterator:
@@ -398,13 +407,13 @@ def line_classes(docs: DataFrame, max_edits: Edits = MAX_EDITS, least_chars: int
 
 def _links(texts: DataFrame, distinct: DataFrame, max_edits: Edits, least_chars: int) -> DataFrame:
     """Verified links (a, b) that connect all lines of a class."""
-    entries = texts.select("text").mapInArrow(_entries(max_edits, least_chars), "key long, entry long")
-    met = keep(entries.repartition("key").sortWithinPartitions("key", "entry").mapInArrow(_shared_keys, "key long, entry long"))
+    entries = texts.select("text").mapInArrow(_entries(max_edits, least_chars), "key long, name long")
+    # one long to sort by is sorted by its digits
+    met = keep(entries.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
+               .mapInArrow(_shared_keys, "key long, indexed long, name long"))
     name = F.conv(F.hex(F.substring("line", 1, NAME_BITS // 8)), 16, 10).cast("long")
     named = distinct.select(name.alias("name"), "node")
-    shared = keep(met.select("key", (F.col("entry") < (1 << NAME_BITS)).cast("int").alias("indexed"),
-                             F.col("entry").bitwiseAND(F.lit((1 << NAME_BITS) - 1)).alias("name"))
-                  .join(named, "name").select("key", "indexed", "node"))
+    shared = keep(met.join(named, "name").groupBy("key", "node").agg(F.max("indexed").alias("indexed")))
     release(met)
     hubs = shared.where("indexed = 1").groupBy("key").agg(F.min("node").alias("hub"))
     shared = shared.join(hubs, "key")
@@ -452,9 +461,14 @@ def _links(texts: DataFrame, distinct: DataFrame, max_edits: Edits, least_chars:
     rows = keep(labelled(rows, "node", "label", labels).select("key", "indexed", "node", "sign", "edits", "label"))
     mixed = keep(rows.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("key"))
     rows = keep(rows.join(mixed, "key"))
+    # two lines are paired under the least of the keys that they share; a line has some tens of keys
+    under = rows.groupBy("node").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("indexed") == 1, F.col("key"))).alias("own"))
+    rows = keep(rows.join(under, "node"))
     left, right = rows.where("indexed = 1").alias("p"), rows.alias("q")
+    least = F.least(F.array_min(F.array_intersect("p.own", "q.keys")), F.array_min(F.array_intersect("q.own", "p.keys")))
     near = ((F.col("p.key") == F.col("q.key")) & (F.col("p.label") != F.col("q.label"))
-            & ~far(F.col("p.sign"), F.col("q.sign"), F.col("p.edits")))
+            & ((F.col("q.indexed") == 0) | (F.col("p.node") < F.col("q.node")))
+            & ~far(F.col("p.sign"), F.col("q.sign"), F.col("p.edits")) & (F.col("p.key") == least))
     return keep(links.union(verified(left.join(right, near).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")))))
 
 
