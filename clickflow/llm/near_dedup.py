@@ -17,8 +17,11 @@ band are candidates, and links are found without listing all pairs of a band:
    no check; each other pair has a class outside the band's largest component.
    Pairs that share a shingle which at most ``SELDOM`` candidates have are
    listed by that shingle. In all other pairs such shingles are in no
-   intersection, which bounds the similarity from counts alone, and only pairs
-   that can still reach the threshold are formed and compared.
+   intersection, which bounds the similarity from counts alone. A second bound
+   is exact too: two sets differ by at least as many shingles as their parity
+   bits differ (``PARITY_BITS`` bits, each the parity of the shingles hashed to it).
+   Only pairs that can still reach the threshold by both are formed and compared;
+   pages of one template that share less never are.
 
 Each comparison first estimates the similarity from the registers, corrected
 for chance collisions; pairs that stay below the threshold by six standard
@@ -55,6 +58,8 @@ EMPTY = 0xFFFF
 MISS = 1e-6
 #: Candidates that have a shingle for it to list pairs; others are covered by the bound (a matter of work, not results).
 SELDOM = 8
+#: Parity bits of a set; the bound holds at any size and excludes most for sets of up to about twice as many shingles.
+PARITY_BITS = 1024
 SHINGLE_WORDS = 5
 LEAST_PERCENT = 80
 
@@ -104,6 +109,14 @@ def sketch(hashes):
     return out
 
 
+def parity_bits(hashes):
+    """For each of ``PARITY_BITS`` places whether an odd number of hashes falls on it, as 64-bit numbers."""
+    import numpy as np
+
+    odd = np.bincount((hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 class _Lenders:
     """For each register, the order in which it asks the others."""
 
@@ -203,7 +216,7 @@ def _fetcher(k: int):
         import xxhash
 
         for batch in batches:
-            c, n, sets, regs = [], [], [], []
+            c, n, sets, regs, bits = [], [], [], [], []
             for text, node, key in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 h = shingles(text, k)
                 if xxhash.xxh3_128_digest(h.tobytes()) == key:  # another text may have the same id
@@ -211,8 +224,10 @@ def _fetcher(k: int):
                     n.append(len(h))
                     sets.append(h.tobytes())
                     regs.append(sketch(h).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(sets, pa.binary()),
-                                              pa.array(regs, pa.binary())], names=["node", "n", "hashes", "registers"])
+                    bits.append(parity_bits(h))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(regs, pa.binary()),
+                pa.array(bits, pa.list_(pa.int64()))], names=["node", "n", "hashes", "registers", "bits"])
     return run
 
 
@@ -309,9 +324,8 @@ def _grouped(docs: DataFrame, shingle_words: int, percent: int, id_col: str, tex
     wanted = shared.select("node").distinct().join(classes.select("node", "first", "set_key"), "node")
     first_text = texts["id"].eqNullSafe(F.col("first.id")) & (F.xxhash64(texts["text"]) == F.col("first.tag"))
     sets = keep(texts.join(wanted, first_text).select("text", "node", "set_key")
-                .mapInArrow(_fetcher(shingle_words), "node long, n long, hashes binary, registers binary")
-                .groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("hashes").alias("hashes"),
-                                     F.any_value("registers").alias("registers")))
+                .mapInArrow(_fetcher(shingle_words), "node long, n long, hashes binary, registers binary, bits array<long>")
+                .groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("n", "hashes", "registers", "bits"))))
     search = _Search(sets, percent)
     search.compare(shared.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     search.compare(_open_pairs(search, shared, percent))
@@ -333,7 +347,7 @@ def _open_pairs(search: _Search, shared: DataFrame, percent: int) -> DataFrame:
     mixed = (parts.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max("n").alias("most")).where("parts > 1"))
     main = parts.join(mixed, "band").where("n = most").groupBy("band").agg(F.min("label").alias("main"))
     rows = keep(rows.join(keep(main), "band"))
-    involved = search.sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", "n", "hashes")
+    involved = search.sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", "n", "hashes", "bits")
     found = involved.select("node", "hashes").mapInArrow(_hash_rows, "shingle long, node long")
     seldom = keep(found.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("holder"))
                   .where(F.col("holders") <= SELDOM))
@@ -357,17 +371,23 @@ def _open_pairs(search: _Search, shared: DataFrame, percent: int) -> DataFrame:
     explicit = one.join(two, (one["shingle"] == two["shingle"]) & (F.col("label_a") != F.col("label_b"))
                         & reaches(F.least("whole_a", "whole_b"), F.col("n_a"), F.col("n_b"))) \
         .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    rows = keep(rows.join(sizes, "node"))
+    rows = rows.join(sizes, "node").join(involved.select("node", "bits"), "node")
 
     # with the partner's size that suits it best, of those in the band
+    rows = keep(rows)
     ranges = rows.groupBy("band").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     best = F.greatest("low", F.least("high", "common"))
-    a = keep(rows.where("label != main").join(ranges, "band").where(reaches(F.least("common", best), F.col("n"), best))
-             .select("band", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"),
-                     F.col("common").alias("common_a")))
-    b = rows.select("band", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"),
-                    F.col("common").alias("common_b"))
-    possible = (a["label_a"] != b["label_b"]) & reaches(F.least("common_a", "common_b"), F.col("n_a"), F.col("n_b"))
+    rows = keep(rows.join(ranges, "band").withColumn("open", (F.col("label") != F.col("main")) & reaches(F.least("common", best), F.col("n"), best)))
+
+    def side(name: str) -> DataFrame:
+        return rows.select("band", F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("label", "n", "common", "bits", "open")))
+
+    a, b = side("a").where("open_a"), side("b")
+    differ = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(1, PARITY_BITS // 64)),
+                 F.bit_count(F.col("bits_a")[0].bitwiseXOR(F.col("bits_b")[0])))
+    possible = ((a["label_a"] != b["label_b"]) & (~b["open_b"] | (a["a"] < b["b"]))
+                & reaches(F.least("common_a", "common_b"), F.col("n_a"), F.col("n_b"))
+                & ((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))))
     return a.join(b, (a["band"] == b["band"]) & possible).select("a", "b").union(explicit)
 
 

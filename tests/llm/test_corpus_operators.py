@@ -310,6 +310,32 @@ def test_large_near_group(spark, k, percent):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in components(rows, k, percent)})
 
 
+def test_pages_of_one_template_are_not_paired(spark, monkeypatch):
+    """Texts that share most words but stay below the threshold: no pairs but those that may be links."""
+    some = np.random.default_rng(5)
+    rows = []
+    for i in range(150):
+        words = [f"w{k}" for k in range(220)]
+        for place in range(10, 220, 24):
+            words[place] = f"v{place}_{some.integers(12)}"
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, t.replace("w3 ", "zz ")) for i, t in rows[:5]]
+    pairs, formed = near_dedup._open_pairs, []
+    monkeypatch.setattr(near_dedup, "_open_pairs", lambda *a: formed.append(pairs(*a).distinct()) or formed[0])
+    out = near_dedup.near_duplicates(frame(spark, rows), 5, 80).select("doc_id", "n_shingles", "component_id").collect()
+    assert keyed(out) == keyed(components(rows, 5, 80))
+    assert formed[0].count() < 5 * len(rows)
+
+
+def test_parity_bits_bound_the_difference():
+    some = np.random.default_rng(6)
+    for size, other in ((1, 0), (200, 40), (3000, 900)):
+        both = np.unique(some.integers(0, 1 << 63, size + 2 * other).astype(np.uint64))
+        a, b = both[:size + other], np.append(both[:size], both[size + other:])
+        differ = sum(int(x).bit_count() for x in (near_dedup.parity_bits(a) ^ near_dedup.parity_bits(b)).view(np.uint64))
+        assert differ <= len(np.setxor1d(a, b)) and (differ > 0) == (other > 0)
+
+
 def test_near_dedup_keeps_unrelated_texts_with_null_or_shared_ids(spark):
     one, two, three = (" ".join(f"{c}{k}" for k in range(30)) for c in "abc")
     rows = [(None, one), (None, two), (None, two + " x"), (None, ""), (None, None), (None, " "),  # no ids
