@@ -1,8 +1,8 @@
 """License scans by diagonal voting.
 
 Every rolling run of ``K`` words of every text is joined, by hash and then by
-the words themselves, to the places of the license templates that have the
-same run. A hit votes for a diagonal: its place in the text minus its place in
+the words themselves, to the places of the license templates (passages of
+license texts and notices, ``license_texts``) that have the same run. A hit votes for a diagonal: its place in the text minus its place in
 the template. Votes are counted per text, template and diagonal, diagonals a
 few words apart (words were put in or left out) are merged, and a merged span
 counts if it covers enough of the template over a fitting length.
@@ -10,8 +10,8 @@ counts if it covers enough of the template over a fitting length.
 The base phrases are templates too. A phrase stands at a place exactly if all
 its runs vote for the same diagonal, which then is the place.
 
-Everything is DataFrame functions. The templates are a fixed table of a few
-hundred runs, which is what is broadcast. Texts are told apart by a hash of
+Everything is DataFrame functions. The given templates are a fixed table of some
+hundred runs, which is what is broadcast; a table of the caller's own is broadcast if Spark finds it small. Texts are told apart by a hash of
 their content, so copies add nothing but equal votes.
 
 Defined cases: a null or empty text has no words and score 0; texts shorter
@@ -21,10 +21,13 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clickflow.llm.common import keep
+from clickflow.llm.license_texts import PASSAGES
 
 K = 3
 #: What stands between words: ASCII but digits and letters.
@@ -35,19 +38,8 @@ BASE_PHRASES = (
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 )
-#: Fixed passages of well-known license texts, in normalised words.
-TEMPLATES = (
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
-     "documentation files the software to deal in the software without restriction", "mit"),
-    ("licensed under the apache license version 2 0 the license you may not use this file except in compliance "
-     "with the license you may obtain a copy of the license at", "apache-2"),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided that "
-     "the following conditions are met", "bsd"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general "
-     "public license as published by the free software foundation", "gpl"),
-    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2"),
-    ("this work is licensed under a creative commons attribution", "cc-by"),
-)
+#: The passages of license texts and notices, in normalised words.
+TEMPLATES = tuple((" ".join(re.split(SEPARATORS, text.lower())).strip(), label) for text, label in PASSAGES)
 #: Diagonals this far apart are one span; least share of a template's runs; length against the template's.
 MAX_SHIFT = 3
 LEAST_COVER = 0.6
@@ -90,7 +82,7 @@ def votes(docs: DataFrame, templates: DataFrame, text_col: str = "text") -> Data
             .select("content", "pos", F.xxhash64("run.a", "run.b", "run.c").alias("hash"), "run"))
     same = ((runs["hash"] == templates["hash"]) & (runs["run.a"] == templates["a"])
             & (runs["run.b"] == templates["b"]) & (runs["run.c"] == templates["c"]))
-    hits = runs.join(F.broadcast(templates), same)
+    hits = runs.join(templates, same)
     return hits.groupBy("content", "template", "base", "label", "runs", (F.col("pos") - F.col("at")).alias("diagonal")) \
         .agg(F.collect_set("at").alias("places"))
 
@@ -118,7 +110,7 @@ def spans(voted: DataFrame, max_shift: int = MAX_SHIFT, least_cover: float = LEA
 def license_digest(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, ``n_words``, base counts and places, labels and the best span's score."""
-    templates = template_runs(docs.sparkSession) if templates is None else templates
+    templates = F.broadcast(template_runs(docs.sparkSession)) if templates is None else templates
     found = spans(keep(votes(docs, templates, text_col)))
     base = F.when(F.col("base"), F.col("start"))
     per_text = keep(found.groupBy("content").agg(

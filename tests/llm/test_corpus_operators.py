@@ -500,6 +500,53 @@ def test_license_scan(spark, small, awkward):
     assert row.labels == "bsd" and row.base_labels == "" and 0.6 <= row.score < 1
 
 
+def plain_license(text, templates):
+    """Labels and best cover, diagonal by diagonal."""
+    w, labels, best = plain_words(text), set(), 0.0
+    grams = {}
+    for i in range(len(w) - licenses.K + 1):
+        grams.setdefault(tuple(w[i:i + licenses.K]), []).append(i)
+    for passage, label in templates:
+        p = passage.split()
+        runs = len(p) - licenses.K + 1
+        hits = sorted((i - at, at) for at in range(runs) for i in grams.get(tuple(p[at:at + licenses.K]), ()))
+        bands = []
+        for d, at in hits:
+            if not bands or d - bands[-1][-1][0] > licenses.MAX_SHIFT:
+                bands.append([])
+            bands[-1].append((d, at))
+        for band in bands:
+            cover = len({at for _, at in band}) / runs
+            length = max(d + at for d, at in band) + licenses.K - min(d + at for d, at in band)
+            if cover >= licenses.LEAST_COVER and length <= licenses.MOST_LENGTH * len(p):
+                labels.add(label)
+                best = max(best, cover)
+    return labels, best
+
+
+def test_license_passages(spark):
+    """Every passage is found in prose, whole and with words left out or put in, and agrees with a plain version."""
+    rows = []
+    for passage, label in licenses.TEMPLATES:
+        w = passage.split()
+        rows += [(len(rows), f"{PROSE}. {passage.upper()}, {PROSE}"), (len(rows) + 1, " ".join(w[:5] + ["very"] + w[5:])),
+                 (len(rows) + 2, " ".join(w[:len(w) // 2] + w[len(w) // 2 + 1:])), (len(rows) + 3, " ".join(w[:len(w) // 3]))]
+    got = {r.doc_id: r for r in licenses.license_digest(frame(spark, rows)).collect()}
+    for i, text in rows:
+        labels, best = plain_license(text, licenses.TEMPLATES)
+        _, n_base, _, _, base = base_places(text)
+        assert set(filter(None, got[i].labels.split(","))) == labels | set(filter(None, base.split(",")))
+        assert got[i].score == pytest.approx(1.0 if n_base else best)
+    whole = [got[i] for i, _ in rows[::4]]
+    assert all(label in r.labels.split(",") and r.score == 1 for r, (_, label) in zip(whole, licenses.TEMPLATES))
+    lesser = "free software; you can redistribute it under the terms of the GNU Lesser General Public License as published"
+    family = [(1, lesser), (2, lesser.replace("Lesser ", "")), (3, lesser.replace("Lesser", "Affero"))]
+    assert {r.doc_id: r.labels for r in licenses.license_digest(frame(spark, family)).collect()} == {1: "lgpl", 2: "gpl", 3: "agpl"}
+    own = licenses.template_runs(spark, [("one two three four five six", "prose", False)])
+    row, = licenses.license_digest(frame(spark, [(1, PROSE)]), own).collect()
+    assert row.labels == "prose" and row.score == 1
+
+
 # --- quality -------------------------------------------------------------------------
 
 def base_quality(text):
