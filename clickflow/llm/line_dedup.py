@@ -22,8 +22,8 @@ the numbered distinct lines, so two lines of one name are both looked at.
 Lines that meet under a key are compared with one hub line of the key first, and
 of a line's hubs with the least before the others. Pairs whose lines are then in one component need no check; of the others,
 those whose parities of letters and letter pairs differ by more than the edits can
-explain are never formed. What is left is verified by a banded bit-parallel automaton,
-many pairs at a time.
+explain are never formed, and any other only once, under the least key it shares. What is left
+is verified by a banded bit-parallel automaton, many pairs at a time.
 
 Defined cases: lines without a word are never removed; a null or empty text
 has no lines; null ids come first, repeated rows in a fixed order, so only one of
