@@ -7,9 +7,13 @@ so a match is a run of whole words. Each document is scanned once; matches
 give word positions, which lead back to the original text.
 
 The automaton is built in each task from a broadcast list of windows. That
-list is the benchmark's, not the corpus's, and its size is checked: above
-``max_window_bytes`` the windows are dealt into several automata, and the
-corpus is scanned once for each, so no task ever holds more.
+list is the benchmark's, not the corpus's, and its size is checked, item ids
+included. Up to ``max_window_bytes`` one automaton knows the items of every
+window, and documents are marked where they are read. Above it the windows are
+dealt into lists of that size, which name their items by the digest of the set
+only. The lists go to the tasks one after another; each scan keeps findings,
+not texts, and the items are joined to the digests in Spark. So neither the
+driver nor a task ever holds more than one list, and the results are the same.
 
 Defined cases: a null or empty text has no words; an item without words has
 no window; an item whose id is null is ignored; repeated item ids count once;
@@ -27,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickflow.llm.common import PLAIN_TABLE, PLAIN_WORD, keep, utf8
+from clickflow.llm.common import PLAIN_TABLE, PLAIN_WORD, free_name, keep, utf8
 
-#: Bytes of windows that one automaton takes (some 30 times that in memory).
+#: Bytes of windows and their items' ids that one automaton takes (some 30 times that in memory).
 MAX_WINDOW_BYTES = 8 << 20
 
 
@@ -62,36 +66,39 @@ def item_windows(items: DataFrame, width: int, id_col: str = "item_id", text_col
     return found.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def _automaton(windows: list[tuple[str, list[str]]]):
+def _automaton(windows: list[tuple[str, list]]):
     import ahocorasick
 
     auto = ahocorasick.Automaton()
-    for window, items in windows:
+    for window, names in windows:
         # one character per byte, so that positions are byte positions
-        auto.add_word(f" {window} ".encode().decode("latin-1"), (window.count(" ") + 1, tuple(items)))
+        auto.add_word(f" {window} ".encode().decode("latin-1"), (window.count(" ") + 1, tuple(names)))
     auto.make_automaton()
     return auto
 
 
-def scan_words(auto, text_words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-    """Merged runs of hit words (start, end) and the items found."""
+def scan_words(auto, text_words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
+    """Merged runs of hit words (start, end) and the names that the automaton's windows found carry."""
     import numpy as np
 
     joined = b" " + b" ".join(text_words) + b" "
-    found = [(end, n, items) for end, (n, items) in auto.iter(joined.decode("latin-1"))]
+    found = [(end, n, names) for end, (n, names) in auto.iter(joined.decode("latin-1"))]
     if not found:
         return [], set()
     spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20)
     ends = np.searchsorted(spaces, [end for end, _, _ in found]).tolist()
-    runs: list[tuple[int, int]] = []
-    names: set[str] = set()
-    for end, (_, n, items) in sorted(zip(ends, found), key=lambda x: x[0] - x[1][1]):
-        names.update(items)
-        if runs and end - n <= runs[-1][1]:
-            runs[-1] = (runs[-1][0], max(runs[-1][1], end))
+    return merged([(end - n, end) for end, (_, n, _) in zip(ends, found)]), set().union(*(names for _, _, names in found))
+
+
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted runs, those that meet or touch as one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(runs):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
         else:
-            runs.append((end - n, end))
-    return runs, names
+            out.append((start, end))
+    return out
 
 
 def original_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -104,14 +111,22 @@ def _lower_ascii(text: str) -> str:
     return text.translate({c: c + 32 for c in range(0x41, 0x5B)})
 
 
-_FOUND = T.StructType([
-    T.StructField("n_words", T.LongType()),
-    T.StructField("runs", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
-    T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
-    T.StructField("items", T.ArrayType(T.StringType()))])
+_RUNS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("runs", _RUNS), T.StructField("spans", _RUNS),
+                       T.StructField("items", T.ArrayType(T.StringType()))])
+
+
+def _structs(runs: list[tuple[int, int]]) -> list[dict]:
+    return [{"start": a, "end": b} for a, b in runs]
+
+
+def _marked(text: bytes | None, text_words: list[bytes], runs: list[tuple[int, int]], names) -> dict:
+    return {"n_words": len(text_words), "runs": _structs(runs),
+            "spans": _structs(original_spans(text.decode(), runs) if runs else []), "items": sorted(names)}
 
 
 def _scanner(shared, text_at: int, schema):
+    """Every row with its struct of ``_FOUND``; the broadcast windows carry their items."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -122,38 +137,86 @@ def _scanner(shared, text_at: int, schema):
             out = []
             for text in utf8(batch.column(text_at)):
                 w = words(text)
-                runs, names = scan_words(auto, w) if w and len(auto) else ([], set())
-                spans = original_spans(text.decode(), runs) if runs else []
-                out.append({"n_words": len(w), "runs": [{"start": a, "end": b} for a, b in runs],
-                            "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(names)})
+                out.append(_marked(text, w, *(scan_words(auto, w) if w and len(auto) else ([], set()))))
             found = pa.array(out, schema.field(len(schema) - 1).type)
             yield pa.RecordBatch.from_arrays([*(batch.column(i).cast(schema.field(i).type) for i in range(batch.num_columns)),
                                               found], schema=schema)
     return run
 
 
-def _dealt(windows: DataFrame, max_bytes: int) -> list[list[tuple[str, list[str]]]]:
-    """The windows in lists of at most ``max_bytes`` bytes (by measured size, before any is fetched)."""
-    size = windows.agg(F.sum(F.octet_length("window") + 64)).first()[0] or 0
-    n = -(-size // max_bytes) or 1
-    part = F.pmod(F.xxhash64("window"), F.lit(n))
-    return [[(r["window"], r["items"]) for r in windows.where(part == i).toLocalIterator()] for i in range(n)]
+_FINDING = T.StructType([T.StructField("row", T.LongType()), T.StructField("runs", _RUNS),
+                         T.StructField("sets", T.ArrayType(T.BinaryType()))])
+
+
+def _finder(shared, schema):
+    """(row, text) to the findings of one list of windows, which carry digests of item sets."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        auto = None
+        for batch in batches:
+            if auto is None and batch.num_rows:
+                auto = _automaton(shared.value)
+            out = []
+            for row, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+                w = words(text)
+                runs, sets = scan_words(auto, w) if w and len(auto) else ([], ())
+                if runs:
+                    out.append({"row": row, "runs": _structs(runs), "sets": sorted(sets)})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+    return run
+
+
+def _finisher(text_at: int, schema):
+    """Rows with the runs and items of all lists (last two columns) to rows with their struct of ``_FOUND``."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        width = len(schema) - 1
+        for batch in batches:
+            out = []
+            for text, runs, names in zip(utf8(batch.column(text_at)), batch.column(width).to_pylist(),
+                                         batch.column(width + 1).to_pylist()):
+                out.append(_marked(text, words(text), merged([(r["start"], r["end"]) for r in runs or ()]), names or ()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).cast(schema.field(i).type) for i in range(width)),
+                                              pa.array(out, schema.field(width).type)], schema=schema)
+    return run
+
+
+def _found_in_one(docs: DataFrame, windows: DataFrame, text_col: str, found_col: str) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_schema
 
+    schema = T.StructType([*docs.schema.fields, T.StructField(found_col, _FOUND)])
+    shared = docs.sparkSession.sparkContext.broadcast([(r["window"], r["items"]) for r in windows.toLocalIterator()])
+    return docs.mapInArrow(_scanner(shared, docs.columns.index(text_col), to_arrow_schema(schema)), schema)
 
-def _merge_runs(name: str):
-    """SQL: the union of two sorted lists of disjoint spans as such a list."""
-    both = F.array_sort(F.concat(f"_old.{name}", f"_new.{name}"))
-    start = F.array().cast("array<struct<start:bigint,end:bigint>>")
 
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        return (F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= x["start"]),
-                       F.concat(F.slice(acc, 1, F.size(acc) - 1),
-                                F.array(F.struct(last["start"].alias("start"),
-                                                 F.greatest(last["end"], x["end"]).alias("end")))))
-                .otherwise(F.concat(acc, F.array(x))))
+def _found_in_lists(docs: DataFrame, windows: DataFrame, lists: int, text_col: str, found_col: str) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    return F.aggregate(both, start, step)
+    sc = docs.sparkSession.sparkContext
+    row, runs, names = (free_name(docs, x) for x in ("row", "runs", "names"))
+    # a row's number is fixed by writing it; texts are written once, whatever the number of lists
+    rows = keep(docs.withColumn(row, F.monotonically_increasing_id()))
+    texts = rows.select(F.col(row).alias("row"), F.col(text_col).alias("text"))
+    dealt = keep(windows.select("window", "items", F.unhex(F.sha2(F.to_json("items"), 256)).alias("set"),
+                                F.pmod(F.xxhash64("window"), F.lit(lists)).alias("list")))
+    found = None
+    for i in range(lists):
+        shared = sc.broadcast([(r["window"], [bytes(r["set"])])
+                               for r in dealt.where(F.col("list") == i).select("window", "set").toLocalIterator()])
+        one = keep(texts.mapInArrow(_finder(shared, to_arrow_schema(_FINDING)), _FINDING))
+        shared.destroy()
+        found = one if found is None else found.unionByName(one)
+    found = keep(found)
+    sets = dealt.select("set", "items").dropDuplicates(["set"]).select("set", F.explode("items").alias("item"))
+    items = (found.select("row", F.explode("sets").alias("set")).distinct().join(sets, "set")
+             .groupBy("row").agg(F.array_sort(F.collect_set("item")).alias(names)))
+    spans = found.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias(runs))
+    marks = keep(spans.join(items, "row").withColumnRenamed("row", row))
+    schema = T.StructType([*docs.schema.fields, T.StructField(found_col, _FOUND)])
+    return (rows.join(marks, row, "left").select(*docs.columns, runs, names)
+            .mapInArrow(_finisher(docs.columns.index(text_col), to_arrow_schema(schema)), schema))
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text",
@@ -161,24 +224,13 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, text
                        max_window_bytes: int = MAX_WINDOW_BYTES) -> DataFrame:
     """``docs`` with a struct ``found_col``: ``n_words``, ``runs`` (hit words), ``spans`` (their code
     points in the text) and ``items`` (ids, sorted as strings)."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    sc = docs.sparkSession.sparkContext
-    lists = _dealt(keep(item_windows(items, window, item_id_col, item_text_col)), max_window_bytes)
-    out = docs
-    for k, windows in enumerate(lists):
-        name = found_col if k == 0 else "_new"
-        schema = T.StructType([*out.schema.fields, T.StructField(name, _FOUND)])
-        out = out.mapInArrow(_scanner(sc.broadcast(windows), docs.columns.index(text_col), to_arrow_schema(schema)), schema)
-        if k:
-            out = out.withColumnRenamed(found_col, "_old")
-            out = out.select(*docs.columns, F.struct(
-                F.col("_old.n_words").alias("n_words"), _merge_runs("runs").alias("runs"),
-                _merge_runs("spans").alias("spans"),
-                F.array_sort(F.array_union("_old.items", "_new.items")).alias("items")).alias(found_col))
-        if len(lists) > 1:
-            out = keep(out)  # one automaton in memory at a time
-    return out
+    windows = keep(item_windows(items, window, item_id_col, item_text_col))
+    names = F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 64)
+    size = F.octet_length("window") + F.lit(64).cast("long")
+    own, whole = windows.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(size + names), F.lit(0))).first()
+    if whole <= max_window_bytes:
+        return _found_in_one(docs, windows, text_col, found_col)
+    return _found_in_lists(docs, windows, -(-own // max_window_bytes), text_col, found_col)
 
 
 def n_hit(found) -> F.Column:
@@ -192,6 +244,6 @@ def items_digest(items) -> str:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` without the documents in which a window of an item occurs."""
-    found_col = next(c for c in (f"_found{i}" for i in range(len(docs.columns) + 1)) if c not in docs.columns)
+    found_col = free_name(docs, "found")
     marked = find_contamination(docs, items, window, found_col=found_col)
     return marked.where(F.size(F.col(found_col)["runs"]) == 0).select(*docs.columns)

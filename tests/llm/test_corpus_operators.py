@@ -683,7 +683,7 @@ def test_decontamination(spark, small):
     assert [tuple(got[i]) for i, *_ in expected] == expected
 
 
-@pytest.mark.parametrize("max_bytes", [8 << 20, 200])
+@pytest.mark.parametrize("max_bytes", [8 << 20, 1_000, 200])
 def test_decontamination_awkward(spark, awkward, max_bytes):
     items = [(1, PROSE), (2, "five SIX"), (2, "five SIX"), (10, None), (11, ""), (None, "word"), (12, "a"), (13, PROSE[8:])]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -695,12 +695,32 @@ def test_decontamination_awkward(spark, awkward, max_bytes):
     for r in found:
         for run, span in zip(r.found.runs, r.found.spans):
             assert plain_words(r.text[span.start:span.end]) == plain_words(r.text)[run.start:run.end]
+    one = decontaminate.find_contamination(awkward.drop("found"), bench).collect()
+    assert keyed((r.row, str(r.found)) for r in found) == keyed((r.row, str(r.found)) for r in one)
     kept = decontaminate.drop_contaminated(awkward, bench)
     assert kept.columns == awkward.columns
     assert keyed((r.doc_id,) for r in kept.collect()) == keyed((x[0],) for x in expected if not x[5])
     assert decontaminate.drop_contaminated(awkward, bench.limit(0)).count() == len(AWKWARD)
 
 
+def test_an_instruction_that_all_items_share(spark):
+    """Items in every window: their ids alone exceed the limit; runs that only touch stay one span."""
+    words = [f"w{k}" for k in range(60)]
+    ask = "choose the best of the four answers below and give a reason"
+    items = [(k, f"{ask} {words[k]} " + " ".join(words[k:k + 12])) for k in range(40)]
+    docs = [(1, f"x {ask.title()}! {' '.join(words[5:17])}, y"), (2, " ".join(words)), (3, "nothing of it"), (4, None), (4, ask),
+            (5, " ".join([*words[0:12], *words[30:42]]))]
+    plain = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = [keyed((r.doc_id, str(r.found)) for r in decontaminate.find_contamination(plain, bench, max_window_bytes=n).collect())
+           for n in (8 << 20, 30_000, 3_000)]
+    assert out[0] == out[1] == out[2]
+    digests = [(i, f.n_words, sum(x.end - x.start for x in f.runs), len(f["items"]), decontaminate.items_digest(f["items"]), bool(f.runs))
+               for i, f in ((r.doc_id, r.found) for r in decontaminate.find_contamination(plain, bench, max_window_bytes=3_000).collect())]
+    assert keyed(digests) == keyed(contaminated(docs, items))
+    assert decontaminate.drop_contaminated(plain, bench).count() == 2
+
+
 # --- pipeline ------------------------------------------------------------------------
 
 def test_pipeline(spark):
