@@ -15,9 +15,15 @@ undecided ones are dealt into groups again, until a source has one left,
 which is decided by its own probability. All random numbers are hashes of
 document, seed and level, so the same rows always give the same mix.
 
+Rows equal in id, source and text are one document with a weight: ``n`` of them
+expect ``n`` times the copies, of which the whole part is taken outright, and
+share what they get evenly. They are counted where they lie and numbered by
+stretches (the equal rows of one partition), so however many there are, no
+task holds them all.
+
 Defined cases: a null text has size 0; documents of size 0 are taken as often
 as the whole part says and settle their fraction by themselves; a null source
-is a source of its own, last in order; repeated rows are dealt like others; null ids
+is a source of its own, last in order; repeated rows are a document with a weight; null ids
 are ordinary values; other columns are ignored by ``mix_sizes`` and kept by
 ``mixed_documents``.
 """
@@ -35,8 +41,11 @@ GROUP_DOCS = 2_000
 FAN_IN = 500
 
 
-def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_copies: float = 2.0) -> DataFrame:
-    """Per source: ``source_size``, ``docs`` and ``target`` words.
+def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_copies: float = 2.0,
+                   times_col: str | None = None) -> DataFrame:
+    """Per source: ``source_size``, ``docs`` (rows of ``sizes``) and ``target`` words.
+
+    A row counts as often as ``times_col`` says, once without it.
 
     Sources in code point order (null last) weigh ``weights`` in turn and
     share ``share`` times all words; none gets more than ``max_copies`` times
@@ -45,7 +54,8 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_
     weight; the rate follows from the sources sorted by limit per weight.
     The windows run over one row per source.
     """
-    own = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
+    times = F.col(times_col) if times_col else F.lit(1)
+    own = sizes.groupBy("source").agg(F.sum(F.col("size") * times).alias("source_size"), F.count(F.lit(1)).alias("docs"))
     in_order = Window.orderBy(F.col("source").asc_nulls_last())
     turn = F.pmod(F.row_number().over(in_order) - 1, F.lit(len(weights)))
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (turn + 1).cast("int"))
@@ -132,18 +142,41 @@ _SETTLED = T.StructType([
     T.StructField("size", T.LongType()), T.StructField("p", T.DoubleType()), T.StructField("extra", T.IntegerType())])
 
 
+def _stretches(rows: DataFrame, same: list[str]) -> DataFrame:
+    """``rows`` with the stretch each lies in: its ``first`` row, its ``length``, and the row's ``index`` in it.
+
+    A stretch is the rows equal in ``same`` of one partition of the table in which ``row`` was fixed
+    (``monotonically_increasing_id`` has the partition above bit 33).
+    """
+    stretch = Window.partitionBy(*same, F.shiftright("row", 33))
+    return (rows.withColumn("index", F.row_number().over(stretch.orderBy("row")) - 1)
+            .withColumn("first", F.min("row").over(stretch)).withColumn("length", F.count(F.lit(1)).over(stretch)))
+
+
+def _heads(stretches: DataFrame, same: list[str]) -> DataFrame:
+    """The first row of each stretch, with the equal rows ``before`` it, their ``total`` and the first of all (``doc``)."""
+    alike = Window.partitionBy(*same)
+    return (stretches.where(F.col("index") == 0)
+            .withColumn("before", F.sum("length").over(alike.orderBy("row")) - F.col("length"))
+            .withColumn("total", F.sum("length").over(alike)).withColumn("doc", F.min("row").over(alike)))
+
+
 def mix_rows(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_copies: float = 2.0, seed: int = 1,
              group_docs: int = GROUP_DOCS, fan_in: int = FAN_IN) -> DataFrame:
     """``rows`` (row, tie, source, size; one per document) with ``source_size``, ``target`` and ``copies``.
 
-    ``row`` tells the rows apart; ``tie`` is a hash of the document.
+    ``row`` tells the rows apart, fixed by ``monotonically_increasing_id``; ``tie`` is a hash of the document.
     """
-    targets = keep(source_targets(rows, weights, share, max_copies))
+    same = ["tie", "source", "size"]
+    placed = keep(_stretches(rows, same))
+    heads = keep(_heads(placed, same))
+    docs = heads.where(F.col("row") == F.col("doc")).select("row", *same, "total")
+    targets = keep(source_targets(docs, weights, share, max_copies, "total"))
     # one row per source; Spark broadcasts it only below its own size limit
-    joined = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    joined = docs.join(targets, docs["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     average = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    planned = keep(joined.withColumn("average", average).withColumn("whole", F.floor("average").cast("int"))
-                   .withColumn("p", F.col("average") - F.col("whole")).drop("average"))
+    planned = keep(joined.withColumn("expected", average * F.col("total")).withColumn("whole", F.floor("expected"))
+                   .withColumn("p", F.col("expected") - F.col("whole")).drop("expected"))
 
     largest = planned.agg(F.max("docs")).first()[0] or 0
     groups = lambda n: F.ceil(n / F.lit(group_docs)).cast("long")
@@ -162,8 +195,15 @@ def mix_rows(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_copies:
     extra = decided[0]
     for more in decided[1:]:
         extra = extra.unionByName(more)
-    return planned.join(extra, "row", "left").select(
-        *rows.columns, "source_size", "target", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("copies"))
+    taken = planned.join(extra, "row", "left").select(
+        F.col("row").alias("doc"), "source_size", "target", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("taken"))
+    # equal rows share evenly; the first of them get what is over
+    shares = heads.join(taken, "doc").select(
+        "first", "source_size", "target", F.expr("taken div total").alias("each"),
+        (F.col("taken") % F.col("total") - F.col("before")).alias("over"))
+    return placed.join(shares, "first").select(
+        *rows.columns, "source_size", "target",
+        (F.col("each") + (F.col("index") < F.col("over")).cast("int")).cast("int").alias("copies"))
 
 
 def word_count(text) -> F.Column:
@@ -200,12 +240,17 @@ def mixed_documents(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_
     """
     rows = _numbered(docs, id_col, text_col, source_col)
     mixed = mix_rows(rows, weights, share, max_copies, seed)
-    tie, copies, equal, number, take, copy = (free_name(docs, x) for x in ("tie", "copies", "equal", "number", "take", "copy"))
+    tie, copies, equal, row, place, take, copy = (
+        free_name(docs, x) for x in ("tie", "copies", "equal", "row", "place", "take", "copy"))
     counts = keep(mixed.groupBy(F.col("tie").alias(tie)).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(equal))
                   .where(F.col(copies) > 0))
-    joined = docs.withColumn(tie, _tie(id_col, text_col, source_col)).join(counts, tie)
-    # after the join, rows with equal ties stand together already: numbering them shuffles nothing
-    joined = joined.withColumn(number, F.row_number().over(Window.partitionBy(tie).orderBy(tie)))
-    own = F.floor(F.col(copies) / F.col(equal)) + (F.col(number) <= F.col(copies) % F.col(equal)).cast("int")
-    return (joined.withColumn(take, own.cast("int")).where(F.col(take) > 0)
+    tied = docs.withColumn(tie, _tie(id_col, text_col, source_col))
+    single = tied.join(counts.where(F.col(equal) == 1), tie).withColumn(take, F.col(copies).cast("int"))
+    several = keep(tied.join(counts.where(F.col(equal) > 1), tie).withColumn(row, F.monotonically_increasing_id()))
+    placed = _stretches(several.select(F.col(row).alias("row"), F.col(tie).alias("tie")), ["tie"])
+    places = placed.join(_heads(placed, ["tie"]).select("first", "before"), "first").select(
+        F.col("row").alias(row), (F.col("before") + F.col("index")).alias(place))
+    own = F.floor(F.col(copies) / F.col(equal)) + (F.col(place) < F.col(copies) % F.col(equal)).cast("int")
+    shared = several.join(places, row).withColumn(take, own.cast("int"))
+    return (single.select(*docs.columns, take).unionByName(shared.select(*docs.columns, take)).where(F.col(take) > 0)
             .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(take)))).select(*docs.columns))

@@ -654,6 +654,31 @@ def test_mixing_several_levels(spark):
     check_mix(rows, [out[i] for i, _, _ in rows])
 
 
+def test_mixing_of_a_document_that_holds_a_third_of_all_rows(spark):
+    """Equal rows are one document with a weight: they fill no group, and share their copies evenly."""
+    same = (7, "one two three four five", "a")
+    rows = [same] * 400 + [(100 + n, "w " * (1 + n % 17), ("a", "b", None)[n % 3]) for n in range(800)]
+    docs = spark.createDataFrame([(*r, f"extra{n}") for n, r in enumerate(rows)],
+                                 "doc_id long, text string, source string, row string").repartition(12)
+    numbered = mixing._numbered(docs, "doc_id", "text", "source")
+    out = mixing.mix_rows(numbered, group_docs=20, fan_in=3).collect()
+    assert len({r.row for r in out}) == len(out) == len(rows)
+    by_id = defaultdict(list)
+    for r in out:
+        by_id[r.id].append(r)
+    check_mix(rows, [by_id[i].pop() for i, _, _ in rows])
+    copies = Counter(r.copies for r in out if r.id == 7)
+    average = next(r.target / r.source_size for r in out if r.id == 7)
+    assert len(copies) <= 2 and abs(sum(c * n for c, n in copies.items()) - 400 * average) <= 1
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    taken = Counter(r.row for r in mixed.collect() if r.doc_id == 7)
+    assert set(taken) <= {f"extra{n}" for n in range(400)}
+    assert max(taken.values()) - (min(taken.values()) if len(taken) == 400 else 0) <= 1
+    expected = sum(r.copies for r in mixing.mix_sizes(docs).collect() if r.doc_id == 7)
+    assert sum(taken.values()) == expected
+
+
 # --- decontamination -------------------------------------------------------------------
 
 def contaminated(rows, items, width=10):
