@@ -28,7 +28,7 @@ from clickflow.session import ensure_checkpoint_dir
 from clickflow.sources.bucketed import write_bucketed, write_bucketed_sessions
 from clickflow.sources.ga4 import read_source
 from clickflow.streaming.daily import start_daily_refresh
-from clickflow_fixtures.adapter import ga4_tables_folder, ga4_tables_materialized
+from clickflow_fixtures.adapter import ga4_events_from_flat, ga4_flat_events, ga4_tables_folder, ga4_tables_materialized
 from clickflow_fixtures.crm import crm_export_from_events, write_crm_csv, write_untidy_crm_csv
 from clickflow_fixtures.oracle import END, ORACLE_SQL, START
 
@@ -107,7 +107,8 @@ def _funnel_session_pivot_bucketed(spark, d):
 def _ab_events_bucketed(spark, d):
     """U15 / J3 over events bucketed by user."""
     path, prefix = _bucketed_folder(spark)
-    ev = write_bucketed(_t(spark, d).events, f"{prefix}_events_by_user", path, "user_pseudo_id", buckets=8).rows
+    ev = write_bucketed(ga4_flat_events(spark, d), f"{prefix}_events_by_user", path, "user_pseudo_id", buckets=8,
+                        shape=ga4_events_from_flat).rows
     return abtest.ab_events(ev, abtest.ab_isolated_cohort(ev, TEST_ID, START, END), START, END)
 
 

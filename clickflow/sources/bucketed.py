@@ -9,12 +9,15 @@ A bucket is read by one task, and neither AQE nor a map-side aggregation can
 split a key that a bucket holds whole. So :func:`write_bucketed` first looks
 at the greatest share of rows that one key has and refuses a table where it is too
 large; such a table is better left to the default layout, whose joins pre-aggregate and split.
+The number of buckets grows with the rows, so a task sorts and reads about
+``ROWS_PER_BUCKET`` of them however large the table is.
 Rows without a key would all fall into one bucket: they match nothing and are
 kept beside the buckets, in a table of their own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +25,9 @@ from pyspark.sql import functions as F
 
 from clickflow.sources.ga4 import Ga4Tables
 
+# Rows that one bucket holds about; whole events take some 2 KB each in memory.
+ROWS_PER_BUCKET = 100_000
+
 
 @dataclass(frozen=True)
 class BucketedTable:
@@ -31,24 +37,57 @@ class BucketedTable:
     without_key: DataFrame
 
 
-def largest_share(df: DataFrame, key: str) -> float:
-    """The greatest share of the rows with a key that one key has (partial aggregation; 0 for an empty table)."""
+def _key_sizes(df: DataFrame, key: str) -> tuple[int, int]:
+    """Rows of the most frequent key, and rows with a key (partial aggregation)."""
     sizes = df.where(F.col(key).isNotNull()).groupBy(key).count()
     most, total = sizes.agg(F.max("count"), F.sum("count")).first()
+    return most or 0, total or 0
+
+
+def largest_share(df: DataFrame, key: str) -> float:
+    """The greatest share of the rows with a key that one key has (0 for an empty table)."""
+    most, total = _key_sizes(df, key)
     return most / total if total else 0.0
 
 
-def write_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int, max_share: float = 0.05) -> BucketedTable:
-    """Write ``df`` as table ``name`` under ``path``, bucketed and sorted by ``key``, one file per bucket."""
-    share = largest_share(df, key)
+def _checked_rows(df: DataFrame, key: str, buckets: int, max_share: float) -> int:
+    """The rows with a key; a table where one key has too many of them is refused."""
+    most, total = _key_sizes(df, key)
+    share = most / total if total else 0.0
     if share > max(max_share, 2 / buckets):
         raise ValueError(f"one {key} has {share:.0%} of the rows, which one task would read; use the default layout")
+    return total
+
+
+def _bucket_count(spark: SparkSession, rows: int, least: int) -> int:
+    """At least ``least``, and one for every ``ROWS_PER_BUCKET`` rows up to what Spark allows."""
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    return max(least, min(most, -(-rows // ROWS_PER_BUCKET)))
+
+
+def _write(df: DataFrame, name: str, path: str, key: str, buckets: int,
+           shape: Callable[[DataFrame], DataFrame] | None) -> BucketedTable:
     spark, base = df.sparkSession, path.rstrip("/")
+    shape = shape or (lambda rows: rows)
     # dealt by the hash that buckets use, so every task writes one bucket
-    (df.where(F.col(key).isNotNull()).repartition(buckets, key)
+    (shape(df.where(F.col(key).isNotNull()).repartition(buckets, key))
      .write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", f"{base}/{name}").saveAsTable(name))
-    df.where(F.col(key).isNull()).write.mode("overwrite").parquet(f"{base}/{name}_without_key")
-    return BucketedTable(spark.table(name), spark.read.schema(df.schema).parquet(f"{base}/{name}_without_key"))
+    without = shape(df.where(F.col(key).isNull()))
+    without.write.mode("overwrite").parquet(f"{base}/{name}_without_key")
+    return BucketedTable(spark.table(name), spark.read.schema(without.schema).parquet(f"{base}/{name}_without_key"))
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int, max_share: float = 0.05,
+                   shape: Callable[[DataFrame], DataFrame] | None = None) -> BucketedTable:
+    """Write ``df`` as table ``name`` under ``path``, bucketed and sorted by ``key``, one file per bucket.
+
+    ``buckets`` is the least number; a table of more rows than ``ROWS_PER_BUCKET``
+    each gets more. With ``shape``, a narrow function that leaves ``key`` as it is,
+    the rows of ``df`` are dealt first and ``shape`` makes the written rows of
+    them in place: what it adds is never shuffled.
+    """
+    rows = _checked_rows(df, key, buckets, max_share)
+    return _write(df, name, path, key, _bucket_count(df.sparkSession, rows, buckets), shape)
 
 
 def write_bucketed_sessions(tables: Ga4Tables, prefix: str, path: str, buckets: int, max_share: float = 0.05) -> tuple[BucketedTable, DataFrame]:

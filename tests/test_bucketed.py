@@ -58,3 +58,37 @@ def test_a_hot_key_is_refused(spark, tmp_path):
     with pytest.raises(ValueError, match="default layout"):
         write_bucketed(df, "hot_table", str(tmp_path), "k", 64)
     assert largest_share(df.limit(0), "k") == 0.0
+
+
+def bucket_number(spark, name):
+    return int(spark.sql(f"DESCRIBE EXTENDED `{name}`").where("col_name = 'Num Buckets'").first()["data_type"])
+
+
+def test_buckets_grow_with_the_rows(spark, tables001, tmp_path, no_broadcast, monkeypatch):
+    monkeypatch.setattr("clickflow.sources.bucketed.ROWS_PER_BUCKET", 70)
+    name, ev = f"t_{uuid.uuid4().hex[:8]}", tables001.events
+    ev = ev.withColumn("user_pseudo_id", F.when(F.col("event_id") % 50 != 0, F.col("user_pseudo_id")))
+    keyed = ev.where("user_pseudo_id is not null").count()
+    table = write_bucketed(ev, name, str(tmp_path), "user_pseudo_id", 4, max_share=0.5)
+    assert bucket_number(spark, name) == -(-keyed // 70) > 4
+    got = abtest.ab_events(table.rows, abtest.ab_isolated_cohort(table.rows, "TABW131", S, E), S, E)
+    plan = physical_plan(got)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    keyed_events = ev.where("user_pseudo_id is not null")
+    assert as_set(got) == as_set(abtest.ab_events(ev, abtest.ab_isolated_cohort(keyed_events, "TABW131", S, E), S, E))
+    assert as_set(table.rows.unionByName(table.without_key)) == as_set(ev)
+    drop_tables(spark, name)
+
+
+def test_flat_rows_are_dealt_before_they_are_made_wide(spark, tables001, tmp_path, monkeypatch):
+    """What is dealt to the buckets are the flat rows; the query returns what the default layout does."""
+    import __spark_entry__ as entry
+
+    dealt, repartition = [], type(tables001.events).repartition
+    monkeypatch.setattr(type(tables001.events), "repartition",
+                        lambda self, n, *key: (key and dealt.append(self.columns), repartition(self, n, *key))[1])
+    d = "/root/testdata/sf0.001"
+    got = entry.queries()["ab_events_bucketed"](spark, d)
+    assert dealt and all("items" not in columns for columns in dealt)
+    monkeypatch.undo()
+    assert as_set(got) == as_set(entry.queries()["ab_events"](spark, d))
