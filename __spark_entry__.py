@@ -11,6 +11,7 @@ import os
 import sys
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,7 +101,8 @@ def _bucketed_folder(spark):
 def _funnel_session_pivot_bucketed(spark, d):
     """U2 / J1 over events and sessions bucketed by session."""
     path, prefix = _bucketed_folder(spark)
-    events, sessions = write_bucketed_sessions(_t(spark, d), prefix, path, buckets=8)
+    flat = replace(_t(spark, d), events=ga4_flat_events(spark, d))
+    events, sessions = write_bucketed_sessions(flat, prefix, path, buckets=8, shape=ga4_events_from_flat)
     return funnel.funnel_pivot_bucketed(events, sessions, START, END)
 
 

@@ -90,11 +90,19 @@ def write_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int,
     return _write(df, name, path, key, _bucket_count(df.sparkSession, rows, buckets), shape)
 
 
-def write_bucketed_sessions(tables: Ga4Tables, prefix: str, path: str, buckets: int, max_share: float = 0.05) -> tuple[BucketedTable, DataFrame]:
-    """Events and sessions bucketed alike by ``session_id``: (events, sessions)."""
-    events = write_bucketed(tables.events, f"{prefix}_events_by_session", path, "session_id", buckets, max_share)
+def write_bucketed_sessions(tables: Ga4Tables, prefix: str, path: str, buckets: int, max_share: float = 0.05,
+                            shape: Callable[[DataFrame], DataFrame] | None = None) -> tuple[BucketedTable, DataFrame]:
+    """Events and sessions bucketed alike by ``session_id``: (events, sessions).
+
+    Both get the number of buckets that the larger one needs. ``shape`` makes
+    the events' rows after they are dealt, as in :func:`write_bucketed`.
+    """
+    key = "session_id"
+    rows = max(_checked_rows(t, key, buckets, max_share) for t in (tables.events, tables.sessions))
+    buckets = _bucket_count(tables.events.sparkSession, rows, buckets)
+    events = _write(tables.events, f"{prefix}_events_by_session", path, key, buckets, shape)
     # sessions without an id match nothing
-    sessions = write_bucketed(tables.sessions, f"{prefix}_sessions_by_session", path, "session_id", buckets, max_share)
+    sessions = _write(tables.sessions, f"{prefix}_sessions_by_session", path, key, buckets, None)
     return events, sessions.rows
 
 

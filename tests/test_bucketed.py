@@ -92,3 +92,29 @@ def test_flat_rows_are_dealt_before_they_are_made_wide(spark, tables001, tmp_pat
     assert dealt and all("items" not in columns for columns in dealt)
     monkeypatch.undo()
     assert as_set(got) == as_set(entry.queries()["ab_events"](spark, d))
+
+
+def test_events_and_sessions_get_as_many_buckets(spark, tables001, tmp_path, no_broadcast, monkeypatch):
+    monkeypatch.setattr("clickflow.sources.bucketed.ROWS_PER_BUCKET", 70)
+    prefix, t = f"t_{uuid.uuid4().hex[:8]}", tables001
+    events, sessions = write_bucketed_sessions(t, prefix, str(tmp_path), buckets=4)
+    numbers = {bucket_number(spark, f"{prefix}_{x}_by_session") for x in ("events", "sessions")}
+    assert numbers == {-(-t.events.count() // 70)}
+    pivot = funnel.funnel_pivot_bucketed(events, sessions, S, E)
+    plan = physical_plan(pivot)
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    assert as_set(pivot) == as_set(funnel.funnel_pivot(t.events, t.sessions, S, E))
+    drop_tables(spark, f"{prefix}_events_by_session", f"{prefix}_sessions_by_session")
+
+
+def test_the_bucketed_funnel_deals_flat_rows(spark, tables001, monkeypatch):
+    import __spark_entry__ as entry
+
+    dealt, repartition = [], type(tables001.events).repartition
+    monkeypatch.setattr(type(tables001.events), "repartition",
+                        lambda self, n, *key: (key and dealt.append(self.columns), repartition(self, n, *key))[1])
+    d = "/root/testdata/sf0.001"
+    got = entry.queries()["funnel_session_pivot_bucketed"](spark, d)
+    assert len(dealt) == 2 and all("items" not in columns for columns in dealt)
+    monkeypatch.undo()
+    assert as_set(got) == as_set(entry.queries()["funnel_session_pivot"](spark, d))
