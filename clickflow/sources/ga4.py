@@ -13,6 +13,7 @@ Production layout (what the operators expect):
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,14 +44,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
-def events_write_layout(events: DataFrame) -> DataFrame:
+def events_write_layout(events: DataFrame, shape: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows of a day together (few files per day, AQE splits big days), each file
-    clustered by ``event_name, session_id``."""
-    return (events.hint("rebalance", "event_date")
-            .sortWithinPartitions("event_date", "event_name", "session_id"))
+    clustered by ``event_name, session_id``.
+
+    With ``shape``, a narrow function that leaves these three columns as they
+    are, the rows of ``events`` are shuffled and sorted first and ``shape`` makes
+    the written rows of them in place.
+    """
+    laid_out = (events.hint("rebalance", "event_date")
+                .sortWithinPartitions("event_date", "event_name", "session_id"))
+    return shape(laid_out) if shape else laid_out
 
 
-def write_ga4_tables(tables: Ga4Tables, out_dir: str, mode: str = "overwrite") -> None:
+def write_ga4_tables(tables: Ga4Tables, out_dir: str, mode: str = "overwrite",
+                     shape: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Materialise the tables in the production layout.
 
     Events are partitioned by ``event_date`` (partition pruning for every
@@ -60,9 +68,11 @@ def write_ga4_tables(tables: Ga4Tables, out_dir: str, mode: str = "overwrite") -
     day larger than the advisory partition size over several tasks, so a
     big or hot day is never written by a single task (a plain
     ``repartition(event_date)`` would send each whole day to one task).
+    ``shape`` makes the events' rows after that shuffle and sort, as in
+    :func:`events_write_layout`, so that wide rows need not pass through them.
     """
     out = out_dir.rstrip("/")
-    (events_write_layout(tables.events)
+    (events_write_layout(tables.events, shape)
      .write.mode(mode).partitionBy("event_date").parquet(f"{out}/ga4_events"))
     (tables.sessions
      .hint("rebalance", "session_date")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import threading
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -268,6 +269,7 @@ def ga4_tables_folder(spark: SparkSession, sf_dir: str) -> str:
         if key not in _WRITTEN:
             tag = hashlib.sha1("|".join(key).encode()).hexdigest()[:16]
             out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ga4-tables-{tag}"
-            write_ga4_tables(ga4_tables(spark, sf_dir), out)
+            flat = replace(ga4_tables(spark, sf_dir), events=ga4_flat_events(spark, sf_dir))
+            write_ga4_tables(flat, out, shape=ga4_events_from_flat)
             _WRITTEN[key] = out
         return _WRITTEN[key]

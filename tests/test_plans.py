@@ -129,3 +129,33 @@ def test_partitioned_writes_rebalance_by_day(tables001):
     plan = physical_plan(events_write_layout(tables001.events))
     assert "REBALANCE_PARTITIONS_BY_COL" in plan and "hashpartitioning(event_date" in plan
     assert "Sort [event_date" in plan
+
+
+def test_the_layout_shuffles_flat_rows(spark, tables001, monkeypatch):
+    """Day shuffle and sort of the derived events come before their nested columns are built."""
+    from clickflow.sources import ga4
+    from clickflow_fixtures import adapter
+
+    plans, layout = [], ga4.events_write_layout
+
+    def seen(*args, **kwargs):
+        out = layout(*args, **kwargs)
+        plans.append(physical_plan(out))
+        return out
+
+    monkeypatch.setattr(ga4, "events_write_layout", seen)
+    monkeypatch.setattr(adapter, "_WRITTEN", {})
+    events = adapter.ga4_tables_materialized(spark, "/root/testdata/sf0.001").events
+    (plan,) = plans
+    above, below = plan.split("Exchange hashpartitioning(event_date", 1)
+    assert "Sort [event_date" in above and "item_parameter_1" in above
+    assert "item_parameter_1" not in below
+    names = tables001.events.columns
+    assert sorted(map(str, events.select(*names).collect())) == sorted(map(str, tables001.events.collect()))
+    # days as partitions, rows of a file in the order of the layout
+    keys = ["event_date", "event_name", "session_id"]
+    files = {}
+    for r in events.select("_metadata.file_path", "_metadata.file_block_start", *keys, F.monotonically_increasing_id().alias("n")) \
+            .orderBy("n").collect():
+        files.setdefault((r["file_path"], r["file_block_start"]), []).append(tuple(r[k] for k in keys))
+    assert all(found == sorted(found) for found in files.values())
