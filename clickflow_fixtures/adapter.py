@@ -220,7 +220,7 @@ def ga4_from_events(raw_events: DataFrame) -> Ga4Tables:
 
 def ga4_flat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat rows of ``{sf_dir}/events.parquet``: what layouts shuffle, before
-    :func:`ga4_events_from_flat` makes the (some ten times wider) nested rows of them."""
+    :func:`ga4_events_from_flat` makes the nested rows of them (eight times their shuffled bytes)."""
     return _flat_events(spread(read_source(spark, sf_dir, "events")))
 
 
