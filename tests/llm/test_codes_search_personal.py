@@ -1,5 +1,6 @@
 """Vector codes, lexical search and personal data against brute-force versions, on the small tables and on awkward rows."""
 
+import gc
 import hashlib
 import math
 import random
@@ -7,6 +8,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +198,40 @@ def test_a_task_carries_its_best_over_many_shards(spark, tmp_path, monkeypatch):
     assert searched(spark, docs, items, tmp_path, 5) == brute_search(docs, items, 5)
 
 
+def test_index_rows_and_row_groups_stay_small(spark, tmp_path, monkeypatch):
+    """What an executor holds of the index at a time does not grow with the documents of a task."""
+    docs = spark.range(600).selectExpr("id as doc_id", "array_join(transform(sequence(1, 400), x -> concat('w', 400 * id + x)), ' ') as text")
+    lexical_search.write_index(docs.coalesce(1), f"{tmp_path}/large")
+    table = pq.read_table(f"{tmp_path}/large")
+    assert sum(table["n_docs"].to_pylist()) == 600
+    assert max(pa.Table.from_pylist([r], table.schema).nbytes for r in table.to_pylist()) < 2 << 20
+    monkeypatch.setattr(lexical_search, "SHARD_DOCS", 7)
+    lexical_search.write_index(docs.coalesce(1), f"{tmp_path}/many")
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "many").glob("*.parquet")]
+    assert sum(m.num_rows for m in files) >= 600 // 7
+    assert max(m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)) <= 16
+
+
+def test_a_full_shard_is_freed_at_once():
+    shard = lexical_search._Shard()
+    shard.add(1, [b"a", b"b", b"a"])
+    shard.add(2, [b"b", b"c"])
+    assert dict(shard.numbers) == {b"a": 0, b"b": 1, b"c": 2}
+    # a cycle would leave it to a collection of garbage, many shards later
+    assert all(x is not shard.numbers for x in gc.get_referents(shard.numbers.default_factory))
+
+
+@pytest.mark.parametrize("searched_postings", [1, 300, 1 << 18])
+def test_shards_are_searched_in_groups(spark, tmp_path, monkeypatch, searched_postings):
+    monkeypatch.setattr(lexical_search, "SHARD_POSTINGS", 40)
+    monkeypatch.setattr(lexical_search, "SEARCHED_POSTINGS", searched_postings)
+    rnd = random.Random(6)
+    docs = [(rnd.choice([None, rnd.randint(-60, 60)]) if i % 9 == 0 else rnd.randint(-500, 500),
+             " ".join(rnd.choices(["a", "b", "c", "d e", "é", "f" * 300], k=rnd.randint(0, 12)))) for i in range(300)]
+    items = [(1, "a b"), (1, "a b"), (2, "c e unknown"), (None, "f" * 300 + " é"), (3, "unknown"), (4, None)]
+    assert searched(spark, docs + SEARCHED, items, tmp_path, 5) == brute_search(docs + SEARCHED, items, 5)
+
+
 # --- personal data ----------------------------------------------------------------
 
 def base_spans(text):
